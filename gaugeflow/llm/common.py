@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -56,6 +57,13 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return Staged(df, name).df
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of finished phases: it does so once the driver has
+    collected the objects that stand for them, which a small driver otherwise rarely does."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def text_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each row; null counts as empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
