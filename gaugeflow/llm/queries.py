@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, sharding, simhash
+import corpus_pipeline
+
+from . import brown_lm, decontaminate, exact_dedup, html_text, mixing, quality, secrets, sharding, simhash, suffix_dedup
 
 
 def queries():
     return {
         "op1_simhash_dedup": simhash.op1_simhash_dedup,
+        "op2_quality": quality.op2_quality,
         "op3_sharding": sharding.op3_sharding,
+        "op4_secrets": secrets.op4_secrets,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+        "op6_html_text": html_text.op6_html_text,
         "op7_decontamination": decontaminate.op7_decontamination,
+        "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
+        "op9_lm_scoring": brown_lm.op9_lm_scoring,
+        "op10_mixing": mixing.op10_mixing,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql():
-    return {"op5_exact_dedup": exact_dedup.SQL}
+    return {"op4_secrets": secrets.SQL, "op5_exact_dedup": exact_dedup.SQL}
