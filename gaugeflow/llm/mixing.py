@@ -37,15 +37,25 @@ def domain_of(labels: DataFrame) -> Column:
     return F.when(quality.isin(0, 1) & toxic.isin(0, 1), quality * 2 + toxic)
 
 
-def features(text: Column) -> Column:
-    """The words of a text in lower case, and a mark if they are repetitive."""
-    words = F.split(F.lower(F.coalesce(text, F.lit(""))), WHITE)
+def once(value: Column, f) -> Column:
+    """f of a value that is evaluated a single time however often f uses it."""
+    return F.transform(F.array(value), f)[0]
 
-    def mark(w):
-        same = F.size(F.filter(F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: a == b), lambda x: x))
-        return F.when(same > REPEATS * F.size(w), F.concat(w, F.array(F.lit(REPETITIVE)))).otherwise(w)
 
-    return F.transform(F.array(words), mark)[0]
+def words_of(text: Column) -> Column:
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), WHITE)
+
+
+def marked(w: Column) -> Column:
+    """Words, and a mark if they are repetitive."""
+    same = F.size(F.filter(F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: a == b), lambda x: x))
+    return F.when(same > REPEATS * F.size(w), F.concat(w, F.array(F.lit(REPETITIVE)))).otherwise(w)
+
+
+def count_of(w: Column) -> Column:
+    """Splitting leaves an empty string before leading and after trailing white space."""
+    ends = (F.element_at(w, 1) == "").cast("int") + ((F.size(w) > 1) & (F.element_at(w, -1) == "")).cast("int")
+    return (F.size(w) - ends).cast("long")
 
 
 def learn_domains(docs: DataFrame, labelled: DataFrame, key: str, text: str, domains: int):
@@ -54,7 +64,7 @@ def learn_domains(docs: DataFrame, labelled: DataFrame, key: str, text: str, dom
     draw = F.xxhash64(F.col(key))
     rows = labelled.filter(F.col("domain").isNotNull() & F.col(key).isNotNull()).withColumn("draw", draw).orderBy("draw", "domain").limit(SAMPLE_ROWS)
     sample = docs.select(F.col(key), F.col(text).alias("text")).join(F.broadcast(rows.select(key, "domain")), key)
-    sample = staged(sample.select("domain", F.array_distinct(features(F.col("text"))).alias("words")), "labelled")
+    sample = staged(sample.select("domain", F.array_distinct(once(words_of(F.col("text")), marked)).alias("words")), "labelled")
     per_domain = {r[0]: r[1] for r in sample.groupBy("domain").count().collect()}
     n = [per_domain.get(j, 0) for j in range(domains)]
     total = sum(n)
@@ -85,33 +95,39 @@ def learn_domains(docs: DataFrame, labelled: DataFrame, key: str, text: str, dom
     return list(gain), base, gain
 
 
-def posteriors(text: Column, model, domains: int) -> Column:
-    """Array of domain probabilities. A text is searched for the model's words only."""
+def scored(text: Column, model, domains: int) -> Column:
+    """Struct of the number of words and the domains' likelihoods relative to the best one. A
+    text is split once, and searched for the model's words only."""
     words, base, gain = model
     crc = {w: zlib.crc32(w.encode()) for w in words}
     # A table without collisions, so that a word is looked up in one step.
     size = next(m for m in range(max(1, len(words)), 1 << 20) if len({c % m for c in crc.values()}) == len(words))
     at = {crc[w] % size: gain[w] for w in words}
-    present = F.array_intersect(features(text), F.lit(words) if words else F.expr("cast(array() as array<string>)"))
-    places = F.transform(present, lambda w: (F.crc32(w.cast("binary")) % size + 1).cast("int"))
+    known = F.lit(words) if words else F.expr("cast(array() as array<string>)")
 
-    def logit(j):
+    def places(w):
+        return F.transform(F.array_intersect(marked(w), known), lambda x: (F.crc32(x.cast("binary")) % size + 1).cast("int"))
+
+    def logit(p, j):
         gains = F.lit([at[i][j] if i in at else 0.0 for i in range(size)])
-        return F.aggregate(places, F.lit(base[j]), lambda a, p: a + F.element_at(gains, p))
+        return F.aggregate(p, F.lit(base[j]), lambda a, x: a + F.element_at(gains, x))
+
+    def softened(z):
+        return F.transform(z, lambda x: F.exp(x - F.array_max(z)))
+
+    def both(w):
+        e = once(places(w), lambda p: once(F.array(*(logit(p, j) for j in range(domains))), softened))
+        return F.struct(count_of(w).alias("n_tokens"), e.alias("e"))
 
-    logits = [logit(j) for j in range(domains)]
-    # Spark evaluates the array once, the softmax on it.
-    return F.transform(F.array(F.array(*logits)), lambda z: F.transform(z, lambda x: F.exp(x - F.array_max(z))))[0]
+    return once(words_of(text), both)
 
 
 def soft_membership(docs: DataFrame, labelled: DataFrame, domains: int, key: str, text: str, keep: list[str]) -> DataFrame:
     """`keep` columns, n_tokens and p (posteriors) of every document; p sums to 1."""
     model = learn_domains(docs, labelled, key, text, domains)
-    body = F.coalesce(F.col(text), F.lit(""))
-    tokens = F.size(F.filter(F.split(body, WHITE), lambda w: w != "")).cast("long")
-    rows = docs.select(*keep, tokens.alias("n_tokens"), posteriors(F.col(text), model, domains).alias("e"))
-    total = F.aggregate("e", F.lit(0.0), lambda a, x: a + x)
-    return rows.select(*keep, "n_tokens", F.transform("e", lambda x: x / total).alias("p"))
+    rows = docs.select(*keep, scored(F.col(text), model, domains).alias("_s"))
+    total = F.aggregate("_s.e", F.lit(0.0), lambda a, x: a + x)
+    return rows.select(*keep, F.col("_s.n_tokens").alias("n_tokens"), once(total, lambda t: F.transform("_s.e", lambda x: x / t)).alias("p"))
 
 
 def fit_rates(rows: DataFrame, targets: list[float]) -> DataFrame:
