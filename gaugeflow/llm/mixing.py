@@ -130,43 +130,49 @@ def soft_membership(docs: DataFrame, labelled: DataFrame, domains: int, key: str
     return rows.select(*keep, F.col("_s.n_tokens").alias("n_tokens"), once(total, lambda t: F.transform("_s.e", lambda x: x / t)).alias("p"))
 
 
+def stepped(start: Column, p: Column, steps: list[list[float]], domains: int) -> Column:
+    """The rate after some projected steps; a step is what it adds to the gradient per domain."""
+    history = F.lit(steps) if steps else F.expr("cast(array() as array<array<double>>)")
+
+    def pull(u):
+        return sum((p[j] * u[j] for j in range(domains)), F.lit(0.0))
+
+    return F.aggregate(history, start, lambda r, u: F.greatest(F.lit(0.0), r - (pull(u) + STAY * (r - 1.0)) / (1 + STAY)))
+
+
 def fit_rates(rows: DataFrame, targets: list[float]) -> DataFrame:
     """`rows(..., n_tokens, p)` with a nonnegative rate.
 
     Minimises half the sum over domains of (share - target)^2 / present share, plus STAY / 2 times
     the token mean of (rate - 1)^2, by projected gradient: all rows step at once along
     p . (share - target) / present, and are cut off at 0. In the metric of the tokens the step
-    1 / (1 + STAY) never overshoots. A step sends the driver one sum per domain; between written
-    tables a rate is what the steps since make of the last written one.
+    1 / (1 + STAY) never overshoots. A step sends the driver one sum per domain. The steps run
+    over a table of n_tokens, p and the last written rate alone; as a rate follows from p and the
+    steps, the rows themselves take all steps in one pass at the end.
     """
     domains = len(targets)
+    small = staged(rows.select("n_tokens", "p"), "posteriors")
     shares = [F.sum(F.col("n_tokens") * F.col("p")[j]) for j in range(domains)]
-    sums = rows.agg(F.sum("n_tokens"), *shares).first()
+    sums = small.agg(F.sum("n_tokens"), *shares).first()
     total = float(sums[0] or 0)
     if not total:
         return rows.withColumn("rate", F.lit(1.0))
-    scale = sum(targets)
-    wanted = [t / scale for t in targets]
-    present = [max(float(s) / total, 1e-9) for s in sums[1:]]
-    size = 1 / (1 + STAY)
-    rows, now, steps = rows.withColumn("_start", F.lit(1.0)), [float(s) / total for s in sums[1:]], []
-
-    def rate() -> Column:
-        history = F.lit(steps) if steps else F.expr("cast(array() as array<array<double>>)")
-        def pull(u):
-            return sum((F.col("p")[j] * u[j] for j in range(domains)), F.lit(0.0))
-        return F.aggregate(history, F.col("_start"), lambda r, u: F.greatest(F.lit(0.0), r - size * (pull(u) + STAY * (r - 1.0))))
-
+    wanted = [t / sum(targets) for t in targets]
+    now = [float(s) / total for s in sums[1:]]
+    present = [max(x, 1e-9) for x in now]
+    small, recent, steps = small.withColumn("_start", F.lit(1.0)), [], []
     for step in range(STEPS):
         if step and max(abs(a - b) for a, b in zip(now, before)) < CLOSE / 10:
             break
         before = now
         steps.append([(a - w) / s for a, w, s in zip(now, wanted, present)])
-        if len(steps) == WRITTEN:
-            rows, steps = staged(rows.withColumn("_start", rate()), "rates"), []
-        r = rate()
-        now = [float(x) / total for x in rows.agg(*(F.sum(r * F.col("n_tokens") * F.col("p")[j]) for j in range(domains))).first()]
-    return rows.withColumn("rate", rate()).drop("_start")
+        recent.append(steps[-1])
+        rate = stepped(F.col("_start"), F.col("p"), recent, domains)
+        if len(recent) == WRITTEN:
+            small, recent = staged(small.withColumn("_start", rate), "rates"), []
+            rate = F.col("_start")
+        now = [float(x) / total for x in small.agg(*(F.sum(rate * F.col("n_tokens") * F.col("p")[j]) for j in range(domains))).first()]
+    return rows.withColumn("rate", stepped(F.lit(1.0), F.col("p"), steps, domains))
 
 
 def document_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
