@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugeflow.functions import kernels
-from gaugeflow.operators import capture, registration, scoring, splits, tiling, validation
+from gaugeflow.operators import capture, decisions, registration, scoring, splits, tiling, validation, workspace
+from gaugeflow.plans import decision_queries  # noqa: F401  registers its queries
 from gaugeflow.plans.queries import QUERIES, SQL
 from gaugeflow.sources import io
 from gaugeflow.streaming import ingest
@@ -170,3 +171,25 @@ def test_upsert_and_changes(spark):
     assert {tuple(r) for r in capture.last_state(log, "k", "v", "t").collect()} == {("a", "2"), ("b", "9")}
     a, b = log.filter("t = 1").select("k", "v"), log.filter("t = 2").select("k", "v")
     assert {(r.k, r.change) for r in capture.key_changes(a, b, "k", "v").collect()} == {("a", "changed"), ("b", "lost")}
+
+
+def test_history_drops_oldest_pairs(spark):
+    def kept(sizes, budget):
+        turns = spark.createDataFrame([("c", i, "x" * n) for i, n in enumerate(sizes)], "conv string, turn int, text string")
+        return sorted(r.turn for r in workspace.recent_turns(turns, "conv", "turn", "text", 8, budget).collect())
+
+    for sizes, budget in (([1] * 11, 100), ([5, 5, 5, 5, 1], 11), ([5, 5, 5, 5, 1], 10), ([9], 1), ([3] * 10 + [2], 17)):
+        recent = list(range(len(sizes) - 1))[-8:]
+        while recent and sum(sizes[i] for i in recent) + sizes[-1] > budget:
+            recent = recent[2:]
+        assert kept(sizes, budget) == recent
+
+
+def test_square_metrics_and_verdicts(spark):
+    corners = lambda *p: F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in p))
+    r = spark.range(1).select(decisions.square_metrics(corners((0, 0), (10, 0), (10, 10), (0, 10))).alias("m"), decisions.square_metrics(corners(*[(1, 1)] * 4)).alias("z")).first()
+    assert tuple(r.m) == (10, 0, 1, 1) and tuple(r.z) == (0, 0, 0, 0)
+    w = [decisions.winner(F.lit(a), F.lit(b)) for a, b in ((100.0, 103.0), (100.0, 104.0), (104.0, 100.0), (None, 1.0))]
+    assert list(spark.range(1).select(*w).first()) == ["tie", "other", "main", None]
+    f = [decisions.upload_fidelity(F.lit(a), F.lit(b), F.lit(c), F.lit(0)) for a, b, c in ((True, False, 3), (False, True, 0), (False, True, 1), (False, False, 0))]
+    assert list(spark.range(1).select(*f).first()) == ["PASS", "MARGINAL", "FAIL", "FAIL"]
