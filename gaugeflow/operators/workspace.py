@@ -42,3 +42,12 @@ def same_keys(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     sides = a.select(key, F.lit(1).alias("side")).union(b.select(key, F.lit(2).alias("side")))
     per_key = sides.groupBy(key).agg(F.min("side").alias("low"), F.max("side").alias("high"))
     return per_key.agg(F.count_if(F.col("high") == 1).alias("only_left"), F.count_if(F.col("low") == 2).alias("only_right")).withColumn("same", (F.col("only_left") == 0) & (F.col("only_right") == 0))
+
+
+def cyclic_neighbours(pending: DataFrame, by: str, key: str) -> DataFrame:
+    """(by, key, next, previous): the pending key after and before each one within its group, going
+    round at the ends; a single key is its own neighbour. Null keys are left out."""
+    ordered, whole = Window.partitionBy(by).orderBy(key), Window.partitionBy(by)
+    rows = pending.select(by, key).filter(F.col(key).isNotNull()).distinct()
+    after, before = F.coalesce(F.lead(key).over(ordered), F.min(key).over(whole)), F.coalesce(F.lag(key).over(ordered), F.max(key).over(whole))
+    return rows.select(by, key, after.alias("next"), before.alias("previous"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gaugeflow.functions import kernels
 from gaugeflow.operators import capture, decisions, registration, scoring, splits, tiling, validation, workspace
-from gaugeflow.plans import decision_queries  # noqa: F401  registers its queries
+from gaugeflow.plans import decision_queries, point_queries  # noqa: F401  register their queries
 from gaugeflow.plans.queries import QUERIES, SQL
 from gaugeflow.sources import io
 from gaugeflow.streaming import ingest
@@ -193,3 +193,10 @@ def test_square_metrics_and_verdicts(spark):
     assert list(spark.range(1).select(*w).first()) == ["tie", "other", "main", None]
     f = [decisions.upload_fidelity(F.lit(a), F.lit(b), F.lit(c), F.lit(0)) for a, b, c in ((True, False, 3), (False, True, 0), (False, True, 1), (False, False, 0))]
     assert list(spark.range(1).select(*f).first()) == ["PASS", "MARGINAL", "FAIL", "FAIL"]
+
+
+def test_cyclic_neighbours(spark):
+    rows = spark.createDataFrame([("a", 3), ("a", 1), ("a", 7), ("a", 7), ("a", None), ("b", 5)], "g string, k int")
+    got = sorted(map(tuple, workspace.cyclic_neighbours(rows, "g", "k").collect()))
+    assert got == [("a", 1, 3, 7), ("a", 3, 7, 1), ("a", 7, 1, 3), ("b", 5, 5, 5)]
+    assert workspace.cyclic_neighbours(rows.limit(0), "g", "k").count() == 0
