@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeflow.llm import decontaminate, mixing, quality, sharding, simhash
+from gaugeflow.llm import decontaminate, mixing, near_copies, quality, sharding
 from gaugeflow.llm.common import staged, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -24,16 +24,15 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one of the smallest id, once."""
-    groups = simhash.near_duplicates(docs)
-    stay = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.select(*COLUMNS).join(stay, "doc_id", "left_semi")
-    # Rows that share the id are one document; the first of them in the order of the text stays.
-    repeated = docs.groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    if repeated.isEmpty():
-        return kept
-    first = F.min(F.struct("text", *(c for c in COLUMNS if c != "text"))).alias("first")
-    return kept.groupBy("doc_id").agg(first).select(*(F.col(f"first.{c}").alias(c) for c in COLUMNS))
+    """One row of each group of near copies (five-word shingles, Jaccard similarity 0.8 or more).
+
+    The row of the smallest id stays; a null id comes last, and of rows that share the id the one
+    with the least hash of its text. Ids don't tell groups: rows without one, or with one that
+    unrelated texts share, stay as any other row does."""
+    grouped = staged(near_copies.near_copies(docs.select(*COLUMNS)), "grouped")
+    order = F.struct(F.isnull("doc_id").alias("none"), "doc_id", F.xxhash64("text").alias("hash"), "row")
+    stay = grouped.groupBy("root").agg(F.min(order).alias("least")).select(F.col("least.row").alias("row"))
+    return grouped.join(stay, "row", "left_semi").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

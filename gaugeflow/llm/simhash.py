@@ -16,19 +16,24 @@ from .graph import components
 BITS, DISTANCE, SEED = 64, 3, 42
 
 
-def fingerprint(text: bytes, words_in: int) -> int:
-    """Bit i is set if it is set in over half of the shingles' hashes, repeats included."""
-    words = text.lower().split()
+def shingle_hashes(words: list[bytes], words_in: int) -> list[int]:
+    """Hashes of all runs of `words_in` words, or of all words if there are no more."""
     if not words:
-        return 0
+        return []
     line = b" ".join(words)
     if len(words) <= words_in:
-        hashes = [xxhash.xxh64_intdigest(line, SEED)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        starts = np.concatenate(([0], ends[: -words_in]))
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(line[a:b], SEED) for a, b in zip(starts.tolist(), (ends[words_in - 1 :] - 1).tolist())]
+        return [xxhash.xxh64_intdigest(line, SEED)]
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate(([0], ends[: -words_in]))
+    digest = xxhash.xxh64_intdigest
+    return [digest(line[a:b], SEED) for a, b in zip(starts.tolist(), (ends[words_in - 1 :] - 1).tolist())]
+
+
+def fingerprint(text: bytes, words_in: int) -> int:
+    """Bit i is set if it is set in over half of the shingles' hashes, repeats included."""
+    hashes = shingle_hashes(text.lower().split(), words_in)
+    if not hashes:
+        return 0
     votes = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = np.array(hashes[at : at + (1 << 16)], np.uint64)

@@ -250,3 +250,52 @@ def test_pipeline_stages(spark):
             assert {r.doc_id for r in out.collect()} == {r.doc_id for r in docs.collect() if not brute_hits(r.text, items)[4]}
         docs = out
     assert sorted(out.columns) == sorted(["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]) and out.count() > 0
+
+
+def word_sets(text, words_in=5):
+    w = (text or "").encode().lower().split()
+    return frozenset(b" ".join(w[i : i + words_in]) for i in range(max(1, len(w) - words_in + 1))) if w else frozenset()
+
+
+def groups_by_jaccard(texts):
+    """For each text the least index that pairs of Jaccard 0.8 or more reach."""
+    sets, root = [word_sets(t) for t in texts], list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or 10 * len(a & b) >= 8 * len(a | b):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return [find(i) for i in range(len(texts))]
+
+
+def near_copy_texts():
+    """Texts of 3 to 300 words with copies that differ by few to many words, below 0.8 as well."""
+    draw, texts = np.random.default_rng(7), [None, "", " \n", "one two", "One  two", "one three"]
+    for k, n in enumerate((3, 5, 6, 9, 12, 30, 60, 120, 300) * 2):
+        words = [f"w{draw.integers(10**6)}" for _ in range(n)]
+        texts.append(" ".join(words))
+        for changes in (0, 1, 2, 3, 5, 8, 12):
+            copy = list(words)
+            for at in draw.integers(0, n, changes):
+                copy[at] = f"x{draw.integers(10**6)}"
+            texts.append(" ".join(copy + ["tail"] * (k % 2)))
+    return texts
+
+
+@pytest.mark.parametrize("cell_rows", [20_000, 2])
+def test_near_copies_are_those_of_jaccard(spark, cell_rows):
+    from gaugeflow.llm import near_copies
+
+    real = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect()]
+    texts = near_copy_texts() + real
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = near_copies.near_copies(df, cell_rows=cell_rows).toPandas()
+    assert len(got) == len(texts)
+    want = pd.Series(range(len(texts))).groupby(groups_by_jaccard(texts)).agg(frozenset)
+    assert set(got.groupby("root").doc_id.agg(frozenset)) == set(want)
+    assert near_copies.near_copies(df.limit(0)).count() == 0
