@@ -299,3 +299,18 @@ def test_near_copies_are_those_of_jaccard(spark, cell_rows):
     want = pd.Series(range(len(texts))).groupby(groups_by_jaccard(texts)).agg(frozenset)
     assert set(got.groupby("root").doc_id.agg(frozenset)) == set(want)
     assert near_copies.near_copies(df.limit(0)).count() == 0
+
+
+def test_near_dedup_keeps_a_row_of_each_group(spark):
+    """Null ids, an id that unrelated texts share, and rows that are equal throughout."""
+    import corpus_pipeline as pipeline
+
+    long = [" ".join(f"t{k}w{i}" for i in range(60)) for k in range(6)]
+    near = long[1].replace("t1w30", "changed")
+    pairs = [(None, long[0]), (None, long[1]), (4, near), (9, near), (7, long[2]), (7, long[3]), (7, long[3]), (None, long[4]), (None, long[4]), (7, None), (None, "")]
+    df = spark.createDataFrame([(k, t, "en", "s", None) for k, t in pairs], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    root, want = groups_by_jaccard([t for _, t in pairs]), []
+    for g in set(root):
+        want.append(min((k is None, k or 0, "" if t is None else t) for (k, t), r in zip(pairs, root) if r == g))
+    got = [(r.doc_id is None, r.doc_id or 0, r.text or "") for r in pipeline.near_dedup(spark, df, SF).collect()]
+    assert sorted(got) == sorted(want) and len(got) == 6
