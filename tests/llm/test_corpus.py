@@ -314,3 +314,14 @@ def test_near_dedup_keeps_a_row_of_each_group(spark):
         want.append(min((k is None, k or 0, "" if t is None else t) for (k, t), r in zip(pairs, root) if r == g))
     got = [(r.doc_id is None, r.doc_id or 0, r.text or "") for r in pipeline.near_dedup(spark, df, SF).collect()]
     assert sorted(got) == sorted(want) and len(got) == 6
+
+
+def test_nested_articles_give_the_same_text_on_small_and_large_hosts(spark):
+    page = '<body><div class="top">Site</div><article><h1>Title {0}</h1><p>Lead {0}</p><div class="entry">' + "<p>Long body of {0} with many words</p>" * 5 + "</div><p>Closing {0}</p></article><footer>f</footer>"
+    rows = [(100 * n + i, f"http://h{n}.example/{i}", page.format(i)) for n in (2, 8) for i in range(n)]
+    rows.append((799, "http://h8.example/empty", ""))  # the first page of its host
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), ["page_id"]).collect()}
+    for n in (2, 8):
+        for i in range(n):
+            assert got[100 * n + i] == "\n".join([f"Title {i}", f"Lead {i}", *[f"Long body of {i} with many words"] * 5, f"Closing {i}"])
+    assert got[799] == ""
