@@ -27,13 +27,17 @@ KINDS = {
     "hex": ("[0-9a-f]{24,}", 24, 0, "secret", True),
     "phrase": (_assigned(["pwd", "pass", "credentials?", "auth", "private_key", "access_key"], "[A-Za-z0-9+/_.=-]+"), 6, 2, "secret", False),
     "account": (_assigned(["user", "username", "login", "account", "client_id", "access_key_id"], "[A-Za-z0-9@._+-]+"), 3, 2, "identity", False),
-    "address": ("[A-Za-z0-9._+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+", 6, 0, "identity", False),
-    "endpoint": ("[A-Za-z][A-Za-z0-9+.-]*://[A-Za-z0-9.-]+(?::[0-9]+)?", 8, 0, "endpoint", False),
+    # As long as mail and host names can be; without bounds, a long run of letters is searched
+    # anew from each of them, and a long chain of labels fills the matcher's stack.
+    "address": ("[A-Za-z0-9._+-]{1,64}@[A-Za-z0-9-]{1,63}(?:[.][A-Za-z0-9-]{1,63}){1,8}", 6, 0, "identity", False),
+    "endpoint": ("[A-Za-z][A-Za-z0-9+.-]{0,31}://[A-Za-z0-9.-]+(?::[0-9]+)?", 8, 0, "endpoint", False),
 }
 #: A plain string that every match of a pattern has; texts without it are not searched.
 HINTS = {"access": "AKIA", "address": "@", "endpoint": "://"}
 BASE = [k for k, v in KINDS.items() if v[4]]
 SPAN = "array<struct<start:int,rank:int,stop:int>>"
+#: Spans are gathered in runs of so many, so that a text with very many isn't copied for each.
+RUN = 256
 
 
 def spans_of(text: Column, kind: str) -> Column:
@@ -53,9 +57,16 @@ def spans_of(text: Column, kind: str) -> Column:
         kept = F.length(x["value"]) >= least  # null after the last gap
         return F.struct(F.coalesce(stop, start).alias("at"), F.when(kept, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
-    all_spans = F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
+    def gathered(steps):
+        def run(acc, k):
+            part = F.aggregate(F.slice(steps, k * RUN + 1, RUN), F.struct(acc["at"].alias("at"), none.alias("spans")), step)
+            return F.transform(F.array(part), lambda p: F.struct(p["at"].alias("at"), F.concat(acc["runs"], F.array(p["spans"])).alias("runs")))[0]
+
+        start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{SPAN}>)").alias("runs"))
+        return F.aggregate(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / RUN).cast("int")), start, run, lambda acc: F.flatten(acc["runs"]))
+
     hinted = F.contains(text, F.lit(HINTS[kind])) if kind in HINTS else F.lit(True)
-    return F.when(hinted & text.rlike(pattern), all_spans).otherwise(none)
+    return F.when(hinted & text.rlike(pattern), F.transform(F.array(steps), gathered)[0]).otherwise(none)
 
 
 def joined(spans: Column) -> Column:
@@ -68,6 +79,22 @@ def _as_parts(kind: str) -> Column:
     return F.transform(F.col(kind), lambda s: F.struct(s.alias("span"), F.lit(role).alias("role"), F.lit(alone).alias("alone")))
 
 
+def _cells(scope: int, reach: int = 0) -> Column:
+    """The cells, twice the scope wide, that a span touches with `reach` characters around it."""
+    width = 2 * scope
+    return F.explode(F.sequence(F.floor((F.col("span.start") - reach) / width), F.floor((F.col("span.stop") + reach) / width)))
+
+
+def apart_from_base(parts: DataFrame, scope: int) -> DataFrame:
+    """`parts(row, span, role, alone)` without the weak ones that overlap one reported alone: an
+    interval join on the cells that both touch."""
+    weak = parts.filter("NOT alone").select("row", "span", _cells(scope).alias("cell"))
+    base = parts.filter("alone").select(F.col("row").alias("_row"), F.col("span").alias("_span"), _cells(scope).alias("_cell"))
+    meet = (F.col("span.start") < F.col("_span.stop")) & (F.col("_span.start") < F.col("span.stop"))
+    covered = weak.join(base, (F.col("row") == F.col("_row")) & (F.col("cell") == F.col("_cell")) & meet, "left_semi").select("row", "span").distinct()
+    return parts.join(covered, ["row", "span"], "left_anti")
+
+
 def linked_parts(parts: DataFrame, scope: int) -> DataFrame:
     """Of `parts(row, span, role, alone)` the weak ones (not reported alone) that have a
     complementary part within `scope` characters: a secret for identities and endpoints, one of
@@ -77,12 +104,9 @@ def linked_parts(parts: DataFrame, scope: int) -> DataFrame:
     within its reach, and the exact distance decides. Both sides of a semi join, so a weak part
     stays one row however many partners it has.
     """
-    width = 2 * scope
-    cells = F.sequence(F.floor(F.col("span.start") / width), F.floor(F.col("span.stop") / width))
-    reach = F.sequence(F.floor((F.col("span.start") - scope) / width), F.floor((F.col("span.stop") + scope) / width))
     secret = F.col("role") == "secret"
-    weak = parts.filter("NOT alone").select("row", "span", secret.alias("is_secret"), F.explode(cells).alias("cell"))
-    other = parts.select(F.col("row").alias("_row"), F.col("span").alias("_span"), (~secret).alias("for_secret"), F.explode(reach).alias("_cell"))
+    weak = parts.filter("NOT alone").select("row", "span", secret.alias("is_secret"), _cells(scope).alias("cell"))
+    other = parts.select(F.col("row").alias("_row"), F.col("span").alias("_span"), (~secret).alias("for_secret"), _cells(scope, scope).alias("_cell"))
     near = (F.col("span.start") - F.col("_span.stop") <= scope) & (F.col("_span.start") - F.col("span.stop") <= scope)
     on = (F.col("row") == F.col("_row")) & (F.col("cell") == F.col("_cell")) & (F.col("is_secret") == F.col("for_secret")) & near
     return weak.join(other, on, "left_semi").select("row", "span").distinct()
@@ -95,26 +119,22 @@ def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", scope
     are reported only where complementary parts co-occur within `scope` characters, and never
     where they overlap a base span. Null is an empty text, without spans: an empty string and its
     digest. Repeated rows and null keys each keep their row; an empty table gives none; other
-    columns are ignored.
+    columns are ignored. The search is linear in a text's length and holds one text at a time.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    found = docs.select(F.col(key).alias("id"), *(spans_of(body, k).alias(k) for k in KINDS))
-    base = F.concat(*(F.col(k) for k in BASE))
-    weak = [k for k in KINDS if k not in BASE]
-    apart = [F.filter(F.col(k), lambda s: ~F.exists(F.col("base"), lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))).alias(k) for k in weak]
     # Written once: the texts are searched a single time, and the row numbers are settled.
-    found = found.withColumn("base", base).select("id", *BASE, "base", *apart)
+    found = docs.select(F.col(key).alias("id"), *(spans_of(body, k).alias(k) for k in KINDS))
     found = staged(found.withColumn("row", F.monotonically_increasing_id()), "parts")
 
-    several = found.filter(" OR ".join(f"size({k}) > 0" for k in weak))
+    several = found.filter(" OR ".join(f"size({k}) > 0" for k in KINDS if k not in BASE))
     parts = several.select("row", F.explode(F.concat(*(_as_parts(k) for k in KINDS))).alias("p")).select("row", "p.span", "p.role", "p.alone")
-    links = linked_parts(parts, scope).groupBy("row").agg(F.collect_list("span").alias("more"))
-    none = F.expr(f"cast(array() as {SPAN})")
+    links = linked_parts(apart_from_base(parts, scope), scope).groupBy("row").agg(F.collect_list("span").alias("more"))
+    base, none = F.concat(*BASE), F.expr(f"cast(array() as {SPAN})")
     return found.join(links, "row", "left").select(
         F.col("id").alias(key),
         *(F.size(k).cast("long").alias(f"n_{k}") for k in BASE),
-        F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
-        joined(F.concat("base", F.coalesce("more", none))).alias("spans"),
+        F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"),
+        joined(F.concat(base, F.coalesce("more", none))).alias("spans"),
     )
 
 

@@ -325,3 +325,15 @@ def test_nested_articles_give_the_same_text_on_small_and_large_hosts(spark):
         for i in range(n):
             assert got[100 * n + i] == "\n".join([f"Title {i}", f"Lead {i}", *[f"Long body of {i} with many words"] * 5, f"Closing {i}"])
     assert got[799] == ""
+
+
+def test_secrets_of_very_long_runs(spark):
+    """A million characters without a match, labels without end, and many spans in one text."""
+    many = "token=abcdefgh pwd: hunter22 login: bob " * 20_000
+    texts = ["x" * 1_000_000 + "@", "x@a" + ".a" * 100_000, "z" * 1_000_000 + "://", "secret" + " " * 1_000_000, "0a" * 500_000, many, "pwd: hunter22 " + "y" * 100 + "@host.example" + " @" * 50_000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in secrets.scan_secrets(rows).collect()}
+    assert [got[i].spans for i in range(5)] == ["", "", "", "", "hex:0:1000000"]
+    assert got[5].n_assign == 20_000 and got[5].spans.startswith("assign:0:14,phrase:15:28,account:29:39,assign:40:54")
+    assert got[5].spans.count(",") == 3 * 20_000 - 1
+    assert got[6].spans == "phrase:0:13,address:50:127"
