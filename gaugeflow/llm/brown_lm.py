@@ -1,4 +1,10 @@
-"""Language-model scoring with Brown's class-based bigrams and exchange clustering."""
+"""Language-model scoring with Brown's class-based bigrams and exchange clustering.
+
+Every word of the training part is assigned to a class by exchange. The class that stands before a
+word, its context class, is the word's own class for frequent words and that of the ending for all
+others, so that a text's context classes are known where the text is:
+P(word | word before) = P(class of word | context class of word before) * P(word | class of word).
+"""
 
 from __future__ import annotations
 
@@ -7,17 +13,20 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_split, release, slices, staged, table, text_bytes
+from .common import Staged, in_split, release, slices, staged, table, text_bytes
 
 #: The end of a text, a token no word can equal.
 END = b""
 #: Words of at least one token in HEAD_SHARE (so that many at most) are sent to every task.
 HEAD_SHARE = 1 << 20
-#: The most frequent words, clustered one by one; all others move with the group of their ending.
-SINGLE, ENDINGS, CLASSES = 1000, 256, 40
+#: The exchange starts on the driver, with the most frequent words and with groups of endings as
+#: units; then ROUNDS rounds on Spark move every frequent word by its own contexts, and
+#: at last every other word of the vocabulary is put where its contexts fit best.
+SINGLE, ENDINGS, CLASSES, ROUNDS = 1000, 256, 40, 2
 SMOOTH, LINK_SMOOTH = 0.5, 0.1
 
 
@@ -37,12 +46,12 @@ class _Endings(dict):
 
 
 def _count(batches):
-    """(word, ending, count), summed over as much of the task as some memory allows."""
+    """(word, count), summed over as much of the task as some memory allows."""
     counts = Counter()
 
     def rows():
         words = list(counts)
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(map(ending, words), pa.int32()), pa.array(counts.values(), pa.int64())], ["word", "ending", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(counts.values(), pa.int64())], ["word", "n"])
 
     for batch in slices(batches):
         for text in text_bytes(batch.column("text")):
@@ -126,27 +135,149 @@ def exchange(pairs: np.ndarray, classes: int, rounds: int = 10) -> np.ndarray:
     return of
 
 
+class _OfEnding(dict):
+    """Class of a word by its last two bytes."""
+
+    def __init__(self, of_ending: np.ndarray):
+        self.classes = of_ending.tolist()
+
+    def __missing__(self, tail):
+        self[tail] = self.classes[zlib.crc32(tail) % ENDINGS]
+        return self[tail]
+
+
+def _contexts(class_of: dict[bytes, int], of_ending: np.ndarray, every: bool):
+    """(word, before, n): how often a word follows a context class, per task; of the words of
+    class_of alone, or of every word."""
+
+    def run(batches):
+        ending_class, counts, get = _OfEnding(of_ending), Counter(), class_of.get
+
+        def rows():
+            keys = list(counts)
+            return pa.RecordBatch.from_arrays([pa.array([k[1] for k in keys], pa.binary()), pa.array([k[0] for k in keys], pa.int32()), pa.array(counts.values(), pa.int64())], ["word", "before", "n"])
+
+        for batch in slices(batches):
+            last = class_of[END]
+            for text in text_bytes(batch.column("text")):
+                words = tokens(text)
+                known = list(map(get, words))
+                classes = [c if c is not None else ending_class[w[-2:]] for c, w in zip(known, words)]
+                pairs = zip([last, *classes[:-1]], words)
+                counts.update(pairs if every else [p for p, c in zip(pairs, known) if c is not None])
+                last = classes[-1]
+            if len(counts) > 1_000_000:
+                yield rows()
+                counts.clear()
+        if counts:
+            yield rows()
+
+    return run
+
+
+def _gathered(batches):
+    """Rows sorted by word: (word, n, contexts), the counts after each context class."""
+    last, carried = None, None
+
+    def rows(words, table):
+        offsets = pa.array(np.arange(len(words) + 1, dtype=np.int32) * CLASSES)
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(table.sum(axis=1)), pa.ListArray.from_arrays(offsets, pa.array(table.ravel()))], ["word", "n", "contexts"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        column, new = batch.column("word"), np.ones(batch.num_rows, bool)
+        new[1:] = pc.not_equal(column.slice(1), column.slice(0, batch.num_rows - 1)).to_numpy(zero_copy_only=False)
+        words = column.filter(pa.array(new)).to_pylist()
+        table = np.zeros((len(words), CLASSES), np.int64)
+        np.add.at(table, (np.cumsum(new) - 1, batch.column("before").to_numpy()), batch.column("n").to_numpy())
+        if words[0] == last:
+            table[0] += carried
+        elif last is not None:
+            yield rows([last], carried[None])
+        yield rows(words[:-1], table[:-1])
+        last, carried = words[-1], table[-1]
+    if last is not None:
+        yield rows([last], carried[None])
+
+
+def best_classes(contexts: np.ndarray, of: np.ndarray, links: np.ndarray) -> np.ndarray:
+    """One round of exchange for words given by their counts after each context class (rows) and
+    by their class `of` (-1: none yet): each is taken out of its class and put where the likelihood
+    of the class model grows most, against the same class table for all."""
+
+    def f(x):
+        return x * np.log(np.maximum(x, 1.0))
+
+    word, before = np.nonzero(contexts)
+    times, n = contexts[word, before], contexts.sum(axis=1)
+    gain = np.empty((len(of), links.shape[1]))
+    for c in range(links.shape[1]):
+        # The class without the word.
+        rest = links[before, c] - np.where(of[word] == c, times, 0)
+        size = links[:, c].sum() - np.where(of == c, n, 0)
+        gain[:, c] = np.bincount(word, f(rest + times) - f(rest), len(of)) - f(size + n) + f(size)
+    gain = np.round(gain, 6)  # so that ties, which the order of sums would break, go to the first class
+    stay = np.where(of >= 0, gain[np.arange(len(of)), np.maximum(of, 0)], -np.inf)
+    best = np.argmax(gain, axis=1)
+    return np.where(gain[np.arange(len(of)), best] > stay, best, of)
+
+
+def _classed(class_of: dict[bytes, int], links: np.ndarray | None, moving: bool):
+    """Adds the class of each word: the one of class_of, moved where `moving`; words that have none
+    there get the best one."""
+
+    def run(batches):
+        for batch in slices(batches):
+            words = batch.column("word").to_pylist()
+            of = np.array([class_of.get(w, -1) for w in words], np.int64)
+            if links is not None and len(words):
+                table = batch.column("contexts").flatten().to_numpy().astype(float).reshape(-1, CLASSES)
+                of = best_classes(table, of, links) if moving else np.where(of >= 0, of, best_classes(table, of, links))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(of, pa.int32())], [*batch.schema.names, "class"])
+
+    return run
+
+
+CLASSED = "word binary, n long, contexts array<long>, class int"
+
+
+def _links(classed: DataFrame) -> np.ndarray:
+    """Context class x class: the counts of the words of each class, CLASSES rows at most."""
+    sums = classed.filter("class >= 0").groupBy("class").agg(*(F.sum(F.col("contexts")[c]).alias(f"c{c}") for c in range(CLASSES))).collect()
+    links = np.zeros((CLASSES, CLASSES))
+    for r in sums:
+        links[:, r[0]] = r[1:]
+    return links
+
+
 def _score(model):
-    """Sums over what every task has: class transitions, and emissions of frequent words. Other
-    words leave with their counts; all that is missing of them is log10(count + SMOOTH)."""
-    head, unit_of, of, link, emit_norm, base_norm = model
+    """Sums over what every task has: frequent words and their classes. Other words leave with
+    their counts by context class; what they add to the sums is looked up in the word table."""
+    head, class_of, of_ending, link, base_norm = model
 
     def run(batches):
-        group, singles, start = _Endings(), len(unit_of), of[unit_of[END]]
-        top, logs = unit_of.get, {w: np.log10(n + SMOOTH) for w, n in head.items()}
+        ending_class, start, get = _OfEnding(of_ending), class_of[END], class_of.get
+        log_of = {w: np.log10(n + SMOOTH) for w, n in head.items()}
         for batch in slices(batches):
             out = defaultdict(list)
             for text in text_bytes(batch.column("text")):
                 words = tokens(text)
-                classes = of[np.array([u if (u := top(w)) is not None else singles + group[w[-2:]] for w in words], np.int64)]
-                steps = link[np.concatenate(([start], classes[:-1])), classes].sum() - emit_norm[classes].sum()
-                known = [logs.get(w) for w in words]
-                rest = Counter(w for w, k in zip(words, known) if k is None)
-                common = [k for k in known if k is not None]
-                here = float(np.sum(common))
-                for name, value in (("n_tokens", len(words)), ("common", len(common)), ("base", here - base_norm * len(words)), ("model", here + steps), ("rare", list(rest)), ("times", list(rest.values()))):
+                known = [get(w) if w in log_of else None for w in words]
+                context = [start, *(c if (c := get(w)) is not None else ending_class[w[-2:]] for w in words[:-1])]
+                of = np.array([-1 if c is None else c for c in known], np.int64)
+                common = of >= 0
+                logs = float(sum(log_of[w] for w, c in zip(words, known) if c is not None))
+                steps = float(link[np.array(context)[common], of[common]].sum())
+                rest = Counter((w, before) for w, before, c in zip(words, context, known) if c is None)
+                rare = sorted({w for w, _ in rest})
+                place = {w: i for i, w in enumerate(rare)}
+                uses = [[] for _ in rare]
+                for (w, c), n in rest.items():
+                    uses[place[w]] += [c] * n
+                for name, value in (("n_tokens", len(words)), ("common", int(common.sum())), ("base", logs - base_norm * len(words)), ("model", logs + steps), ("rare", [{"word": w, "ending": ending(w), "after": sorted(u)} for w, u in zip(rare, uses)])):
                     out[name].append(value)
-            kinds = {"n_tokens": pa.int64(), "common": pa.int64(), "base": pa.float64(), "model": pa.float64(), "rare": pa.list_(pa.binary()), "times": pa.list_(pa.int64())}
+            kinds = {"n_tokens": pa.int64(), "common": pa.int64(), "base": pa.float64(), "model": pa.float64(), "rare": pa.list_(pa.struct([("word", pa.binary()), ("ending", pa.int32()), ("after", pa.list_(pa.int8()))]))}
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), *(pa.array(out[k], t) for k, t in kinds.items())], ["id", "held_out", *kinds])
 
     return run
@@ -156,62 +287,73 @@ def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus:
     """key, held_out, n_tokens, n_known, train_tokens, base_score, score of every document.
 
     Learns from the documents whose crc32(key) mod `modulus` is not `held` (a null key counts as
-    ''). A word's probability after another is P(class | class before) * P(word | class), each
-    smoothed by addition, where a class keeps the mass of one more word for all unseen ones, as
-    base_score does for the whole vocabulary. A frequent word is a unit of the clustering, all
-    others join by their ending, so that unseen words have classes too. Null is an empty text of
-    one token, the end. Repeated rows are scored, and counted, each. An empty table gives no rows.
-
-    Word counts and class bigrams cover the whole training part. The driver gets the words of
-    one token in HEAD_SHARE or more, and the bigrams of SINGLE + ENDINGS + 1 units at most; all
-    other words meet their counts in a join, where by their rarity no key is hot.
+    ''). P(class | context class) and P(word | class) are each smoothed by addition, where a class
+    keeps the mass of one more word for all unseen ones, as base_score does for the whole
+    vocabulary; an unseen word has the class of its ending. Null is an empty text of one token,
+    the end; every text starts after an end. Repeated rows are scored, and counted, each. An empty
+    table gives no rows.
+
+    Counts, contexts and classes cover every word of the training part. The driver gets the words
+    of one token in HEAD_SHARE or more, and the bigrams of SINGLE + ENDINGS + 1 units that the
+    exchange starts from; all other words meet their counts and classes in a join, where by
+    their rarity no key is hot.
     """
     spark, kind = docs.sparkSession, dict(docs.dtypes)[key]
     docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), in_split(key, modulus, held).alias("held_out"))
     training = docs.filter("NOT held_out").select("text")
-    counted = training.mapInArrow(_count, "word binary, ending int, n long")
-    words = staged(counted.groupBy("word", "ending").agg(F.sum("n").alias("n")), "words")
+    counted = training.mapInArrow(_count, "word binary, n long")
+    words = Staged(counted.groupBy("word").agg(F.sum("n").alias("n")), "words")
     release(spark)
-    total, known = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    total, known = words.df.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     # END isn't a word but counts as one token of the vocabulary.
-    head = {bytes(r[0]): r[1] for r in words.filter(F.col("n") * HEAD_SHARE >= total).select("word", "n").toLocalIterator()}
-    frequent = sorted((w for w in head if w != END), key=lambda w: (-head[w], w))[:SINGLE]
-    unit_of = {w: i for i, w in enumerate([END, *frequent])}
+    head = {bytes(r[0]): r[1] for r in words.df.filter(F.col("n") * HEAD_SHARE >= total).toLocalIterator()}
+    words.drop()
+    single = sorted((w for w in head if w != END), key=lambda w: (-head[w], w))[:SINGLE]
+    unit_of = {w: i for i, w in enumerate([END, *single])}
     units = len(unit_of) + ENDINGS
 
     pairs = np.zeros(units * units)
     counts = training.mapInArrow(_pairs(unit_of, units), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     pairs[counts.column("pair").to_numpy()] = counts.column("n").to_numpy()
-    pairs = pairs.reshape(units, units)
-    of = exchange(pairs, CLASSES)
-    member = np.eye(CLASSES)[of]
-    links = member.T @ pairs @ member
-    link = np.log10((links + LINK_SMOOTH) / (links.sum(axis=1, keepdims=True) + LINK_SMOOTH * CLASSES))
-    kinds = np.zeros(units)
-    for group, n in words.groupBy("ending").count().collect():  # ENDINGS rows at most
-        kinds[len(unit_of) + group] += n
-    for word, unit in unit_of.items():
-        if word in head:
-            kinds[unit], kinds[len(unit_of) + ending(word)] = 1, kinds[len(unit_of) + ending(word)] - 1
-    emit_norm = np.log10(links.sum(axis=0) + SMOOTH * (member.T @ kinds + 1))
+    of_unit = exchange(pairs.reshape(units, units), CLASSES)
+    of_ending = of_unit[len(unit_of) :]
+    class_of = {w: int(of_unit[unit_of[w]] if w in unit_of else of_ending[ending(w)]) for w in {END, *head}}
+    for last in [False] * ROUNDS + [True]:
+        seen = training.mapInArrow(_contexts(class_of, of_ending, last), "word binary, before int, n long")
+        seen = Staged(seen.repartition("word").sortWithinPartitions("word").mapInArrow(_gathered, "word binary, n long, contexts array<long>"), "contexts")
+        release(spark)
+        links = _links(seen.df.mapInArrow(_classed(class_of, None, False), CLASSED))
+        moved = seen.df.mapInArrow(_classed(class_of, links, not last), CLASSED)
+        if last:
+            classed = staged(moved, "classes")
+        else:
+            class_of |= {bytes(r[0]): r[1] for r in moved.select("word", "class").toLocalIterator()}
+        seen.drop()
+    links = _links(classed)
+    kinds = np.zeros(CLASSES)
+    for c, n in classed.groupBy("class").count().collect():  # CLASSES rows at most
+        kinds[c] = n
+    emit_norm = np.log10(links.sum(axis=0) + SMOOTH * (kinds + 1))
+    link = np.log10((links + LINK_SMOOTH) / (links.sum(axis=1, keepdims=True) + LINK_SMOOTH * CLASSES)) - emit_norm[None]
     base_norm = float(np.log10(total + SMOOTH * (known + 1)))
 
-    schema = f"id {kind}, held_out boolean, n_tokens long, common long, base double, model double, rare array<binary>, times array<long>"
-    local = docs.mapInArrow(_score((head, unit_of, of, link, emit_norm, base_norm)), schema)
+    schema = f"id {kind}, held_out boolean, n_tokens long, common long, base double, model double, rare array<struct<word:binary,ending:int,after:array<byte>>>"
+    local = docs.mapInArrow(_score((head, class_of, of_ending, link, base_norm)), schema)
     local = staged(local.withColumn("row", F.monotonically_increasing_id()), "local")
-    rare = local.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("word"), F.col("w.times").alias("times"))
-    found = rare.join(words.filter(F.col("n") * HEAD_SHARE < total).select("word", "n"), "word", "left")
-    sums = found.groupBy("row").agg(
-        F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + SMOOTH)).alias("rest"),
-        F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("also_known"),
-    )
+    rare = local.select("row", F.explode("rare").alias("w")).select("row", "w.word", "w.ending", "w.after")
+    found = rare.join(classed.filter(F.col("n") * HEAD_SHARE < total).select("word", "n", "class"), "word", "left")
+    times, count = F.size("after"), F.coalesce("n", F.lit(0))
+    of = F.coalesce("class", F.element_at(F.lit(of_ending.tolist()), F.col("ending") + 1)).cast("int")
+    steps = F.aggregate("after", F.lit(0.0), lambda a, c: a + F.element_at(F.lit(link.ravel().tolist()), c * CLASSES + F.col("of") + 1))
+    found = found.withColumn("of", of).withColumn("logs", times * F.log10(count + SMOOTH))
+    sums = found.groupBy("row").agg(F.sum("logs").alias("rest"), F.sum(steps).alias("steps"), F.sum(F.when(F.col("n") > 0, times).otherwise(0)).alias("also_known"))
     rest = F.coalesce("rest", F.lit(0.0))
     return local.join(sums, "row", "left").select(
         F.col("id").alias(key), "held_out", "n_tokens",
         (F.col("common") + F.coalesce("also_known", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + rest).alias("base_score"),
-        (F.col("model") + rest).alias("score"),
+        (F.col("model") + rest + F.coalesce("steps", F.lit(0.0))).alias("score"),
     )
 
 

@@ -335,3 +335,73 @@ def test_secrets_of_very_long_runs(spark):
     assert got[5].n_assign == 20_000 and got[5].spans.startswith("assign:0:14,phrase:15:28,account:29:39,assign:40:54")
     assert got[5].spans.count(",") == 3 * 20_000 - 1
     assert got[6].spans == "phrase:0:13,address:50:127"
+
+
+def plain_scores(rows, head_share):
+    """The model of brown_lm word by word, from counts in dictionaries."""
+    held = lambda k: zlib.crc32(str("" if k is None else k).encode()) % 5 == 1
+    docs = [(k, brown_lm.tokens((t or "").encode())) for k, t in rows]
+    training = [w for k, w in docs if not held(k)]
+    counts = Counter(w for ws in training for w in ws)
+    total, K = sum(counts.values()), brown_lm.CLASSES
+    head = {w for w, n in counts.items() if n * head_share >= total}
+    single = sorted((w for w in head if w != b""), key=lambda w: (-counts[w], w))[: brown_lm.SINGLE]
+    unit_of = {w: i for i, w in enumerate([b"", *single])}
+    unit = lambda w: unit_of.get(w, len(unit_of) + brown_lm.ending(w))
+    pairs = np.zeros((len(unit_of) + brown_lm.ENDINGS,) * 2)
+    follows = [(a, b) for ws in training for a, b in zip([b"", *ws], ws)]
+    for a, b in follows:
+        pairs[unit(a), unit(b)] += 1
+    of_unit = brown_lm.exchange(pairs, K)
+    of_ending = lambda w: int(of_unit[len(unit_of) + brown_lm.ending(w)])
+    class_of = {w: int(of_unit[unit(w)]) for w in head | {b""}}
+
+    def value(column):
+        return sum(x * math.log(x) for x in column if x > 0) - (sum(column) * math.log(sum(column)) if sum(column) > 0 else 0)
+
+    def best(word, contexts, table, own):
+        without = [[t - (x if c == own else 0) for t, x in zip(table[c], contexts)] for c in range(K)]
+        gains = [value([t + x for t, x in zip(col, contexts)]) - value(col) for col in without]
+        gains = [round(g, 6) for g in gains]
+        top = max(range(K), key=lambda c: (gains[c], -c))
+        return own if own >= 0 and gains[top] <= gains[own] else top
+
+    def seen(words):
+        out = {w: [0] * K for w in words}
+        for a, b in follows:
+            if b in out:
+                out[b][class_of[a] if a in class_of else of_ending(a)] += 1
+        return out
+
+    def table_of(contexts, of):
+        return [[sum(x[k] for w, x in contexts.items() if of[w] == c) for k in range(K)] for c in range(K)]
+
+    for _ in range(brown_lm.ROUNDS):
+        contexts = seen(head)
+        table = table_of(contexts, class_of)
+        class_of |= {w: best(w, x, table, class_of[w]) for w, x in contexts.items()}
+    contexts = seen(counts)
+    table = table_of({w: contexts[w] for w in head}, class_of)
+    own = {w: class_of[w] if w in head else best(w, x, table, -1) for w, x in contexts.items()}
+    table, kinds = table_of(contexts, own), Counter(own.values())
+
+    def log_p(a, b):
+        k, c = class_of[a] if a in class_of else of_ending(a), own[b] if b in own else of_ending(b)
+        transition = (table[c][k] + 0.1) / (sum(t[k] for t in table) + 0.1 * K)
+        return math.log10(transition) + math.log10((counts[b] + 0.5) / (sum(table[c]) + 0.5 * (kinds[c] + 1)))
+
+    return [(k, sum(log_p(a, b) for a, b in zip([b"", *ws], ws))) for k, ws in docs]
+
+
+@pytest.mark.parametrize("head_share", [1 << 20, 40])
+def test_lm_scores_are_those_of_the_plain_model(spark, head_share, monkeypatch):
+    monkeypatch.setattr(brown_lm, "HEAD_SHARE", head_share)
+    monkeypatch.setattr(brown_lm, "SINGLE", 15)
+    draw, rows = np.random.default_rng(3), []
+    for k in range(40):
+        words = [f"{'abcd'[j % 4]}{draw.zipf(1.5) % 30}{'xyz'[j % 3]}" for j in range(draw.integers(0, 60))]
+        rows.append((k, " ".join(words)))
+    rows += [(None, None), (7, "never seen words"), (7, "never seen words"), (50, "")]
+    got = brown_lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).toPandas()
+    want = sorted((str(k), round(s, 6)) for k, s in plain_scores(rows, head_share))
+    assert sorted((str(None if pd.isna(r.doc_id) else int(r.doc_id)), round(r.score, 6)) for r in got.itertuples()) == want
