@@ -8,8 +8,9 @@ gradient steps then fit nonnegative document rates, such that the expected token
 from __future__ import annotations
 
 import math
-import zlib
+from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,18 +18,17 @@ from .common import staged, table
 
 #: The domains of the labels table, and the share of tokens each should have.
 DOMAINS = ["low", "low_toxic", "high", "high_toxic"]
-TARGETS = {"low": 0.02, "low_toxic": 0.002, "high": 0.94, "high_toxic": 0.038}
+TARGETS = {"low": 0.01, "low_toxic": 0.0005, "high": 0.9795, "high_toxic": 0.01}
 #: The classifier learns from so many labelled rows at most, taken in the order of a hash, and
-#: from the presence of so many words.
-SAMPLE_ROWS, WORDS, LEAST_ROWS = 4000, 200, 5
+#: from the presence of words in LEAST_ROWS of them at least.
+SAMPLE_ROWS, LEAST_ROWS = 4000, 5
 #: A word tells a domain if it is so many times as frequent there as elsewhere, beyond chance by
 #: so much (log-likelihood); one word's say is bounded.
 LIFT, EVIDENCE, SAY = 4.0, 12.0, 5.0
 #: Of adjacent words so large a share is equal where a text counts as repetitive.
 REPEATS, REPETITIVE = 0.2, "<repetitive>"
-#: Weight of staying at rate 1, gradient steps at most and between written rates, and the
-#: largest difference of a domain's share from its target that ends the steps.
-STAY, STEPS, WRITTEN, CLOSE = 0.01, 48, 8, 1e-4
+#: Targets count as met within this share of each; gradient steps at most until then.
+CLOSE, STEPS = 0.005, 40
 WHITE = "[\\x20\\x09-\\x0D]+"
 
 
@@ -83,7 +83,7 @@ def learn_domains(docs: DataFrame, labelled: DataFrame, key: str, text: str, dom
 
     told = sum((fit(F.col(f"n{j}"), F.lit(float(n[j]))) for j in range(domains)), F.lit(0.0)) - fit(F.col("n"), F.lit(float(total)))
     telling = (F.col("n") >= LEAST_ROWS) & (F.greatest(*(lift(j) for j in range(domains))) >= LIFT) & (told >= EVIDENCE)
-    best = seen.filter(telling).orderBy(F.desc(told), "word").limit(WORDS).collect()
+    best = seen.filter(telling).orderBy("word").collect()  # from SAMPLE_ROWS texts
     base = [math.log((n[j] + 0.5) / (total + 0.5 * domains)) for j in range(domains)]
     gain = {}
     for r in best:
@@ -99,17 +99,14 @@ def scored(text: Column, model, domains: int) -> Column:
     """Struct of the number of words and the domains' likelihoods relative to the best one. A
     text is split once, and searched for the model's words only."""
     words, base, gain = model
-    crc = {w: zlib.crc32(w.encode()) for w in words}
-    # A table without collisions, so that a word is looked up in one step.
-    size = next(m for m in range(max(1, len(words)), 1 << 20) if len({c % m for c in crc.values()}) == len(words))
-    at = {crc[w] % size: gain[w] for w in words}
     known = F.lit(words) if words else F.expr("cast(array() as array<string>)")
 
     def places(w):
-        return F.transform(F.array_intersect(marked(w), known), lambda x: (F.crc32(x.cast("binary")) % size + 1).cast("int"))
+        # Few words of a text are known ones, so finding their places is cheap.
+        return F.transform(F.array_intersect(marked(w), known), lambda x: F.array_position(known, x).cast("int"))
 
     def logit(p, j):
-        gains = F.lit([at[i][j] if i in at else 0.0 for i in range(size)])
+        gains = F.lit([gain[w][j] for w in words] or [0.0])
         return F.aggregate(p, F.lit(base[j]), lambda a, x: a + F.element_at(gains, x))
 
     def softened(z):
@@ -130,62 +127,105 @@ def soft_membership(docs: DataFrame, labelled: DataFrame, domains: int, key: str
     return rows.select(*keep, F.col("_s.n_tokens").alias("n_tokens"), once(total, lambda t: F.transform("_s.e", lambda x: x / t)).alias("p"))
 
 
-def stepped(start: Column, p: Column, steps: list[list[float]], domains: int) -> Column:
-    """The rate after some projected steps; a step is what it adds to the gradient per domain."""
-    history = F.lit(steps) if steps else F.expr("cast(array() as array<array<double>>)")
+class Fit(NamedTuple):
+    """How the rates came out: wanted and reached tokens of each domain, relative to all tokens that
+    there are; the pull of each domain on a rate; whether every target is met within CLOSE."""
 
-    def pull(u):
-        return sum((p[j] * u[j] for j in range(domains)), F.lit(0.0))
+    wanted: list[float]
+    reached: list[float]
+    pull: list[float]
+    met: bool
 
-    return F.aggregate(history, start, lambda r, u: F.greatest(F.lit(0.0), r - (pull(u) + STAY * (r - 1.0)) / (1 + STAY)))
 
+def wanted_tokens(present: list[float], targets: list[float | None]) -> list[float]:
+    """Tokens of each domain, given those present. Targets for all domains are shares of the present
+    total; where some have none, these domains keep their tokens and the targets are shares of
+    what comes out."""
+    given = sum(t for t in targets if t is not None)
+    if all(t is not None for t in targets):
+        return [sum(present) * t / given for t in targets]
+    if given >= 1:
+        raise ValueError("targets leave nothing for the other domains")
+    total = sum(x for x, t in zip(present, targets) if t is None) / (1 - given)
+    return [x if t is None else t * total for x, t in zip(present, targets)]
 
-def fit_rates(rows: DataFrame, targets: list[float]) -> DataFrame:
-    """`rows(..., n_tokens, p)` with a nonnegative rate.
 
-    Minimises half the sum over domains of (share - target)^2 / present share, plus STAY / 2 times
-    the token mean of (rate - 1)^2, by projected gradient: all rows step at once along
-    p . (share - target) / present, and are cut off at 0. In the metric of the tokens the step
-    1 / (1 + STAY) never overshoots. A step sends the driver one sum per domain. The steps run
-    over a table of n_tokens, p and the last written rate alone; as a rate follows from p and the
-    steps, the rows themselves take all steps in one pass at the end.
+def rate_of(p: Column, pull: list[float]) -> Column:
+    return F.greatest(F.lit(0.0), sum((F.lit(float(u)) * p[j] for j, u in enumerate(pull)), F.lit(1.0)))
+
+
+def fit_rates(rows: DataFrame, targets: list[float | None], ceilings: bool = False) -> tuple[DataFrame, Fit]:
+    """`rows(..., n_tokens, p)` with a nonnegative rate, and how the fit came out.
+
+    Least squares: of all rates that give the domains their tokens, those with the least token
+    mean of (rate - 1)^2. Projected gradient: the gradient of a row lies along its p, so all steps
+    so far are one number a domain (the pull), the steps accumulate from 1, and the rate is their
+    projection onto 0 and more. A step is scaled by the second moments of p over the rows above 0, and
+    halved until it descends. It costs one aggregation of a few sums over n_tokens and p; the texts
+    are not read again, and the driver holds sums alone. Targets out of reach (a domain without
+    tokens, or shares that no mixture of the posteriors has) end after STEPS with met = False.
     """
     domains = len(targets)
-    small = staged(rows.select("n_tokens", "p"), "posteriors")
-    shares = [F.sum(F.col("n_tokens") * F.col("p")[j]) for j in range(domains)]
-    sums = small.agg(F.sum("n_tokens"), *shares).first()
+    names = [f"p{j}" for j in range(domains)]
+    small = staged(rows.select("n_tokens", *(F.col("p")[j].alias(n) for j, n in enumerate(names))), "posteriors")
+    sums = small.agg(F.sum("n_tokens"), *(F.sum(F.col("n_tokens") * F.col(n)) for n in names)).first()
     total = float(sums[0] or 0)
     if not total:
-        return rows.withColumn("rate", F.lit(1.0))
-    wanted = [t / sum(targets) for t in targets]
-    now = [float(s) / total for s in sums[1:]]
-    present = [max(x, 1e-9) for x in now]
-    small, recent, steps = small.withColumn("_start", F.lit(1.0)), [], []
-    for step in range(STEPS):
-        if step and max(abs(a - b) for a, b in zip(now, before)) < CLOSE / 10:
+        return rows.withColumn("rate", F.lit(1.0)), Fit([0.0] * domains, [0.0] * domains, [0.0] * domains, False)
+    present = [float(x) / total for x in sums[1:]]
+    if ceilings:
+        targets = [t if t is not None and x > t else None for x, t in zip(present, targets)]
+    wanted = np.array(wanted_tokens(present, targets))
+
+    def measured(pull):
+        """Reached tokens, the value that steps lower, and the moments of rows above 0."""
+        rate = rate_of(F.array(*names), list(pull))
+        mass, above = F.col("n_tokens") / total, F.when(F.col("rate") > 0, F.col("mass")).otherwise(0.0)
+        at = small.select(*names, rate.alias("rate"), mass.alias("mass"))
+        pairs = [(j, k) for j in range(domains) for k in range(j + 1)]
+        row = at.agg(
+            F.sum(F.col("mass") * F.col("rate") * F.col("rate")) / 2,
+            *(F.sum(F.col("mass") * F.col("rate") * F.col(n)) for n in names),
+            *(F.sum(above * F.col(names[j]) * F.col(names[k])) for j, k in pairs),
+        ).first()
+        reached, moments = np.array(row[1 : domains + 1], float), np.zeros((domains, domains))
+        for (j, k), x in zip(pairs, row[domains + 1 :]):
+            moments[j, k] = moments[k, j] = x
+        return reached, float(row[0]) - float(np.dot(pull, wanted)), moments
+
+    def close(reached):
+        return bool((np.abs(reached - wanted) <= CLOSE * wanted + 1e-12).all())
+
+    pull = np.zeros(domains)
+    reached, value, moments = measured(pull)
+    size = 1.0
+    for _ in range(STEPS):
+        if close(reached):
             break
-        before = now
-        steps.append([(a - w) / s for a, w, s in zip(now, wanted, present)])
-        recent.append(steps[-1])
-        rate = stepped(F.col("_start"), F.col("p"), recent, domains)
-        if len(recent) == WRITTEN:
-            small, recent = staged(small.withColumn("_start", rate), "rates"), []
-            rate = F.col("_start")
-        now = [float(x) / total for x in small.agg(*(F.sum(rate * F.col("n_tokens") * F.col("p")[j]) for j in range(domains))).first()]
-    return rows.withColumn("rate", stepped(F.lit(1.0), F.col("p"), steps, domains))
-
-
-def document_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, key: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """`keep` columns (key by default), n_tokens, p_<domain> and rate of every document.
-
-    Labels other than 0 or 1 and null keys teach nothing; without labelled rows every domain is
-    as likely. Null and empty texts have no tokens, hence no weight in the sums, but a rate like
-    others of their posteriors. Repeated rows count each; an empty table gives no rows.
+        step = np.linalg.lstsq(moments + 1e-12 * np.eye(domains), wanted - reached, rcond=None)[0]
+        there = measured(pull + size * step)
+        if there[1] < value:
+            pull, (reached, value, moments), size = pull + size * step, there, min(1.0, 2 * size)
+        else:
+            size /= 4
+    fit = Fit(wanted.tolist(), reached.tolist(), pull.tolist(), close(reached))
+    return rows.withColumn("rate", rate_of(F.col("p"), fit.pull)), fit
+
+
+def document_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, key: str = "doc_id", text: str = "text", keep: list[str] | None = None, ceilings: bool = False) -> DataFrame:
+    """`keep` columns (key by default), n_tokens, p_<domain>, rate and targets_met of every document.
+
+    Domains left out of `targets` keep their tokens; with `ceilings` so do those that have less
+    than their target. targets_met is false in all rows if the
+    targets can't be reached. Labels other than 0 or 1 and null keys teach nothing; without
+    labelled rows every domain is as likely. Null and empty texts have no tokens, hence no weight in
+    the sums, but a rate like others of their posteriors. Repeated rows count each; an empty table
+    gives no rows.
     """
     labelled = labels.select(key, domain_of(labels).alias("domain"))
     rows = staged(soft_membership(docs, labelled, len(DOMAINS), key, text, keep or [key]), "members")
-    rated = fit_rates(rows, [targets[d] for d in DOMAINS])
-    return rated.select(*(keep or [key]), "n_tokens", *(F.col("p")[j].alias(f"p_{d}") for j, d in enumerate(DOMAINS)), "rate")
+    rated, fit = fit_rates(rows, [targets.get(d) for d in DOMAINS], ceilings)
+    return rated.select(*(keep or [key]), "n_tokens", *(F.col("p")[j].alias(f"p_{d}") for j, d in enumerate(DOMAINS)), "rate", F.lit(fit.met).alias("targets_met"))
 
 
 def copies(rate: Column, *identity: str) -> Column:

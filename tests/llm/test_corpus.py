@@ -206,13 +206,40 @@ def test_quality(spark, docs):
     assert len(got) == docs.count() and (got.score == 0.5).all()
 
 
-def test_mixing_meets_targets(spark):
+def plain_rates(n, p, wanted):
+    """Rates nearest to 1 that meet the wanted tokens, by small projected steps on all rows."""
+    pull, mass = np.zeros(p.shape[1]), n / n.sum()
+    for _ in range(400_000):
+        rate = np.maximum(0, 1 + p @ pull)
+        wrong = (mass * rate) @ p - wanted
+        if np.abs(wrong).max() < 1e-9:
+            break
+        pull -= 0.9 * wrong / (mass @ p)
+    return rate
+
+
+@pytest.mark.parametrize("targets", [mixing.TARGETS, {"low": 0.2, "low_toxic": 0.02, "high": 0.7, "high_toxic": 0.08}, {"high_toxic": 0.01}])
+def test_mixing_meets_targets(spark, targets):
     sf = "/root/testdata/sf0.01"
-    out = mixing.op10_mixing(spark, sf).toPandas()
-    total = out.n_tokens.sum()
-    for d, share in mixing.TARGETS.items():
-        assert abs((out[f"p_{d}"] * out.n_tokens * out.rate).sum() / total - share) < 0.01
-    assert (out.rate >= 0).all() and np.allclose(out[[f"p_{d}" for d in mixing.DOMAINS]].sum(axis=1), 1)
+    out = mixing.document_rates(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"), targets).toPandas()
+    n, p = out.n_tokens.to_numpy(float), out[[f"p_{d}" for d in mixing.DOMAINS]].to_numpy()
+    present = n @ p / n.sum()
+    assert np.allclose(p.sum(axis=1), 1) and (out.rate >= 0).all() and out.targets_met.all()
+    reached = (n * out.rate) @ p / n.sum()
+    for k, d in enumerate(mixing.DOMAINS):
+        assert reached[k] == pytest.approx(present[k] if d not in targets and len(targets) < 4 else targets[d] * reached.sum(), rel=0.01)
+    plain = plain_rates(n, p, np.array(mixing.wanted_tokens(present.tolist(), [targets.get(d) for d in mixing.DOMAINS])))
+    assert np.allclose(out.rate, plain, rtol=0.05, atol=0.02)
+
+
+def test_mixing_tells_of_targets_out_of_reach(spark):
+    rows = spark.createDataFrame([(10, [0.9, 0.1]), (20, [0.8, 0.2])], "n_tokens long, p array<double>")
+    assert not mixing.fit_rates(rows, [0.1, 0.9])[1].met
+    assert mixing.fit_rates(rows, [0.85, 0.15])[1].met
+    rated, fit = mixing.fit_rates(rows.limit(0), [0.5, 0.5])
+    assert not fit.met and rated.count() == 0
+    with pytest.raises(ValueError):
+        mixing.wanted_tokens([0.5, 0.5], [1.0, None])
 
 
 def test_mixing_edge_cases(spark, docs):
