@@ -13,8 +13,9 @@ from gaugeflow.llm import decontaminate, mixing, near_copies, quality, sharding
 from gaugeflow.llm.common import staged, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Token shares of the domains in the mixture: clean text is never thinned out.
-TARGETS = {"low": 0.01, "low_toxic": 0.001, "high": 0.95, "high_toxic": 0.039}
+#: Token shares that the toxic domains may have in the mixture; the others keep their tokens, so that
+#: clean text is not thinned out, however much of the corpus it is.
+TARGETS = {"low_toxic": 0.001, "high_toxic": 0.004}
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +44,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its rate says: rounded down, or up by a hash of the row."""
-    rated = mixing.document_rates(docs, table(spark, sf_dir, "labels"), TARGETS, keep=COLUMNS)
+    rated = mixing.document_rates(docs, table(spark, sf_dir, "labels"), TARGETS, keep=COLUMNS, ceilings=True)
     times = mixing.copies(F.col("rate"), "doc_id", "text")
     return rated.withColumn("_times", times).filter("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*COLUMNS)
 
