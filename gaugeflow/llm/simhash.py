@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -56,88 +56,84 @@ def fingerprints(docs: DataFrame, keep: list[str], text: str = "text", words_in:
 
 
 class Covering:
-    """A perfect covering code of 32-bit words: Golay (23 bits, radius 3) x Hamming (7 bits,
-    radius 1) x all words of the last 2 bits (radius 0). Its words are the anchors; every word
-    has one nearest anchor, 4 away at most."""
+    """A covering code of 48-bit words: Golay (23 bits, radius 3) twice, and all words of the last 2
+    bits. Its 2^26 words are the anchors; every word has one at most 6 bits away."""
 
-    GOLAY_BITS, GOLAY_POLY, HAMMING_BITS, HAMMING_POLY = 23, 0xAE3, 7, 0xB
+    BITS, POLY, CHECKS, RADIUS, FREE = 23, 0xAE3, 11, 3, 2
+    #: Two words at THRESHOLD differing bits have a word between them, 1 bit from each; its nearest
+    #: anchor is within the covering radius of it, hence within REACH of both.
+    THRESHOLD = 2
+    REACH = 2 * RADIUS + THRESHOLD // 2
 
     def __init__(self):
-        self.golay = self._code(self.GOLAY_BITS, self.GOLAY_POLY, 11, 3)
-        self.hamming = self._code(self.HAMMING_BITS, self.HAMMING_POLY, 3, 1)
-
-    @staticmethod
-    def _code(bits: int, poly: int, checks: int, radius: int):
-        """Remainders of single bits; by remainder, the error to the nearest word and the errors
-        to the words that are one bit further away (equal counts, or none: valid is False)."""
         single = []
-        for bit in range(bits):
+        for bit in range(self.BITS):  # the remainder of a single bit
             value = 1 << bit
-            for high in range(bits - 1, checks - 1, -1):
+            for high in range(self.BITS - 1, self.CHECKS - 1, -1):
                 if value >> high & 1:
-                    value ^= poly << (high - checks)
+                    value ^= self.POLY << (high - self.CHECKS)
             single.append(value)
-        near, further = {}, {}
-        for weight in range(radius + 2):
-            for chosen in combinations(range(bits), weight):
-                rest = error = 0
-                for bit in chosen:
-                    rest, error = rest ^ single[bit], error | 1 << bit
-                if rest not in near:
-                    near[rest] = (error, weight)
-                elif weight == near[rest][1] + 1:
-                    further.setdefault(rest, []).append(error)
-        width = max(map(len, further.values()))
-        leader = np.array([near[s][0] for s in range(1 << checks)], np.uint64)
-        more = np.array([(further.get(s, []) + [0] * width)[:width] for s in range(1 << checks)], np.uint64)
-        valid = np.array([[k < len(further.get(s, [])) for k in range(width)] for s in range(1 << checks)])
-        table = np.zeros(1, np.uint16)
-        for value in single:  # remainders of all words, doubling
-            table = np.concatenate((table, table ^ np.uint16(value)))
-        return table, leader, more, valid
-
-    def anchors(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(index, anchor, home): for each word its nearest anchor (home) and every anchor one
-        bit further away than that."""
-        g_table, g_near, g_more, g_valid = self.golay
-        h_table, h_near, h_more, h_valid = self.hamming
-        g, h = g_table[words & np.uint64((1 << 23) - 1)], h_table[(words >> np.uint64(23)) & np.uint64(127)]
-        shift = np.uint64(23)
-        home = words ^ g_near[g] ^ (h_near[h] << shift)
-        index = np.arange(len(words))
-        out = [(index, home, np.ones(len(words), bool))]
-        for k in range(g_more.shape[1]):
-            on = g_valid[g, k]
-            out.append((index[on], (words ^ g_more[g, k] ^ (h_near[h] << shift))[on], np.zeros(on.sum(), bool)))
-        for k in range(h_more.shape[1]):
-            on = h_valid[h, k]
-            out.append((index[on], (words ^ g_near[g] ^ (h_more[h, k] << shift))[on], np.zeros(on.sum(), bool)))
-        for bit in (30, 31):
-            out.append((index, home ^ np.uint64(1 << bit), np.zeros(len(words), bool)))
+        self.remainder = np.zeros(1, np.uint16)
+        for value in single:  # of all words, doubling
+            self.remainder = np.concatenate((self.remainder, self.remainder ^ np.uint16(value)))
+        # The errors of up to REACH bits in the order of (remainder, weight), and where each run begins.
+        words = np.zeros(1, np.uint32)
+        weights = np.zeros(1, np.uint8)
+        for bit in range(self.BITS):
+            on = weights < self.REACH
+            words, weights = np.concatenate((words, words[on] | np.uint32(1 << bit))), np.concatenate((weights, weights[on] + 1))
+        run = self.remainder[words].astype(np.int64) * (self.REACH + 1) + weights
+        self.errors = words[np.argsort(run, kind="stable")].astype(np.uint64)
+        self.size = np.bincount(run, minlength=(self.REACH + 1) << self.CHECKS)
+        self.start = np.cumsum(self.size) - self.size
+
+    def anchors(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index, anchor): for each word all anchors within REACH."""
+        mask, shift, runs = np.uint64((1 << self.BITS) - 1), np.uint64(self.BITS), self.REACH + 1
+        low = self.remainder[words & mask].astype(np.int64) * runs
+        high = self.remainder[(words >> shift) & mask].astype(np.int64) * runs
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.uint64))]
+        for a in range(runs):
+            for b in range(runs - a):
+                many = self.size[low + a] * self.size[high + b]
+                index = np.repeat(np.arange(len(words)), many)
+                k = np.arange(len(index)) - np.repeat(np.cumsum(many) - many, many)
+                wide = self.size[high + b][index]
+                one = self.errors[self.start[low + a][index] + k // np.maximum(wide, 1)]
+                two = self.errors[self.start[high + b][index] + k % np.maximum(wide, 1)]
+                near = words[index] ^ one ^ (two << shift)
+                for free in range(1 << self.FREE):
+                    if a + b + free.bit_count() <= self.REACH:
+                        out.append((index, near ^ np.uint64(free << 2 * self.BITS)))
         return tuple(np.concatenate(x) for x in zip(*out))
 
 
+@lru_cache(maxsize=1)
+def covering() -> Covering:
+    return Covering()
+
+
 def replicas(fps: DataFrame) -> DataFrame:
-    """(anchor, fp, home): each fingerprint at every anchor within reach, for both halves.
+    """(anchor, fp): each fingerprint at every anchor within reach.
 
-    Fingerprints at 3 or fewer differing bits differ by at most one in one of their halves. For
-    that half, let x be the one nearer to its anchor: the other is within one bit more of that
-    anchor, which is no more than one bit beyond its own nearest. So a replica at the nearest
-    anchor (covering radius) and at those one bit (the threshold of a half) further is enough.
+    Of four blocks of 16 bits, fingerprints at 3 or fewer differing bits have one that takes at
+    least one of these; the other three blocks, 48 bits, differ by 2 at most. So the covering is
+    laid over all four choices of three blocks, with 2 as its threshold.
     """
 
     def run(batches):
-        code = Covering()
+        code = covering()
         for batch in batches:
-            fp = batch.column("fp").to_numpy().view(np.uint64)
-            parts = []
-            for half in (0, 1):
-                index, anchor, home = code.anchors((fp >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF))
-                parts.append((anchor | np.uint64(half << 32), fp[index], home))
-            anchor, rows, home = (np.concatenate(x) for x in zip(*parts))
-            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(rows.view(np.int64)), pa.array(home)], ["anchor", "fp", "home"])
+            for part in range(0, batch.num_rows, 1 << 13):
+                fp = batch.column("fp").slice(part, 1 << 13).to_numpy().view(np.uint64)
+                for left_out in range(4):
+                    low = fp & np.uint64((1 << 16 * left_out) - 1)
+                    high = fp >> np.uint64(16 * left_out + 16) if left_out < 3 else np.zeros_like(fp)
+                    index, anchor = code.anchors(low | high << np.uint64(16 * left_out))
+                    anchor |= np.uint64(left_out << 48)
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(fp[index].view(np.int64))], ["anchor", "fp"])
 
-    return fps.select("fp").mapInArrow(run, "anchor long, fp long, home boolean")
+    return fps.select("fp").mapInArrow(run, "anchor long, fp long")
 
 
 class Forest:
@@ -171,28 +167,46 @@ class Forest:
         self.a, self.b = nodes[root != np.arange(len(nodes))], nodes[root[root != np.arange(len(nodes))]]
 
 
-def _compare(batches):
-    """Rows sorted by (cell, home first): links of every cell, as stars."""
-    forest, rest = Forest(), None
-    for batch in batches:
-        cell, fp, home, side = (np.asarray(batch.column(k).to_numpy(zero_copy_only=False)) for k in ("cell", "fp", "home", "side"))
+def _compare(most: int | None):
+    """Rows sorted by cell: links of every cell, as stars. Cells of more than `most` rows are not
+    held; their rows pass as they are, with crowded set."""
+
+    def run(batches):
+        forest, rest, full = Forest(), None, None
+
+        def passed(cell, fp):
+            return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(fp), pa.array(np.ones(len(fp), bool))], ["a", "b", "crowded"])
+
+        for batch in batches:
+            cell, fp, side = (np.asarray(batch.column(k).to_numpy(zero_copy_only=False)) for k in ("cell", "fp", "side"))
+            if full is not None:
+                on = cell == full
+                yield passed(cell[on], fp[on])
+                cell, fp, side = cell[~on], fp[~on], side[~on]
+            if rest is not None:
+                cell, fp, side = (np.concatenate(x) for x in zip(rest, (cell, fp, side)))
+            if not len(cell):
+                continue
+            # A batch may complete a cell that is over the limit; it is compared as any other.
+            cut = int(np.searchsorted(cell, cell[-1]))
+            _links(cell[:cut], fp[:cut], side[:cut], forest)
+            rest = (cell[cut:], fp[cut:], side[cut:])
+            if most is not None and len(rest[0]) > most:
+                full = cell[-1]
+                yield passed(rest[0], rest[1])
+                rest = None
         if rest is not None:
-            cell, fp, home, side = (np.concatenate(x) for x in zip(rest, (cell, fp, home, side)))
-        cut = int(np.searchsorted(cell, cell[-1])) if len(cell) else 0
-        rest = (cell[cut:], fp[cut:], home[cut:], side[cut:])
-        _links(cell[:cut], fp[:cut], home[:cut], side[:cut], forest)
-    if rest is not None:
-        _links(*rest, forest)
-    forest.reduce()
-    yield pa.RecordBatch.from_arrays([pa.array(forest.a), pa.array(forest.b)], ["a", "b"])
-
-
-def _links(cell, fp, home, side, forest):
-    if not len(cell):
-        return
+            _links(*rest, forest)
+        forest.reduce()
+        yield pa.RecordBatch.from_arrays([pa.array(forest.a), pa.array(forest.b), pa.array(np.zeros(len(forest.a), bool))], ["a", "b", "crowded"])
+
+    return run
+
+
+def _links(cell, fp, side, forest):
     word = fp.view(np.uint64)
     ends = np.searchsorted(cell, cell, side="right")
-    live, gap = np.flatnonzero(home), 1
+    live, gap = np.arange(len(cell)), 1
     while True:
         live = live[live + gap < ends[live]]
         if not live.size:
@@ -207,13 +221,17 @@ def _links(cell, fp, home, side, forest):
 def links(fps: DataFrame, cell_rows: int = 20_000) -> DataFrame:
     """Edges (a, b) that connect all fingerprints of `fps(fp)` (distinct) at DISTANCE or less.
 
-    An anchor with more than `cell_rows` replicas is cut into blocks by a hash of the
+    An anchor with (well) more than `cell_rows` replicas is cut into blocks by a hash of the
     fingerprint, and each pair of blocks is compared as a cell of its own, so that a task holds
     two blocks at most however many rows an anchor has.
     """
-    rows = replicas(fps)
-    crowded = rows.groupBy("anchor").count().filter(F.col("count") > cell_rows).select("anchor", F.ceil(F.col("count") / cell_rows).cast("int").alias("blocks"))
-    rows = rows.join(crowded, "anchor", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    schema = "a long, b long, crowded boolean"
+    cells = replicas(fps).select(F.col("anchor").alias("cell"), F.lit(0).alias("side"), "fp")
+    found = staged(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_compare(cell_rows), schema), "links")
+    usual, crowded = found.filter("NOT crowded").select("a", "b"), found.filter("crowded").select(F.col("a").alias("anchor"), F.col("b").alias("fp"))
+    if crowded.isEmpty():
+        return usual
+    blocks = crowded.groupBy("anchor").agg(F.ceil(F.count("*") / cell_rows).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     pairs = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
@@ -223,9 +241,9 @@ def links(fps: DataFrame, cell_rows: int = 20_000) -> DataFrame:
             F.when(k == F.col("own"), 0).when(F.col("own") < k, 1).otherwise(2).alias("side"),
         ),
     )
-    cells = rows.withColumn("own", own).withColumn("at", F.explode(pairs)).select("at.cell", "at.side", "fp", "home")
-    cells = cells.repartition("cell").sortWithinPartitions("cell", F.desc("home"))
-    return cells.mapInArrow(_compare, "a long, b long")
+    cells = crowded.join(blocks, "anchor").withColumn("own", own).withColumn("at", F.explode(pairs)).select("at.cell", "at.side", "fp")
+    cells = cells.repartition("cell").sortWithinPartitions("cell")
+    return usual.union(cells.mapInArrow(_compare(None), schema).select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words_in: int = 3) -> DataFrame:

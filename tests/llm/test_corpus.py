@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from gaugeflow.llm.common import staged
 from gaugeflow.llm import brown_lm, decontaminate, exact_dedup, graph, html_text, mixing, quality, secrets, sharding, simhash, suffix_dedup
 
 SF = "/root/testdata/sf0.001"
@@ -98,8 +99,19 @@ def test_fingerprints(docs):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("cell_rows", [20_000, 10])
-def test_links_reach_all_near_fingerprints(spark, cell_rows):
+def test_every_pair_at_two_bits_shares_an_anchor():
+    code, draw = simhash.covering(), np.random.default_rng(1)
+    words = draw.integers(0, 1 << 48, 3000, dtype=np.uint64)
+    words[:2] = 0, (1 << 48) - 1
+    others = words ^ (np.uint64(1) << draw.integers(0, 48, len(words)).astype(np.uint64)) ^ (np.uint64(1) << draw.integers(0, 48, len(words)).astype(np.uint64))
+    (i, a), (j, b) = code.anchors(words), code.anchors(others)
+    assert {x for x, _ in {*zip(i.tolist(), a.tolist())} & {*zip(j.tolist(), b.tolist())}} == set(range(len(words)))
+    assert np.bitwise_count(a ^ words[i]).max() == code.REACH and len(i) < 25 * len(words)
+
+
+@pytest.mark.parametrize("cell_rows", [20_000, 3])
+def test_links_reach_all_near_fingerprints(spark, cell_rows, monkeypatch):
+    seen = {}
     draw = np.random.default_rng(4)
     fps = list(draw.integers(0, 2**64, 150, dtype=np.uint64))
     for _ in range(450):
@@ -118,7 +130,14 @@ def test_links_reach_all_near_fingerprints(spark, cell_rows):
     for a, b in np.argwhere(np.triu(np.bitwise_count(fps[:, None] ^ fps[None]) <= 3, 1)):
         root[max(find(a), find(b))] = min(find(a), find(b))
     want = Counter(frozenset(g) for g in pd.Series(fps.view(np.int64)).groupby([find(i) for i in range(len(fps))]).agg(set) if len(g) > 1)
-    got = graph.components(simhash.links(spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long"), cell_rows)).toPandas()
+    if cell_rows == 3:  # batches that cells reach over, and crowded ones
+        monkeypatch.setattr(simhash, "staged", lambda df, name: seen.setdefault(name, staged(df, name)))
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        got = graph.components(simhash.links(spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long"), cell_rows)).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert cell_rows > 3 or seen["links"].filter("crowded").count() > 0
     assert Counter(frozenset(g) for g in got.groupby("root").node.agg(set)) == want
 
 
