@@ -10,9 +10,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, slices, staged, text_bytes
+from .common import Staged, release, slices, staged, text_bytes
 from .graph import components
-from .simhash import SEED, shingle_hashes
+from .simhash import SEED, links, shingle_hashes, vote
 
 WORDS_IN, SIMILARITY = 5, 0.8
 #: Against rounding of SIMILARITY x size, on the side of more candidates and of equality.
@@ -21,6 +21,7 @@ SLACK = 1e-9
 #: come last in the order of prefixes, so many at most. This is for speed alone: prefixes of any
 #: common order meet.
 COMMON, SAMPLED, LATE = 4, 200_000, 1_000_000
+SKETCHES, _FACTOR = 4, np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingle_set(text: bytes, words_in: int) -> np.ndarray:
@@ -54,43 +55,37 @@ def common_shingles(docs: DataFrame, text: str, words_in: int) -> np.ndarray:
 
 
 def _prepare(names, words_in, similarity, late):
-    """Appends node (hash of the whole set), size, and the prefix: sets of sizes x <= y share
-    similarity * y elements at least, so of each the first size - ceil(similarity * size) + 1
-    elements, in any order common to all sets, have one in common."""
+    """Appends node (hash of the whole set), size, center (how common its shingles are, in
+    thousandths), fp (its SimHash), sketch (the least of the set under SKETCHES orders), and the
+    prefix: sets of sizes x <= y share similarity * y elements at least, so of each the first
+    size - ceil(similarity * size) + 1 elements, in any order common to all sets, have one in
+    common."""
 
     def run(batches):
         for batch in slices(batches):
-            nodes, sizes, prefixes = [], [], []
+            out = [[] for _ in range(5)]
+            lists = [[], []]
             for text in text_bytes(batch.column("_text")):
-                s = shingle_set(text, words_in)
-                nodes.append(xxhash.xxh3_64_intdigest(s.tobytes(), SEED))
-                sizes.append(len(s))
-                prefixes.append(_ordered(s, late)[: len(s) - math.ceil(similarity * len(s) - SLACK) + 1 if len(s) else 0].view(np.int64))
-            flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
-            offsets = np.concatenate(([0], np.cumsum([len(p) for p in prefixes]))).astype(np.int32)
-            columns = [*(batch.column(n) for n in names), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
-            yield pa.RecordBatch.from_arrays(columns, [*names, "node", "size", "prefix"])
+                hashes = np.array(shingle_hashes(text.lower().split(), words_in), np.uint64)
+                s = np.unique(hashes)
+                ordered = _ordered(s, late)
+                center = int(1000 * (ordered >> np.uint64(63)).mean()) if len(s) else 0
+                for column, value in zip(out, (xxhash.xxh3_64_intdigest(s.tobytes(), SEED), len(s), center, vote(hashes))):
+                    column.append(value)
+                with np.errstate(over="ignore"):
+                    sketch = [int((s * np.uint64(2 * k + 1) * _FACTOR).min()) ^ k for k in range(SKETCHES)] if len(s) else []
+                lists[0].append(np.array(sketch, np.uint64).view(np.int64))
+                lists[1].append(ordered[: len(s) - math.ceil(similarity * len(s) - SLACK) + 1 if len(s) else 0].view(np.int64))
+            longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (out[0], out[3])]
+            columns = [*(batch.column(n) for n in names), longs[0], pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), longs[1], *map(_lists, lists)]
+            yield pa.RecordBatch.from_arrays(columns, [*names, "node", "size", "center", "fp", "sketch", "prefix"])
 
     return run
 
 
-def _possible(similarity):
-    """Pairs whose prefixes leave the similarity possible: up to the lesser of their last elements
-    both sets are known whole, and what differs there may not exceed what may differ in all."""
-
-    def run(batches):
-        for batch in slices(batches):
-            keep = []
-            for one, two, m, n in zip(*(batch.column(k).to_pylist() for k in ("one", "two", "m", "n"))):
-                x, y = (np.array(p, np.int64).view(np.uint64) for p in (one, two))
-                last = min(x[-1], y[-1])
-                x, y = x[x <= last], y[y <= last]
-                differ = len(x) + len(y) - 2 * len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(differ <= (m + n) * (1 - similarity) / (1 + similarity) + SLACK)
-            on = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(k).filter(on) for k in ("a", "b")], ["a", "b"])
-
-    return run
+def _lists(values):
+    flat = np.concatenate(values) if values else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(v) for v in values]))).astype(np.int32)), pa.array(flat))
 
 
 def _cells(batches, emit):
@@ -114,42 +109,46 @@ def _batch(a, b):
 def _shared(batches):
     """Rows of cells with more than one row."""
 
-    def emit(cell, node, size):
+    def emit(cell, node, size, place):
         same = cell[1:] == cell[:-1]
         on = np.concatenate((same, [False])) | np.concatenate(([False], same)) if len(cell) else np.zeros(0, bool)
-        yield pa.RecordBatch.from_arrays([pa.array(cell[on]), pa.array(node[on]), pa.array(size[on])], ["cell", "node", "size"])
+        yield pa.RecordBatch.from_arrays([pa.array(cell[on]), pa.array(node[on]), pa.array(size[on]), pa.array(place[on])], ["cell", "node", "size", "place"])
 
     return _cells(batches, emit)
 
 
-def _chain(similarity):
-    """Pairs of neighbours, and of the first row with each other row of its size's reach."""
+def _stars(similarity):
+    """Of rows in the order of (cell, how common they are): pairs with the cell's first row, which
+    is the likeliest original of its copies, and in the first sketch with the row before."""
 
-    def emit(cell, node, size):
+    def emit(cell, center, size, node, order):
         if len(cell) < 2:
             return
-        first = np.searchsorted(cell, cell)
-        for other in (np.arange(len(cell)) - 1, first):
-            at = np.arange(len(cell))
-            on = (at > first) & (size[other] >= similarity * size - SLACK)
+        first, at = np.searchsorted(cell, cell), np.arange(len(cell))
+        for other in (first, at - 1):
+            low, high = np.minimum(size[other], size), np.maximum(size[other], size)
+            on = (at > first) & (low >= similarity * high - SLACK) & ((other == first) | (order == 0))
             yield _batch(node[other[on]], node[at[on]])
 
     return lambda batches: _cells(batches, emit)
 
 
 def _all_pairs(similarity):
-    """All pairs of a cell that sizes allow and whose roots (or sides, if any) are apart."""
+    """All pairs of a cell that are still apart (by root, and by side if any) and that sizes and
+    places allow. Of the elements two sets share, let the cell's be the first: then they share
+    no more than what is left of either set from there on."""
 
-    def emit(cell, size, node, root, side):
+    def emit(cell, size, node, root, place, side):
         live, gap = np.arange(len(cell)), 1
-        ends = np.searchsorted(cell, cell, side="right")
+        ends, left = np.searchsorted(cell, cell, side="right"), size - place
         while True:
             live = live[live + gap < ends[live]]
             live = live[size[live] >= similarity * size[live + gap] - SLACK]
             if not live.size:
                 return
             other = live + gap
-            on = (root[live] != root[other]) & ((side[live] != side[other]) | (side[live] == 0))
+            least = similarity / (1 + similarity) * (size[live] + size[other]) - SLACK
+            on = (root[live] != root[other]) & ((side[live] != side[other]) | (side[live] == 0)) & (np.minimum(left[live], left[other]) >= least)
             if on.any():
                 yield _batch(node[live[on]], node[other[on]])
             gap += 1
@@ -174,50 +173,60 @@ def _confirm(words_in, similarity):
     return run
 
 
+def _confirmed(pairs: DataFrame, texts: DataFrame, words_in: int, similarity: float) -> DataFrame:
+    pairs = Staged(pairs, "pairs")
+    wanted = pairs.df.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    needed = Staged(texts.join(wanted, "node", "left_semi"), "texts")
+    two = pairs.df.join(needed.df.toDF("b", "two"), "b")
+    both = two.join(needed.df.toDF("a", "one"), "a").select("a", "b", "one", "two")
+    found = staged(both.mapInArrow(_confirm(words_in, similarity), "a long, b long"), "links")
+    pairs.drop(), needed.drop()
+    return found
+
+
 def near_copies(docs: DataFrame, text: str = "text", words_in: int = WORDS_IN, similarity: float = SIMILARITY, cell_rows: int = 20_000) -> DataFrame:
     """The columns of docs, row (an id of the row) and root (equal in all rows of a group).
 
     Rows whose texts' sets of `words_in`-word shingles have a Jaccard similarity of `similarity`
-    or more are linked, and groups are what links reach. No similar pair is missed: candidates are
-    all pairs that share a shingle of their prefixes, and each that these leave possible is confirmed
-    on its texts. (Bits
-    of a SimHash can't be the filter: at 0.8 about 10 of 64 differ, up to 20, too many for any
-    covering that still separates.) Texts of fewer words are one shingle; texts without words
-    are equal. Sets meet by 64-bit hashes. Keys and nulls play no part; a row stays a row.
-
-    Neighbours within a cell (the rows of one prefix shingle) are confirmed first; after that only
-    pairs that are not yet in one group, so that a large group of copies isn't compared pair by
-    pair. Cells over `cell_rows` are compared as pairs of blocks.
+    or more are linked, and groups are what links reach. Texts of fewer words are one shingle;
+    texts without words are equal. Sets meet by 64-bit hashes. Keys and nulls play no part; a row
+    stays a row.
+
+    Likely pairs are confirmed first: each row of a SimHash group (3 bits, by anchor-point covering)
+    with one of them, and of rows that share a sketch with the likeliest original. Bits of a
+    SimHash can't be the only filter: at 0.8 about 10 of 64 differ, up to 20, too many for any
+    covering that still separates. So, in order to miss no similar pair, all pairs that share a
+    shingle of their prefixes follow, but for those in one group by then, and those that sizes and
+    places of the shingle rule out. Each pair is confirmed on its texts. Cells (the rows of one
+    shingle) over `cell_rows` are compared as pairs of blocks.
     """
     names, kinds = docs.columns, dict(docs.dtypes)
-    schema = ", ".join([*(f"`{n}` {kinds[n]}" for n in names), "node long, size int, prefix array<long>"])
+    schema = ", ".join([*(f"`{n}` {kinds[n]}" for n in names), "node long, size int, center int, fp long, sketch array<long>, prefix array<long>"])
     late = common_shingles(docs, text, words_in)
     rows = docs.withColumn("_text", F.col(text)).mapInArrow(_prepare(names, words_in, similarity, late), schema)
     rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
     again = rows.groupBy("node").agg(F.min("row").alias("first"), F.count("*").alias("n")).filter("n > 1").select("node", "first")
     single = rows.join(staged(again, "again"), "node", "left").filter("first IS NULL OR first = row")
+    texts = single.select("node", F.col(text).alias("text"))
+
+    # Likely pairs first: of each SimHash group and of each sketch a row with the others.
+    prints = single.groupBy("fp").agg(F.min("node").alias("least"))
+    groups = components(links(prints)).toDF("fp", "root")
+    least = prints.join(groups, "fp").groupBy("root").agg(F.min("least").alias("a"))
+    of_print = groups.join(least, "root").select("fp", "a").union(prints.join(groups, "fp", "left_anti").select("fp", F.col("least").alias("a")))
+    near = single.select("fp", F.col("node").alias("b")).join(of_print, "fp").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    sketched = single.select(F.posexplode("sketch").alias("order", "cell"), "center", "size", "node").select("cell", "center", "size", "node", "order")
+    sketched = sketched.repartition("cell").sortWithinPartitions("cell", F.desc("center"), "size", "node")
+    likely = near.union(sketched.mapInArrow(_stars(similarity), "a long, b long")).distinct()
+    first = _confirmed(likely, texts, words_in, similarity)
+    roots = staged(components(first), "roots")
 
-    cells = single.select(F.explode("prefix").alias("cell"), "node", "size")
+    # Then every pair that shares an element of its prefixes, unless it is in one group already.
+    cells = single.select(F.posexplode("prefix").alias("place", "cell"), "node", "size").select("cell", "node", "size", "place")
     cells = cells.repartition("cell").sortWithinPartitions("cell", "size", "node")
-    cells = staged(cells.mapInArrow(_shared, "cell long, node long, size int"), "cells")
+    cells = Staged(cells.mapInArrow(_shared, "cell long, node long, size int, place int"), "cells")
     release(docs.sparkSession)
-
-    def confirmed(pairs):
-        sets = single.select("node", F.col("size").alias("k"), "prefix")
-        pairs = pairs.distinct().join(sets.toDF("a", "m", "one"), "a").join(sets.toDF("b", "n", "two"), "b")
-        pairs = staged(pairs.select("a", "b", "m", "n", "one", "two").mapInArrow(_possible(similarity), "a long, b long"), "pairs")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        texts = staged(single.select("node", F.col(text).alias("text")).join(wanted, "node", "left_semi"), "texts")
-        both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("two")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("one")), "a")
-        links = staged(both.select("a", "b", "one", "two").mapInArrow(_confirm(words_in, similarity), "a long, b long"), "links")
-        release(docs.sparkSession)
-        return links
-
-    chained = cells.repartition("cell").sortWithinPartitions("cell", "size", "node").mapInArrow(_chain(similarity), "a long, b long")
-    first = confirmed(chained)
-    roots = staged(components(first), "roots")
-    apart = cells.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    # Only cells whose rows are not yet in one group are left.
+    apart = cells.df.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = apart.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / cell_rows).cast("int").alias("blocks")).filter("low < high").select("cell", "blocks")
     apart = apart.join(mixed, "cell").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     block = F.transform(
@@ -227,8 +236,10 @@ def near_copies(docs: DataFrame, text: str = "text", words_in: int = WORDS_IN, s
             F.when(k == F.col("own"), 0).when(F.col("own") < k, 1).otherwise(2).alias("side"),
         ),
     )
-    apart = apart.withColumn("at", F.explode(block)).select("at.cell", "size", "node", "root", "at.side")
+    apart = apart.withColumn("at", F.explode(block)).select("at.cell", "size", "node", "root", "place", "at.side")
     apart = apart.repartition("cell").sortWithinPartitions("cell", "size", "node")
-    second = confirmed(apart.mapInArrow(_all_pairs(similarity), "a long, b long"))
+    second = _confirmed(apart.mapInArrow(_all_pairs(similarity), "a long, b long").distinct(), texts, words_in, similarity)
+    cells.drop()
+    release(docs.sparkSession)
     roots = components(first.union(second))
-    return rows.drop("size", "prefix").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node")
+    return rows.drop("size", "center", "fp", "sketch", "prefix").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node")

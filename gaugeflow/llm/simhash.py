@@ -29,18 +29,20 @@ def shingle_hashes(words: list[bytes], words_in: int) -> list[int]:
     return [digest(line[a:b], SEED) for a, b in zip(starts.tolist(), (ends[words_in - 1 :] - 1).tolist())]
 
 
-def fingerprint(text: bytes, words_in: int) -> int:
-    """Bit i is set if it is set in over half of the shingles' hashes, repeats included."""
-    hashes = shingle_hashes(text.lower().split(), words_in)
-    if not hashes:
-        return 0
+def vote(hashes: np.ndarray) -> int:
+    """Bit i is set if it is set in over half of the hashes; zero if there are none."""
     votes = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 16):
-        part = np.array(hashes[at : at + (1 << 16)], np.uint64)
+        part = np.ascontiguousarray(hashes[at : at + (1 << 16)])
         votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(votes * 2 > len(hashes), bitorder="little").tobytes(), "little")
 
 
+def fingerprint(text: bytes, words_in: int) -> int:
+    """The vote of the shingles' hashes, repeats included."""
+    return vote(np.array(shingle_hashes(text.lower().split(), words_in), np.uint64))
+
+
 def fingerprints(docs: DataFrame, keep: list[str], text: str = "text", words_in: int = 3) -> DataFrame:
     """`keep` columns and fp (the fingerprint as a signed long) of every document."""
     kinds = dict(docs.dtypes)
