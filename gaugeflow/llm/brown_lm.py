@@ -8,8 +8,10 @@ P(word | word before) = P(class of word | context class of word before) * P(word
 
 from __future__ import annotations
 
+import math
 import zlib
-from collections import Counter, defaultdict
+from array import array
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -146,30 +148,60 @@ class _OfEnding(dict):
         return self[tail]
 
 
+class _Ids(dict):
+    """Numbers of a task's words, in the order in which they turn up."""
+
+    def __init__(self, class_of: dict[bytes, int], of_ending: np.ndarray):
+        self.words, self.known, self.context = [], array("i"), array("i")
+        self.class_of, self.endings = class_of, _OfEnding(of_ending)
+
+    def __missing__(self, word):
+        self[word] = number = len(self.words)
+        known = self.class_of.get(word, -1)
+        self.words.append(word), self.known.append(known)
+        self.context.append(known if known >= 0 else self.endings[word[-2:]])
+        return number
+
+    def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of all tokens of the texts: number, own class (-1 if not in class_of), context class of
+        the token before; and where the texts begin. An end stands before every text."""
+        end, ids, starts = self[END], [], []
+        for text in texts:
+            starts.append(len(ids))
+            ids.extend(map(self.__getitem__, text.lower().split()))
+            ids.append(end)
+        ids = np.array(ids, np.int64)
+        context = np.frombuffer(self.context, np.int32)
+        return ids, np.frombuffer(self.known, np.int32)[ids], context[np.concatenate(([end], ids[:-1]))], np.array(starts, np.int64)
+
+
+#: A task's word numbers start anew beyond so many words.
+MOST_IDS = 500_000
+
+
 def _contexts(class_of: dict[bytes, int], of_ending: np.ndarray, every: bool):
     """(word, before, n): how often a word follows a context class, per task; of the words of
     class_of alone, or of every word."""
 
     def run(batches):
-        ending_class, counts, get = _OfEnding(of_ending), Counter(), class_of.get
+        numbers, waiting, size = _Ids(class_of, of_ending), [], 0
 
         def rows():
-            keys = list(counts)
-            return pa.RecordBatch.from_arrays([pa.array([k[1] for k in keys], pa.binary()), pa.array([k[0] for k in keys], pa.int32()), pa.array(counts.values(), pa.int64())], ["word", "before", "n"])
+            keys, at = np.unique(np.concatenate([k for k, _ in waiting]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([x for _, x in waiting]), len(keys)).astype(np.int64)
+            words = pa.array(numbers.words, pa.binary()).take(pa.array(keys // CLASSES))
+            return pa.RecordBatch.from_arrays([words, pa.array((keys % CLASSES).astype(np.int32)), pa.array(n)], ["word", "before", "n"])
 
         for batch in slices(batches):
-            last = class_of[END]
-            for text in text_bytes(batch.column("text")):
-                words = tokens(text)
-                known = list(map(get, words))
-                classes = [c if c is not None else ending_class[w[-2:]] for c, w in zip(known, words)]
-                pairs = zip([last, *classes[:-1]], words)
-                counts.update(pairs if every else [p for p, c in zip(pairs, known) if c is not None])
-                last = classes[-1]
-            if len(counts) > 1_000_000:
+            ids, known, before, _ = numbers.read(text_bytes(batch.column("text")))
+            keys = ids * CLASSES + before
+            keys, n = np.unique(keys if every else keys[known >= 0], return_counts=True)
+            waiting.append((keys, n))
+            size += len(keys)
+            if size > 4_000_000 or len(numbers) > MOST_IDS:
                 yield rows()
-                counts.clear()
-        if counts:
+                numbers, waiting, size = _Ids(class_of, of_ending), [], 0
+        if waiting:
             yield rows()
 
     return run
@@ -257,28 +289,31 @@ def _score(model):
     head, class_of, of_ending, link, base_norm = model
 
     def run(batches):
-        ending_class, start, get = _OfEnding(of_ending), class_of[END], class_of.get
-        log_of = {w: np.log10(n + SMOOTH) for w, n in head.items()}
+        own = {w: c for w, c in class_of.items() if w in head}
+        numbers, log_of = None, array("d")
         for batch in slices(batches):
-            out = defaultdict(list)
-            for text in text_bytes(batch.column("text")):
-                words = tokens(text)
-                known = [get(w) if w in log_of else None for w in words]
-                context = [start, *(c if (c := get(w)) is not None else ending_class[w[-2:]] for w in words[:-1])]
-                of = np.array([-1 if c is None else c for c in known], np.int64)
-                common = of >= 0
-                logs = float(sum(log_of[w] for w, c in zip(words, known) if c is not None))
-                steps = float(link[np.array(context)[common], of[common]].sum())
-                rest = Counter((w, before) for w, before, c in zip(words, context, known) if c is None)
-                rare = sorted({w for w, _ in rest})
-                place = {w: i for i, w in enumerate(rare)}
-                uses = [[] for _ in rare]
-                for (w, c), n in rest.items():
-                    uses[place[w]] += [c] * n
-                for name, value in (("n_tokens", len(words)), ("common", int(common.sum())), ("base", logs - base_norm * len(words)), ("model", logs + steps), ("rare", [{"word": w, "ending": ending(w), "after": sorted(u)} for w, u in zip(rare, uses)])):
-                    out[name].append(value)
-            kinds = {"n_tokens": pa.int64(), "common": pa.int64(), "base": pa.float64(), "model": pa.float64(), "rare": pa.list_(pa.struct([("word", pa.binary()), ("ending", pa.int32()), ("after", pa.list_(pa.int8()))]))}
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), *(pa.array(out[k], t) for k, t in kinds.items())], ["id", "held_out", *kinds])
+            if numbers is None or len(numbers) > MOST_IDS:
+                numbers, log_of = _Ids(own, of_ending), array("d")
+            texts = text_bytes(batch.column("text"))
+            ids, of, before, starts = numbers.read(texts)
+            log_of.extend(math.log10(head.get(w, 0) + SMOOTH) for w in numbers.words[len(log_of) :])
+            common = of >= 0
+            logs = np.where(common, np.frombuffer(log_of, np.float64)[ids], 0.0)
+            steps = np.where(common, link[before, of], 0.0)
+            sizes = np.diff(np.append(starts, len(ids)))
+            some, base, model_sum = (np.add.reduceat(x, starts) if len(starts) else np.zeros(0) for x in (common.astype(np.int64), logs, logs + steps))
+            # What is left, in the order of (text, word): a list of words a text, of classes a word.
+            rest = np.flatnonzero(~common)
+            doc = np.repeat(np.arange(len(starts)), sizes)[rest]
+            order = np.lexsort((before[rest], ids[rest], doc))
+            doc, word, before = doc[order], ids[rest][order], before[rest][order]
+            new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (word[1:] != word[:-1])))) if len(doc) else np.zeros(0, np.int64)
+            after = pa.ListArray.from_arrays(pa.array(np.append(new, len(doc)).astype(np.int32)), pa.array(before.astype(np.int8)))
+            rare = [numbers.words[i] for i in word[new].tolist()]
+            fields = [pa.array(rare, pa.binary()), pa.array(map(ending, rare), pa.int32()), after]
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[new], np.arange(len(starts) + 1)).astype(np.int32)), pa.StructArray.from_arrays(fields, ["word", "ending", "after"]))
+            columns = {"n_tokens": pa.array(sizes), "common": pa.array(some, pa.int64()), "base": pa.array(base - base_norm * sizes), "model": pa.array(model_sum), "rare": lists}
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), *columns.values()], ["id", "held_out", *columns])
 
     return run
 
