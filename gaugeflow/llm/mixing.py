@@ -8,6 +8,7 @@ gradient steps then fit nonnegative document rates, such that the expected token
 from __future__ import annotations
 
 import math
+import zlib
 from typing import NamedTuple
 
 import numpy as np
@@ -29,6 +30,8 @@ LIFT, EVIDENCE, SAY = 4.0, 12.0, 5.0
 REPEATS, REPETITIVE = 0.2, "<repetitive>"
 #: Targets count as met within this share of each; gradient steps at most until then.
 CLOSE, STEPS = 0.005, 40
+#: The model's words lie in so many slots by their hash, so that a word is looked up among a few.
+SLOTS = 512
 WHITE = "[\\x20\\x09-\\x0D]+"
 
 
@@ -99,14 +102,24 @@ def scored(text: Column, model, domains: int) -> Column:
     """Struct of the number of words and the domains' likelihoods relative to the best one. A
     text is split once, and searched for the model's words only."""
     words, base, gain = model
-    known = F.lit(words) if words else F.expr("cast(array() as array<string>)")
+    slots = [[] for _ in range(SLOTS)]
+    for w in words:
+        slots[zlib.crc32(w.encode()) % SLOTS].append(w)
+    order = [w for slot in slots for w in slot]
+    starts = [0]
+    for slot in slots[:-1]:
+        starts.append(starts[-1] + len(slot))
+    known = F.array(*(F.array(*map(F.lit, slot)) if slot else F.expr("cast(array() as array<string>)") for slot in slots))
+
+    def slot_of(x):
+        return (F.crc32(x.cast("binary")) % SLOTS + 1).cast("int")
 
     def places(w):
-        # Few words of a text are known ones, so finding their places is cheap.
-        return F.transform(F.array_intersect(marked(w), known), lambda x: F.array_position(known, x).cast("int"))
+        present = F.filter(F.array_distinct(marked(w)), lambda x: F.array_contains(F.element_at(known, slot_of(x)), x))
+        return F.transform(present, lambda x: (F.element_at(F.expr(f"array({', '.join(map(str, starts))})"), slot_of(x)) + F.array_position(F.element_at(known, slot_of(x)), x)).cast("int"))
 
     def logit(p, j):
-        gains = F.lit([gain[w][j] for w in words] or [0.0])
+        gains = F.expr(f"array({', '.join(f'{gain[w][j]!r}D' for w in order) or '0D'})")
         return F.aggregate(p, F.lit(base[j]), lambda a, x: a + F.element_at(gains, x))
 
     def softened(z):
