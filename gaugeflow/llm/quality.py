@@ -5,16 +5,18 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_split, release, slices, table, text_bytes
+from .common import Staged, in_split, release, slices, table, text_bytes
 
-#: Word vectors: words share BUCKETS rows by hash; an index vector has NONZERO entries of +-1.
-BUCKETS, DIMS, NONZERO, REACH = 1 << 14, 32, 4, 2
+#: Word vectors: words of at least one piece in HEAD_SHARE (so that many at most) have a row of
+#: their own, all others share BUCKETS rows by hash; an index vector has NONZERO entries of +-1.
+HEAD_SHARE, BUCKETS, DIMS, NONZERO, REACH = 1 << 19, 1 << 14, 32, 4, 2
 #: The network learns from so many labelled rows at most, taken in the order of a hash.
 SAMPLE_ROWS, HIDDEN, EPOCHS = 8000, 32, 400
 THRESHOLD = 0.7
@@ -23,13 +25,43 @@ PIECES = re.compile(rb"[a-z0-9\x80-\xff]+|[^\sa-z0-9\x80-\xff]+")
 
 
 class _Buckets(dict):
-    """Bucket of a piece; forgets all when it holds too many."""
+    """Row of a piece; forgets all when it holds too many."""
+
+    def __init__(self, own: dict[bytes, int]):
+        self.own = own
 
     def __missing__(self, piece):
         if len(self) > 500_000:
             self.clear()
-        self[piece] = bucket = zlib.crc32(piece) % BUCKETS
-        return bucket
+        row = self.own.get(piece)
+        self[piece] = row = len(self.own) + zlib.crc32(piece) % BUCKETS if row is None else row
+        return row
+
+
+def _count(batches):
+    """(piece, n), summed over as much of the task as some memory allows."""
+    counts = Counter()
+
+    def rows():
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(counts.values(), pa.int64())], ["piece", "n"])
+
+    for batch in slices(batches):
+        for text in text_bytes(batch.column("text")):
+            counts.update(PIECES.findall(text.lower()))
+        if len(counts) > 1_000_000:
+            yield rows()
+            counts.clear()
+    if counts:
+        yield rows()
+
+
+def frequent_words(docs: DataFrame, text: str = "text") -> dict[bytes, int]:
+    """Rows of the words of one piece in HEAD_SHARE or more, counted over all documents."""
+    counts = Staged(docs.select(F.col(text).alias("text")).mapInArrow(_count, "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n")), "pieces")
+    total = counts.df.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    words = sorted(bytes(r[0]) for r in counts.df.filter(F.col("n") * HEAD_SHARE >= total).select("piece").toLocalIterator())
+    counts.drop()
+    return {w: i for i, w in enumerate(words)}
 
 
 def _bucketed(texts, cache, most: int = 200_000):
@@ -49,17 +81,22 @@ def _bucketed(texts, cache, most: int = 200_000):
         yield np.array(ids, np.int64), np.array(starts), docs
 
 
-def index_vectors(seed: int = 17) -> tuple[np.ndarray, np.ndarray]:
-    """Places and signs of each bucket's index vector."""
+def index_vectors(rows: int, seed: int = 17) -> tuple[np.ndarray, np.ndarray]:
+    """Places and signs of each row's index vector."""
     draw = np.random.default_rng(seed)
-    places = np.argsort(draw.random((BUCKETS, DIMS)), axis=1)[:, :NONZERO]
-    return places.astype(np.int64), draw.choice([-1.0, 1.0], (BUCKETS, NONZERO))
+    places = np.argsort(draw.random((rows, DIMS), np.float32), axis=1)[:, :NONZERO]
+    return places.astype(np.int64), draw.choice([-1.0, 1.0], (rows, NONZERO))
+
 
+def _contexts(own):
+    return lambda batches: _context_sums(batches, own)
 
-def _contexts(batches):
-    """Sums of the index vectors of each bucket's neighbours, over the whole task."""
-    places, signs = index_vectors()
-    total, cache = np.zeros(BUCKETS * DIMS), _Buckets()
+
+def _context_sums(batches, own):
+    """Sums of the index vectors of each row's neighbours, over the whole task."""
+    size = len(own) + BUCKETS
+    places, signs = index_vectors(size)
+    total, cache = np.zeros(size * DIMS), _Buckets(own)
     for batch in slices(batches):
         for ids, starts, _ in _bucketed(text_bytes(batch.column("text")), cache):
             first = np.zeros(len(ids) + 1, bool)
@@ -69,18 +106,21 @@ def _contexts(batches):
                 same = piece[gap:] == piece[:-gap]
                 a, b = ids[:-gap][same], ids[gap:][same]
                 for word, near in ((a, b), (b, a)):
-                    for k in range(NONZERO):
-                        total += np.bincount(word * DIMS + places[near, k], weights=signs[near, k], minlength=len(total))
-    sums = total.reshape(BUCKETS, DIMS)
+                    # Only the rows that turn up: the table may be much larger than a run.
+                    cells, at = np.unique((word[:, None] * DIMS + places[near]).ravel(), return_inverse=True)
+                    total[cells] += np.bincount(at, weights=signs[near].ravel(), minlength=len(cells))
+    sums = total.reshape(size, DIMS)
     used = np.flatnonzero(np.abs(sums).sum(axis=1))
     yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(sums[used, d]) for d in range(DIMS))], ["bucket", *(f"v{d}" for d in range(DIMS))])
 
 
-def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """BUCKETS x DIMS unit vectors learned from all documents; a table of fixed size."""
-    sums = docs.select(F.col(text).alias("text")).mapInArrow(_contexts, "bucket long, " + ", ".join(f"v{d} double" for d in range(DIMS)))
+def word_vectors(docs: DataFrame, own: dict[bytes, int], text: str = "text") -> np.ndarray:
+    """DIMS-dimensional unit vectors learned from all documents: of the words in `own`, then of the
+    buckets."""
+    size = len(own) + BUCKETS
+    sums = docs.select(F.col(text).alias("text")).mapInArrow(_contexts(own), "bucket long, " + ", ".join(f"v{d} double" for d in range(DIMS)))
     rows = sums.groupBy("bucket").agg(*(F.sum(f"v{d}").alias(f"v{d}") for d in range(DIMS))).toArrow()
-    vectors = np.zeros((BUCKETS, DIMS), np.float32)
+    vectors = np.zeros((size, DIMS), np.float32)
     if rows.num_rows:
         vectors[rows.column("bucket").to_numpy()] = np.stack([rows.column(f"v{d}").to_numpy() for d in range(DIMS)], axis=1)
     norms = np.linalg.norm(vectors, axis=1, keepdims=True)
@@ -147,9 +187,9 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(self.logits(x) / self.temperature, -500, 500)))
 
 
-def _features(vectors):
+def _features(vectors, own):
     def run(batches):
-        cache = _Buckets()
+        cache = _Buckets(own)
         for batch in slices(batches):
             x = pooled(text_bytes(batch.column("text")), vectors, cache)
             yield pa.RecordBatch.from_arrays([batch.column("draw"), batch.column("label"), pa.array(list(x), pa.list_(pa.float64()))], ["draw", "label", "x"])
@@ -157,9 +197,9 @@ def _features(vectors):
     return run
 
 
-def _scores(vectors, network):
+def _scores(vectors, own, network):
     def run(batches):
-        cache = _Buckets()
+        cache = _Buckets(own)
         for batch in slices(batches):
             score = network.scores(pooled(text_bytes(batch.column("_text")), vectors, cache))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, "score"])
@@ -167,13 +207,15 @@ def _scores(vectors, network):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, key: str, text: str, label: str, modulus: int, held: int) -> Network:
-    """Learns from SAMPLE_ROWS labelled rows at most, none of them in the held-out part."""
+def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, own: dict[bytes, int], key: str, text: str, label: str, modulus: int, held: int) -> Network:
+    """Learns from SAMPLE_ROWS labelled rows at most, none of them in the held-out part; of
+    documents that share a key, from the one with the least hash."""
     rows = labels.filter(~in_split(key, modulus, held) & F.col(label).isin(0, 1)).select(key, F.col(label).cast("long").alias("label"))
     draw = F.xxhash64(F.col(key))
     rows = rows.withColumn("draw", draw).orderBy("draw", "label").limit(SAMPLE_ROWS)
-    sample = docs.select(key, F.col(text).alias("text")).join(F.broadcast(rows), key).select("draw", "label", "text")
-    got = sample.mapInArrow(_features(vectors), "draw long, label long, x array<double>").orderBy("draw", "label").limit(2 * SAMPLE_ROWS).collect()
+    sample = docs.select(key, F.col(text).alias("text")).join(F.broadcast(rows), key).select("draw", "label", F.struct(F.xxhash64("text").alias("hash"), "text").alias("t"))
+    sample = sample.groupBy("draw", "label").agg(F.min("t").alias("t")).select("draw", "label", "t.text")
+    got = sample.mapInArrow(_features(vectors, own), "draw long, label long, x array<double>").orderBy("draw", "label").collect()
     return Network(np.array([r.x for r in got]).reshape(len(got), 2 * DIMS), np.array([r.label for r in got], float))
 
 
@@ -185,14 +227,16 @@ def quality_scores(docs: DataFrame, labels: DataFrame, keep: list[str], key: str
     ones. Null is an empty text, whose vector is zero. A null key has no label; rows that share a
     key share its label. An empty table gives no rows.
     """
-    vectors = word_vectors(docs, text)
-    network = train(docs, labels, vectors, key, text, label, modulus, held)
+    own = frequent_words(docs, text)
+    release(docs.sparkSession)
+    vectors = word_vectors(docs, own, text)
+    network = train(docs, labels, vectors, own, key, text, label, modulus, held)
     release(docs.sparkSession)
     kinds = dict(docs.dtypes)
     names = [f"_k{i}" for i in range(len(keep))]
     at = docs.select(*(F.col(k).alias(n) for k, n in zip(keep, names)), in_split(key, modulus, held).alias("_held"), F.col(text).alias("_text"))
     schema = ", ".join([*(f"{n} {kinds[k]}" for k, n in zip(keep, names)), "_held boolean, _text string, score double"])
-    out = at.mapInArrow(_scores(vectors, network), schema)
+    out = at.mapInArrow(_scores(vectors, own, network), schema)
     return out.select(*(F.col(n).alias(k) for k, n in zip(keep, names)), F.col("_held").alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 

@@ -216,13 +216,56 @@ def test_exchange_finds_planted_classes():
     assert len({(a, b) for a, b in zip(of, found)}) == 3
 
 
+def log_loss(p, y):
+    return -np.log(np.clip(np.where(y == 1, p, 1 - p), 1e-9, 1)).mean()
+
+
 def test_quality(spark, docs):
     sf = "/root/testdata/sf0.01"
     out = quality.op2_quality(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").toPandas()
     assert (out.predicted == out.quality).mean() > 0.9
+    # Calibrated: what is said with some probability happens about as often.
+    assert log_loss(out.score.to_numpy(), out.quality.to_numpy()) < 0.3
+    bins = out.groupby((out.score * 5).clip(upper=4.999).astype(int))
+    assert sum(len(g) * abs(g.score.mean() - g.quality.mean()) for _, g in bins) / len(out) < 0.06
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = quality.quality_scores(docs, none, ["doc_id"]).toPandas()
     assert len(got) == docs.count() and (got.score == 0.5).all()
+    labels = spark.createDataFrame([(5, 1), (5, 0), (3, 0), (None, 1), (0, 2), (6, 1)], "doc_id long, quality int")
+    twice = quality.quality_scores(docs.union(docs), labels, ["doc_id", "fp"]).toPandas()
+    assert len(twice) == 2 * docs.count() and twice.groupby("doc_id", dropna=False).score.nunique().max() <= 2
+    assert quality.quality_scores(docs.limit(0), labels, ["doc_id"]).count() == 0
+
+
+def test_temperature_makes_held_rows_likelier():
+    draw = np.random.default_rng(0)
+    x = draw.normal(size=(400, 8))
+    y = (draw.random(400) < 1 / (1 + np.exp(-1.5 * x[:, 0]))).astype(float)
+    network = quality.Network(x, y)
+    held = draw.normal(size=(4000, 8))
+    truth = (draw.random(4000) < 1 / (1 + np.exp(-1.5 * held[:, 0]))).astype(float)
+    calibrated = log_loss(network.scores(held), truth)
+    network.temperature = 1.0
+    assert calibrated < log_loss(network.scores(held), truth)
+
+
+def test_word_vectors_are_sums_of_index_vectors(spark, monkeypatch):
+    monkeypatch.setattr(quality, "HEAD_SHARE", 8)
+    texts = ["a b c a b", "a, b", None, "c"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
+    own = quality.frequent_words(df)
+    assert sorted(own) == [b"a", b"b", b"c"]
+    rows = quality._Buckets(own)
+    places, signs = quality.index_vectors(len(own) + quality.BUCKETS)
+    want = np.zeros((len(own) + quality.BUCKETS, quality.DIMS))
+    for t in texts:
+        ids = [rows[p] for p in quality.PIECES.findall((t or "").encode())]
+        for i, w in enumerate(ids):
+            for j in range(max(0, i - 2), min(len(ids), i + 3)):
+                if i != j:
+                    want[w, places[ids[j]]] += signs[ids[j]]
+    want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-9)
+    assert np.allclose(quality.word_vectors(df, own), want, atol=1e-6)
 
 
 def plain_rates(n, p, wanted):
