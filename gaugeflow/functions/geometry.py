@@ -31,3 +31,35 @@ def finite(x: Column) -> Column:
 
 def spline_kernel(r2: Column) -> Column:
     return F.when(r2 > 1e-12, r2 * F.log(r2)).otherwise(F.lit(0.0))
+
+
+def crop_inside(x: Column, y: Column, half: Column, width: Column, height: Column) -> Column:
+    """Whether a square of 2 x half around a point lies in the frame."""
+    return (x - half >= 0) & (y - half >= 0) & (x + half <= width) & (y + half <= height)
+
+
+def pixels_per_mm(px: Column, mm: Column) -> Column:
+    """Scale from a measured distance of 1 to 100 mm; null beyond."""
+    return F.when(mm.between(1, 100) & (px > 0), px / mm)
+
+
+def radius_px(diameter_mm: Column, scale: Column) -> Column:
+    """Pixels of half a diameter of 0.5 to 20 mm; null beyond."""
+    return F.when(diameter_mm.between(0.5, 20), diameter_mm * scale / 2)
+
+
+def euler_degrees(r: list[list[Column]]) -> tuple[Column, Column, Column]:
+    """Rotation about x, y and z (degrees) of a rotation matrix, z-y-x order; near the poles of y
+    the rotation about z counts as none."""
+    flat = F.hypot(r[0][0], r[1][0])
+    pole = flat < 1e-6
+    x = F.when(pole, F.atan2(-r[1][2], r[1][1])).otherwise(F.atan2(r[2][1], r[2][2]))
+    z = F.when(pole, F.lit(0.0)).otherwise(F.atan2(r[1][0], r[0][0]))
+    return F.degrees(x), F.degrees(F.atan2(-r[2][0], flat)), F.degrees(z)
+
+
+def disc_pixels(x: Column, y: Column, radius: Column) -> Column:
+    """Pixels (x, y) whose centres are in a disc; the box around it, filtered."""
+    box = lambda c: F.sequence(F.floor(c - radius).cast("int"), F.ceil(c + radius).cast("int"))
+    inside = lambda i, j: (i - x) * (i - x) + (j - y) * (j - y) <= radius * radius
+    return F.flatten(F.transform(box(y), lambda j: F.filter(F.transform(box(x), lambda i: F.struct(i.alias("x"), j.alias("y"))), lambda p: inside(p["x"], p["y"]))))

@@ -74,3 +74,26 @@ def rolling_mean(days: DataFrame, day: str, value: str, width: int, by: list[str
     """Mean over the calendar days up to width before; missing days don't count."""
     number = F.datediff(F.col(day), F.lit("1970-01-01").cast("date"))
     return days.withColumn("mean", F.avg(value).over(Window.partitionBy(*by).orderBy(number).rangeBetween(-(width - 1), 0)))
+
+
+def canonical_digest(**fields: Column) -> Column:
+    """SHA-256 of a JSON object with sorted keys and no white space."""
+    return F.sha2(F.to_json(F.struct(*(fields[k].alias(k) for k in sorted(fields)))).cast("binary"), 256)
+
+
+def roster(*tables: DataFrame) -> DataFrame:
+    """All distinct ids of several tables of one column."""
+    out = tables[0]
+    for more in tables[1:]:
+        out = out.union(more)
+    return out.distinct()
+
+
+def stamp(time: Column) -> Column:
+    """ISO text to the second."""
+    return F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def local_day(time: Column, minutes_east: int) -> Column:
+    """The calendar day where clocks are so many minutes ahead."""
+    return F.date_format(time + F.expr(f"INTERVAL {minutes_east} MINUTE"), "yyyy-MM-dd")

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import homography
+from ..functions.geometry import homography, spline_kernel
 
 
 def residuals(target: DataFrame, reference: DataFrame, pair: str, transform: list[float], px_per_mm: float, least: int = 3) -> DataFrame:
@@ -37,23 +37,52 @@ def landmark_verdict(detected: Column, total: Column, worst_mm: Column) -> Colum
 
 def fit_splines(points: DataFrame, pair: str, smooth: float = 1e-3) -> DataFrame:
     """Thin-plate splines of (pair, x, y, u, v): node and weight rows per pair, with the affine
-    part as nodes of kind 'affine'. A group is one pair's control points."""
+    part as nodes of kind 'affine'. A group is one pair's control points. Sources are divided by
+    the diagonal of their bounding box (`scale`), so that the smoothing means the same at any size.
+    Points on one line, or fewer than three, are an error."""
     kind = dict(points.dtypes)[pair]
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         src, dst = rows[["x", "y"]].to_numpy(float), rows[["u", "v"]].to_numpy(float)
-        n = len(src)
+        n, scale = len(src), float(np.hypot(*np.ptp(src, axis=0))) or 1.0
+        src = src / scale
         r2 = ((src[:, None] - src[None]) ** 2).sum(-1)
         kernel = np.where(r2 > 1e-12, r2 * np.log(np.maximum(r2, 1e-300)), 0.0)
         system = np.zeros((n + 3, n + 3))
         system[:n, :n] = kernel + smooth * np.eye(n)
         system[:n, n:] = np.hstack([np.ones((n, 1)), src])
         system[n:, :n] = system[:n, n:].T
-        w = np.linalg.lstsq(system, np.vstack([dst, np.zeros((3, 2))]), rcond=None)[0]
+        if n < 3 or np.linalg.matrix_rank(system[:n, n:]) < 3:
+            raise ValueError(f"no spline through the points of pair {rows[pair].iloc[0]}")
+        w = np.linalg.solve(system, np.vstack([dst, np.zeros((3, 2))]))
         xy = np.vstack([src, np.full((3, 2), np.nan)])
-        return pd.DataFrame({pair: rows[pair].iloc[0], "part": ["node"] * n + ["affine"] * 3, "k": list(range(n)) + [0, 1, 2], "x": xy[:, 0], "y": xy[:, 1], "wu": w[:, 0], "wv": w[:, 1]})
+        return pd.DataFrame({pair: rows[pair].iloc[0], "part": ["node"] * n + ["affine"] * 3, "k": list(range(n)) + [0, 1, 2], "x": xy[:, 0], "y": xy[:, 1], "wu": w[:, 0], "wv": w[:, 1], "scale": scale})
 
-    return points.groupBy(pair).applyInPandas(fit, f"{pair} {kind}, part string, k int, x double, y double, wu double, wv double")
+    return points.groupBy(pair).applyInPandas(fit, f"{pair} {kind}, part string, k int, x double, y double, wu double, wv double, scale double")
+
+
+def map_points(points: DataFrame, splines: DataFrame, pair: str) -> DataFrame:
+    """(pair, id, u, v): points (pair, id, x, y) under their pair's spline, a join with its nodes."""
+    j = points.select(pair, "id", F.col("x").alias("px"), F.col("y").alias("py")).join(splines, pair)
+    x, y = F.col("px") / F.col("scale"), F.col("py") / F.col("scale")
+    r2 = (x - F.col("x")) * (x - F.col("x")) + (y - F.col("y")) * (y - F.col("y"))
+    affine = F.when(F.col("k") == 0, F.lit(1.0)).when(F.col("k") == 1, x).otherwise(y)
+    base = F.when(F.col("part") == "node", spline_kernel(r2)).otherwise(affine)
+    return j.groupBy(pair, "id").agg(F.sum(base * F.col("wu")).alias("u"), F.sum(base * F.col("wv")).alias("v"))
+
+
+def region_stats(spread: DataFrame, region: Column, px_per_mm: float) -> DataFrame:
+    """Of landmark spreads (in px) per region: landmarks, mean and largest, median and p95, in mm."""
+    q = F.percentile("mm", F.array(F.lit(0.5), F.lit(0.95)))
+    r = spread.select(region.alias("region"), (F.col("spread") / px_per_mm).alias("mm")).groupBy("region")
+    r = r.agg(F.count("*").alias("n"), F.avg("mm").alias("mean"), F.max("mm").alias("worst"), q.alias("q"))
+    return r.select("region", "n", "mean", "worst", F.col("q")[0].alias("median"), F.col("q")[1].alias("p95"))
+
+
+def owned_counts(rows: DataFrame, owners: DataFrame, region: str, pose: str) -> DataFrame:
+    """Rows per region, counting only the pose that owns it (a small fixed table, broadcast)."""
+    j = rows.join(F.broadcast(owners.select(region, F.col(pose).alias("_owner"))), region, "left")
+    return j.groupBy(region).agg(F.count_if(F.col(pose) == F.col("_owner")).alias("n_owned"), F.count("*").alias("n"))
 
 
 def similarity(points: DataFrame, pair: str) -> DataFrame:

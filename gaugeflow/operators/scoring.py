@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.geometry import ratio
 
@@ -92,15 +95,113 @@ def ranked_methods(stats: DataFrame, method: str, median_below: float, p95_below
     return stats.withColumn("rank", rank).withColumn("verdict", F.when((F.col("median") < median_below) & (F.col("p95") < p95_below), "GO").otherwise("NO-GO"))
 
 
-def nearest_two(queries: DataFrame, rows: DataFrame, key: str, vector: str, threshold: float) -> DataFrame:
-    """Two nearest rows of every query vector and whether the first is clearly nearer.
+#: Queries of a nearest search that are broadcast at once; more go in further blocks.
+BLOCK_QUERIES = 2000
 
-    The queries are a stated set, compared with all rows in blocks; the window keeps two
-    candidates a query in each task before the shuffle."""
+
+def _two_nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, distance, threshold: float) -> DataFrame:
+    """The queries are a stated set: cut into blocks of BLOCK_QUERIES, each broadcast against all
+    rows; of each partition of rows a query gets its least distance, then the least of the others."""
     q = queries.select(F.col(key).alias("query"), F.col(vector).alias("q"))
-    d = F.aggregate(F.zip_with("q", F.col(vector), lambda a, b: (a - b).cast("double") * (a - b).cast("double")), F.lit(0.0), lambda s, x: s + x)
-    pairs = rows.join(q, F.col("query") != F.col(key)).select("query", F.sqrt(d).alias("d"), F.col(key).alias("id"))
-    first = pairs.withColumn("k", F.row_number().over(Window.partitionBy("query").orderBy("d", "id"))).filter("k <= 2")
-    near = first.groupBy("query").agg(F.min(F.struct("k", "id", "d")).alias("a"), F.max(F.struct("k", "d")).alias("b"), F.count("*").alias("n")).filter("n = 2")
+    blocks = max(1, -(-q.count() // BLOCK_QUERIES))
+    near = None
+    for k in range(blocks):
+        block = F.broadcast(q.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == k))
+        pairs = rows.join(block, F.col("query") != F.col(key)).select("query", distance(F.col("q"), F.col(vector)).alias("d"), F.col(key).alias("id"))
+        # Two minima, merged before the shuffle.
+        least = pairs.groupBy("query").agg(F.min(F.struct("d", "id")).alias("a"))
+        second = pairs.join(F.broadcast(least), "query").filter("id <> a.id").groupBy("query").agg(F.min(F.struct("d", "id")).alias("b"), F.first("a").alias("a"))
+        near = second if near is None else near.union(second)
     near = near.select("query", F.col("a.id").alias("nearest"), F.col("a.d").alias("d1"), F.col("b.d").alias("d2"))
     return near.withColumn("accepted", F.col("d1") < threshold * F.col("d2"))
+
+
+def nearest_two(queries: DataFrame, rows: DataFrame, key: str, vector: str, threshold: float) -> DataFrame:
+    """Two nearest rows of every query vector and whether the first is clearly nearer."""
+
+    def apart(q, v):
+        return F.sqrt(F.aggregate(F.zip_with(q, v, lambda a, b: (a - b).cast("double") * (a - b).cast("double")), F.lit(0.0), lambda s, x: s + x))
+
+    return _two_nearest(queries, rows, key, vector, apart, threshold)
+
+
+def nearest_two_bits(queries: DataFrame, rows: DataFrame, key: str, bits: str, threshold: float) -> DataFrame:
+    """As nearest_two, for binary descriptors by the number of differing bits."""
+    return _two_nearest(queries, rows, key, bits, lambda q, v: F.bit_count(q.bitwiseXOR(v)).cast("long"), threshold)
+
+
+def best_base(stats: DataFrame, pair: str, method: str) -> DataFrame:
+    """Per pair the method of the least median, by name on ties."""
+    return stats.groupBy(pair).agg(F.min(F.struct("median", method)).alias("b")).select(pair, F.col(f"b.{method}").alias(method), F.col("b.median").alias("median"))
+
+
+def picked(stats: DataFrame, pair: str, method: str, wanted: str) -> DataFrame:
+    """Per pair the first method whose name contains `wanted`, else the one of the least median."""
+    asked = ~F.contains(F.col(method), F.lit(wanted))
+    return stats.groupBy(pair).agg(F.min(F.struct(asked.alias("other"), F.when(asked, F.col("median")).alias("median"), method)).alias("b")).select(pair, F.col(f"b.{method}").alias(method))
+
+
+def nearest_within(points: DataFrame, by: str, x: float, y: float, radius: float) -> DataFrame:
+    """Per group the point nearest to (x, y), if one is within the radius."""
+    d = F.hypot(F.col("x") - x, F.col("y") - y)
+    return points.withColumn("d", d).filter(F.col("d") <= radius).groupBy(by).agg(F.min(F.struct("d", "id")).alias("b")).select(by, F.col("b.id").alias("id"), F.col("b.d").alias("d"))
+
+
+def pooled(counts: DataFrame, by: str) -> DataFrame:
+    """Scores of each group, and of all together in a row whose group is null."""
+    c = counts.groupBy(by).agg(*(F.sum(k).alias(k) for k in ("tp", "fp", "fn")))
+    every = counts.agg(*(F.sum(k).alias(k) for k in ("tp", "fp", "fn"))).select(F.lit(None).cast(dict(c.dtypes)[by]).alias(by), "tp", "fp", "fn")
+    return c.unionByName(every).select(by, "tp", "fp", "fn", *metrics(F.col("tp"), F.col("fp"), F.col("fn")))
+
+
+def _upper_t(t: float, freedom: float) -> float:
+    """Two-sided p of Student's t, by the continued fraction of the incomplete beta function."""
+    x, a, b = freedom / (freedom + t * t), freedom / 2, 0.5
+    if x >= 1:
+        return 1.0
+    if x <= 0:
+        return 0.0
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
+    flip = x > (a + 1) / (a + b + 2)
+    if flip:
+        x, a, b = 1 - x, b, a
+    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1) or 1e-300)
+    value = d
+    for m in range(1, 500):
+        for factor in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / (1 + factor * d or 1e-300)
+            c = 1 + factor / c or 1e-300
+            value *= c * d
+        if abs(c * d - 1) < 1e-14:
+            break
+    tail = front * value / a
+    return 1 - tail if flip else tail
+
+
+@F.pandas_udf(DoubleType())
+def correlation_p(r: pd.Series, n: pd.Series) -> pd.Series:
+    """Two-sided p of a correlation r over n pairs; null under three pairs or without r."""
+    def one(r, n):
+        if pd.isna(r) or n < 3:
+            return None
+        return 0.0 if abs(r) >= 1 else _upper_t(r * math.sqrt((n - 2) / (1 - r * r)), n - 2)
+
+    return pd.Series([one(a, b) for a, b in zip(r, n)], dtype="float64")
+
+
+def correlation(rows: DataFrame, x: str, y: str, by: str | None = None, digits: int = 9) -> DataFrame:
+    """Pearson's r, the t value that belongs to it, and n; null under three pairs."""
+    n, r = F.count_if(F.col(x).isNotNull() & F.col(y).isNotNull()), F.corr(x, y)
+    c = (rows.groupBy(by) if by else rows).agg(n.alias("n"), r.alias("r")).withColumn("r", F.when((F.col("n") >= 3) & ~F.isnan("r"), F.col("r")))
+    t = F.col("r") * F.sqrt(F.try_divide(F.col("n") - 2.0, 1 - F.col("r") * F.col("r")))
+    return c.withColumn("t", t)
+
+
+def confident(confidence: Column, least: float = 0.5) -> Column:
+    return F.coalesce(confidence >= least, F.lit(False))
+
+
+def median_of_medians(rows: DataFrame, pair: str, method: str, value: str) -> DataFrame:
+    """Per method the median over pairs of each pair's median, and how many pairs it covers."""
+    per_pair = rows.groupBy(pair, method).agg(F.median(value).alias("m"))
+    return per_pair.groupBy(method).agg(F.median("m").alias("median"), F.count("*").alias("n_pairs"))

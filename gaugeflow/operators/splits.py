@@ -12,10 +12,24 @@ class TooFewDates(ValueError):
     pass
 
 
+def check_arguments(ratios: tuple[float, float, float], gap: int) -> None:
+    """Three positive ratios that sum to 1, and a gap of whole days."""
+    if len(ratios) != 3 or min(ratios) <= 0 or abs(sum(ratios) - 1) > 1e-6:
+        raise ValueError(f"three positive ratios with sum 1 are needed, not {ratios}")
+    if gap < 0 or gap != int(gap):
+        raise ValueError(f"the gap is a number of days, not {gap}")
+
+
+def without_calibration(rows: DataFrame, kind: str, calibration: str = "calibration") -> DataFrame:
+    """Calibration rows never enter a split."""
+    return rows.filter(F.coalesce(F.col(kind) != calibration, F.lit(True)))
+
+
 def ratio_split(dates: DataFrame, day: str, ratios: tuple[float, float, float], gap: int) -> DataFrame:
     """(day, split): distinct dates in blocks of the ratios; heads of later blocks that are within
     `gap` days of the last kept day before are 'gap'. One row per calendar day, so a window
     without partitions is bounded by the calendar."""
+    check_arguments(ratios, gap)
     d = dates.select(F.col(day).alias("d")).filter("d IS NOT NULL").distinct()
     ranked = d.select("d", F.row_number().over(Window.orderBy("d")).alias("k"), F.count("*").over(Window.partitionBy()).alias("n"))
     train = F.greatest(F.lit(1), F.least(half_even(F.col("n") * ratios[0]), F.col("n").cast("int") - 2))
@@ -62,3 +76,11 @@ def readiness(assigned: DataFrame, positive: Column) -> DataFrame:
     a = assigned.agg(*(F.count_if(F.col("split") == s).alias(f"n_{s}") for s in ("train", "val", "test")), *(F.count_if((F.col("split") == s) & positive).alias(f"positive_{s}") for s in ("train", "val")))
     ready = (F.col("n_train") > 0) & (F.col("n_val") > 0) & (F.col("n_test") > 0) & (F.col("positive_train") > 0) & (F.col("positive_val") > 0)
     return a.withColumn("ready", ready)
+
+
+def totals(assigned: DataFrame, day: str, session: str, n_images: str) -> DataFrame:
+    """Days, sessions and images per split, and of all in a row whose split is null. `assigned` has a
+    row per session with its images counted; each day has one split, so the rows of (split, day),
+    as many as the calendar has, are what is rolled up."""
+    per_day = assigned.groupBy("split", day).agg(F.countDistinct(session).alias("n_sessions"), F.sum(n_images).alias("n_images"))
+    return per_day.rollup("split").agg(F.count("*").alias("n_days"), F.sum("n_sessions").alias("n_sessions"), F.sum("n_images").alias("n_images"))

@@ -59,3 +59,56 @@ def uncovered(intervals: DataFrame, by: str, start: str, stop: str) -> DataFrame
 
 def thin(points: DataFrame, cell: list[str], order: str, per_cell: int) -> DataFrame:
     return points.withColumn("k", F.row_number().over(Window.partitionBy(*cell).orderBy(order))).filter(F.col("k") <= per_cell).drop("k")
+
+
+def axis_owner(x: Column, length: Column, tile: int, step: int) -> Column:
+    """Struct of the index, start and stop of the tile along an axis whose centre is nearest to x
+    (the lower one on ties); null where no tile holds x. The grid is regular, so the tiles come
+    from the place alone: no join."""
+
+    def span(k: Column) -> Column:
+        last = F.when(length <= tile, 0).otherwise(F.ceil((length - tile) / step)).cast("int")
+        start = F.when(k == last, F.greatest(F.lit(0), length - tile)).otherwise(k * step).cast("int")
+        stop = F.least(start + tile, length).cast("int")
+        inside = (x >= start) & (x < stop)
+        return F.when(inside, F.struct(F.abs(x - (start + stop) / 2).alias("off"), k.alias("index"), start.alias("start"), stop.alias("stop")))
+
+    return F.array_min(F.array_compact(F.transform(_cells(x, length, tile, step), span)))
+
+
+def owner_of(x: Column, y: Column, width: Column, height: Column, tile: int, step: int) -> Column:
+    """Struct of the tile that owns a point: tile_id, x0, y0, and the point's place in the tile;
+    null for a point outside the image. The squared distance is a sum over the axes, so each axis
+    has its own nearest tile; ties go to the upper, then the left one."""
+    row, col = axis_owner(y, height, tile, step), axis_owner(x, width, tile, step)
+    tile_id = F.format_string("r%dc%d", row["index"], col["index"])
+    found = F.struct(tile_id.alias("tile_id"), col["start"].alias("x0"), row["start"].alias("y0"), *(c.alias(n) for n, c in zip(("tile_x", "tile_y"), to_tile(x, y, col["start"], row["start"]))))
+    return F.when(row.isNotNull() & col.isNotNull(), found)
+
+
+def owned_or_fail(owner: Column, what: Column) -> Column:
+    """The owner; a point that no tile owns ends the job."""
+    return F.when(owner.isNotNull(), owner).otherwise(F.raise_error(F.concat(F.lit("no tile holds "), what.cast("string"))))
+
+
+def to_tile(x: Column, y: Column, x0: Column, y0: Column) -> tuple[Column, Column]:
+    return x - x0, y - y0
+
+
+def to_image(x: Column, y: Column, x0: Column, y0: Column) -> tuple[Column, Column]:
+    return x + x0, y + y0
+
+
+def uncovered_within(intervals: DataFrame, by: str, start: str, stop: str, low: Column, high: Column) -> DataFrame:
+    """As `uncovered`, with the stretches before the first and after the last interval of [low, high)."""
+    ends = intervals.groupBy(by).agg(F.min(start).alias("first"), F.max(stop).alias("last"), F.min(low).alias("low"), F.max(high).alias("high"))
+    before = ends.filter("first > low").select(by, F.col("low").alias("gap_start"), F.col("first").alias("gap_stop"))
+    after = ends.filter("last < high").select(by, F.col("last").alias("gap_start"), F.col("high").alias("gap_stop"))
+    return uncovered(intervals, by, start, stop).unionByName(before).unionByName(after)
+
+
+def thin_to(points: DataFrame, cell: list[str], order: str, target: int, cells: int) -> DataFrame:
+    """About `target` points spread over a grid of `cells`: an equal share of each cell, `target`
+    rows at most, in the order of the cells and of `order`."""
+    spread = thin(points, cell, order, max(1, target // cells))
+    return spread.orderBy(*cell, order).limit(target)

@@ -118,8 +118,8 @@ def trailing_split(spark, d):
 FROM plan JOIN orders ON o_orderdate::DATE = d JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ROLLUP (split)""")
 def split_counts(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", day("o_orderdate").alias("d"))
-    rows = splits.members(o, _plan(spark, d), "d").join(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey")
-    return rows.rollup("split").agg(F.countDistinct("d").alias("n_days"), F.countDistinct("o_orderkey").alias("n_sessions"), F.count("*").alias("n_images"))
+    lines = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n_images"))
+    return splits.totals(splits.members(o, _plan(spark, d), "d").join(lines, "o_orderkey"), "d", "o_orderkey", "n_images")
 
 
 @query(f"""WITH {RATIO} SELECT o_custkey, count(DISTINCT split) AS n_splits FROM plan JOIN orders ON o_orderdate::DATE = d
@@ -145,9 +145,13 @@ t AS (SELECT row, col, x0, y0, x0 + {TILE} AS x1, y0 + {TILE} AS y1, 'r' || row
 j AS (SELECT * FROM p JOIN t ON x >= x0 AND x < x1 AND y >= y0 AND y < y1)"""
 
 
-def _inside(spark, d):
+def _points(spark, d):
     li = table(spark, d, "lineitem")
-    points = li.select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("id"), (F.col("l_suppkey") % 5).alias("image"), ((F.col("l_extendedprice") * 7 + F.col("l_orderkey")) % W).alias("x"), ((F.col("l_extendedprice") * 3 + F.col("l_quantity")) % H).alias("y"), F.lit(W).alias("w"), F.lit(H).alias("h"))
+    return li.select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("id"), (F.col("l_suppkey") % 5).alias("image"), ((F.col("l_extendedprice") * 7 + F.col("l_orderkey")) % W).alias("x"), ((F.col("l_extendedprice") * 3 + F.col("l_quantity")) % H).alias("y"), F.lit(W).alias("w"), F.lit(H).alias("h"))
+
+
+def _inside(spark, d):
+    points = _points(spark, d)
     images = points.select("image", "w", "h").distinct()
     return tiling.tiles_of(points, tiling.grid(images, "image", "w", "h", TILE, STEP), "image", "x", "y", "w", "h", TILE, STEP)
 
@@ -160,8 +164,9 @@ def tile_membership(spark, d):
 @query(f"""WITH {POINTS}, k AS (SELECT id, tile_id, row_number() OVER (PARTITION BY id, x, y ORDER BY (x - (x0 + x1) / 2) * (x - (x0 + x1) / 2) + (y - (y0 + y1) / 2) * (y - (y0 + y1) / 2), row, col) AS k, x, y FROM j)
 SELECT tile_id, count(*) AS n FROM k WHERE k = 1 GROUP BY 1""")
 def tile_owner(spark, d):
-    points = _inside(spark, d).withColumn("point", F.struct("id", "x", "y"))
-    return tiling.owners(points, "point", "x", "y").groupBy("tile_id").agg(F.count("*").alias("n"))
+    owner = tiling.owner_of(F.col("x"), F.col("y"), F.col("w"), F.col("h"), TILE, STEP)
+    points = _points(spark, d).select(tiling.owned_or_fail(owner, F.col("id"))["tile_id"].alias("tile_id"))
+    return points.groupBy("tile_id").agg(F.count("*").alias("n"))
 
 
 @query("""WITH i AS (SELECT o_custkey AS axis, date_diff('day', DATE '1995-01-01', o_orderdate::DATE) AS a, date_diff('day', DATE '1995-01-01', o_orderdate::DATE) + 200 AS b FROM orders),

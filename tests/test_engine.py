@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gaugeflow.functions import kernels
 from gaugeflow.operators import capture, decisions, registration, scoring, splits, tiling, validation, workspace
-from gaugeflow.plans import decision_queries, point_queries  # noqa: F401  register their queries
+from gaugeflow.plans import decision_queries, measure_queries, point_queries, record_queries  # noqa: F401  register their queries
 from gaugeflow.plans.queries import QUERIES, SQL
 from gaugeflow.sources import io
 from gaugeflow.streaming import ingest
@@ -200,3 +200,105 @@ def test_cyclic_neighbours(spark):
     got = sorted(map(tuple, workspace.cyclic_neighbours(rows, "g", "k").collect()))
     assert got == [("a", 1, 3, 7), ("a", 3, 7, 1), ("a", 7, 1, 3), ("b", 5, 5, 5)]
     assert workspace.cyclic_neighbours(rows.limit(0), "g", "k").count() == 0
+
+
+def one(spark, *columns):
+    return spark.range(1).select(*columns).first()
+
+
+def test_points_without_a_tile_fail_or_have_none(spark):
+    at = lambda x, y: tiling.owner_of(F.lit(x), F.lit(y), F.lit(4000), F.lit(1000), 1280, 1024)
+    found = one(spark, at(0.0, 0.0).alias("a"), at(3999.5, 999.0).alias("b"), at(4000.0, 5.0).alias("c"), at(-0.1, 5.0).alias("d"), at(1152.0, 10.0).alias("tie"))
+    assert found.a.tile_id == "r0c0" and found.b.tile_id == "r0c3" and (found.b.x0, found.b.tile_x) == (2720, 1279.5)
+    assert found.c is None and found.d is None and found.tie.tile_id == "r0c0"
+    with pytest.raises(Exception, match="no tile holds 7"):
+        spark.range(1).select(tiling.owned_or_fail(at(-1.0, 0.0), F.lit(7))).collect()
+    assert one(spark, *tiling.to_image(*tiling.to_tile(F.lit(7.5), F.lit(9), F.lit(3), F.lit(4)), F.lit(3), F.lit(4)))[:] == (7.5, 9)
+
+
+@pytest.mark.parametrize("ratios,gap", [((0.5, 0.5, 0.5), 3), ((1.0, 0.0, 0.0), 3), ((0.7, 0.15, 0.15), -1), ((0.7, 0.15, 0.15), 1.5)])
+def test_split_arguments_are_checked(spark, ratios, gap):
+    with pytest.raises(ValueError):
+        splits.ratio_split(days(spark, 30), "d", ratios, gap)
+
+
+def test_p_of_a_correlation(spark):
+    rows = [(0.5, 12), (0.9, 3), (1.0, 10), (0.0, 10), (None, 9), (0.4, 2), (0.01, 1_000_000)]
+    got = [r.p for r in spark.createDataFrame(rows, "r double, n long").select(scoring.correlation_p("r", "n").alias("p")).collect()]
+    # Student's t in closed form for 1 degree of freedom; for 10 by numeric integration.
+    t = 0.5 * math.sqrt(10 / 0.75)
+    x = np.linspace(t, 2000, 4_000_001)
+    density = math.gamma(5.5) / (math.sqrt(10 * math.pi) * math.gamma(5)) * (1 + x * x / 10) ** -5.5
+    assert got[0] == pytest.approx(2 * np.trapezoid(density, x), rel=1e-5)
+    assert got[1] == pytest.approx(1 - 2 / math.pi * math.atan(0.9 / math.sqrt(1 - 0.81)), rel=1e-9)
+    assert got[2] == 0 and got[3] == pytest.approx(1) and got[4] is None and got[5] is None and 0 < got[6] < 1e-20
+
+
+def test_splines_map_their_points_at_any_size(spark):
+    draw = np.random.default_rng(2)
+    src = draw.uniform(0, 1, (12, 2))
+    dst = src @ np.array([[1.1, 0.1], [-0.2, 0.9]]) + 3 + 0.01 * draw.normal(size=(12, 2))
+    rows = [(pair, i, *(src[i] * size).tolist(), *(dst[i] * size).tolist()) for pair, size in ((1, 1.0), (2, 3000.0)) for i in range(12)]
+    points = spark.createDataFrame(rows, "pair int, id int, x double, y double, u double, v double")
+    got = registration.map_points(points, registration.fit_splines(points, "pair"), "pair").orderBy("pair", "id").toPandas()
+    small, large = got[got.pair == 1][["u", "v"]].to_numpy(), got[got.pair == 2][["u", "v"]].to_numpy()
+    assert np.allclose(small * 3000, large, rtol=1e-6) and np.abs(small - dst).max() < 0.02
+    line = spark.createDataFrame([(1, i, float(i), float(i), 0.0, 0.0) for i in range(5)], "pair int, id int, x double, y double, u double, v double")
+    with pytest.raises(Exception, match="no spline"):
+        registration.fit_splines(line, "pair").collect()
+
+
+@pytest.mark.parametrize("block", [2000, 2])
+def test_two_nearest_in_blocks(spark, block, monkeypatch):
+    monkeypatch.setattr(scoring, "BLOCK_QUERIES", block)
+    v = np.random.default_rng(5).normal(size=(60, 4)).round(1)
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    got = {r.query: (r.nearest, r.d1, r.d2) for r in scoring.nearest_two(rows.filter("id % 6 = 0"), rows, "id", "v", 0.9).collect()}
+    assert len(got) == 10
+    for q, (nearest, d1, d2) in got.items():
+        d = sorted((float(np.linalg.norm(v[q] - v[i])), i) for i in range(60) if i != q)
+        assert (nearest, d1, d2) == (d[0][1], pytest.approx(d[0][0]), pytest.approx(d[1][0]))
+
+
+def test_rules_of_records(spark):
+    r = one(
+        spark,
+        *(validation.exact_keys(F.lit(j), ["role", "content"]).alias(f"k{i}") for i, j in enumerate(['{"content":"a","role":"b"}', '{"content":"a"}', '{"content":"a","role":"b","x":1}', "[1]", "no"])),
+        validation.usable_date(F.lit("2026-02-30"), F.lit("2027-01-01").cast("date")).alias("d0"),
+        validation.usable_date(F.lit("2026-1-5"), F.lit("2027-01-01").cast("date")).alias("d1"),
+        validation.usable_date(F.lit("2027-01-02"), F.lit("2027-01-01").cast("date")).alias("d2"),
+        validation.usable_date(F.lit("2026-12-31"), F.lit("2027-01-01").cast("date")).alias("d3"),
+        validation.same_origin(F.lit("HTTPS://A.example/x"), F.lit("https://a.example")).alias("o0"),
+        validation.same_origin(F.lit("https://a.example:8443/"), F.lit("https://a.example")).alias("o1"),
+        validation.same_origin(F.lit(None).cast("string"), F.lit("https://a.example")).alias("o2"),
+        validation.body_fits(F.lit("é" * 16_000)).alias("b0"), validation.body_fits(F.lit("é" * 16_000 + "x")).alias("b1"),
+        *(c.alias(n) for c, n in zip(validation.upright(F.lit(6), F.lit(4), F.lit(6)), ("w", "h"))),
+        *(c.alias(n) for c, n in zip(validation.upright(F.lit(6), F.lit(4), F.lit(None).cast("int")), ("w2", "h2"))),
+    )
+    assert [r[f"k{i}"] for i in range(5)] == [True, False, False, False, False]
+    assert (r.d0, r.d1, r.d2, r.d3) == (None, None, None, dt.date(2026, 12, 31))
+    assert (r.o0, r.o1, r.o2, r.b0, r.b1) == (True, False, False, True, False) and (r.w, r.h, r.w2, r.h2) == (4, 6, 6, 4)
+
+
+def test_angles_at_the_poles(spark):
+    r = [[F.lit(x) for x in row] for row in ([0.0, 0.0, 1.0], [0.0, 1.0, 0.0], [-1.0, 0.0, 0.0])]
+    from gaugeflow.functions import geometry
+
+    assert one(spark, *(c.alias(n) for c, n in zip(geometry.euler_degrees(r), "xyz")))[:] == (pytest.approx(0), pytest.approx(90), 0.0)
+
+
+def test_decisions_without_data(spark):
+    none = F.lit(None).cast("double")
+    r = one(spark, decisions.lens_loss(F.lit(0.0), F.lit(0.0)).alias("a"), decisions.lock_choice(F.lit(55)).alias("b"), decisions.probe_state(none).alias("c"), decisions.readiness_state(F.lit(3), F.lit(0), F.lit(False)).alias("d"), scoring.confident(none).alias("e"))
+    assert r[:] == (None, "rejected", "drop", "calibrate", False)
+
+
+def test_images_and_write_once(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.jpg").write_bytes(b"abc")
+    (tmp_path / "in" / "b.txt").write_bytes(b"no")
+    got = io.read_images(spark, str(tmp_path / "in")).collect()
+    assert [(r.path.rsplit("/", 1)[1], r.length, r.sha256[:8]) for r in got] == [("a.jpg", 3, "ba7816bf")]
+    io.write_once(spark.range(2), str(tmp_path / "out"))
+    with pytest.raises(Exception, match="(?i)exist"):
+        io.write_once(spark.range(2), str(tmp_path / "out"))
