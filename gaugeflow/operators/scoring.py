@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.geometry import ratio
+from ..sources.staging import staged
+from .graph import components
 
 
 def _matched(left: list[int], right: list[int]) -> int:
@@ -39,8 +41,10 @@ def _matched(left: list[int], right: list[int]) -> int:
 def match_counts(truth: DataFrame, found: DataFrame, group: str, tolerance: float) -> DataFrame:
     """(group, tp, fp, fn) by one-to-one matching of points (id, x, y) within the tolerance.
 
-    Candidate pairs come from an equi join on cells as wide as the tolerance; a group's pairs
-    only, not its points, go into the matching. Groups with one side alone keep their counts.
+    Candidate pairs come from an equi join on cells as wide as the tolerance. They fall apart into
+    connected components, found on Spark; a matching is the union of those of its components, so
+    a task holds the pairs of one component and not of a group. Groups with one side alone keep
+    their counts; null groups and ids match nothing.
     """
     def celled(df, spread):
         steps = F.array(*(F.lit(i) for i in ((-1, 0, 1) if spread else (0,))))
@@ -52,11 +56,16 @@ def match_counts(truth: DataFrame, found: DataFrame, group: str, tolerance: floa
     near = (F.pow(F.col("t.x") - F.col("p.x"), 2) + F.pow(F.col("t.y") - F.col("p.y"), 2)) <= tolerance * tolerance
     pairs = t.join(p, [group, "cx", "cy"]).filter(near).select(group, F.col("t.id").alias("a"), F.col("p.id").alias("b"))
     kind = dict(truth.dtypes)[group]
+    # Nodes are hashes: should two meet, components merge, which changes no matching.
+    ends = [F.xxhash64(F.lit(side), group, side) for side in ("a", "b")]
+    pairs = staged(pairs.select(group, "a", "b", ends[0].alias("u"), ends[1].alias("v")), "pairs")
+    roots = components(pairs.select(F.col("u").alias("a"), F.col("v").alias("b")))
+    apart = pairs.join(roots.withColumnRenamed("node", "u"), "u").select(group, "root", "a", "b")
 
     def matched(rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({group: [rows[group].iloc[0]], "tp": [_matched(rows["a"].tolist(), rows["b"].tolist())]})
 
-    tp = pairs.groupBy(group).applyInPandas(matched, f"{group} {kind}, tp long")
+    tp = apart.groupBy(group, "root").applyInPandas(matched, f"{group} {kind}, tp long").groupBy(group).agg(F.sum("tp").alias("tp"))
     sizes = truth.groupBy(group).agg(F.count("*").alias("n_truth")).join(found.groupBy(group).agg(F.count("*").alias("n_found")), group, "full").join(tp, group, "left").fillna(0)
     return sizes.select(group, "tp", (F.col("n_found") - F.col("tp")).alias("fp"), (F.col("n_truth") - F.col("tp")).alias("fn"))
 

@@ -302,3 +302,33 @@ def test_images_and_write_once(spark, tmp_path):
     io.write_once(spark.range(2), str(tmp_path / "out"))
     with pytest.raises(Exception, match="(?i)exist"):
         io.write_once(spark.range(2), str(tmp_path / "out"))
+
+
+def test_point_match_counts_of_all_lines(spark):
+    """The query's matching, component by component, against one of each image as a whole."""
+    li = spark.read.parquet(f"{SF}/lineitem.parquet").toPandas()
+    got = {r.image: (r.tp, r.fp, r.fn) for r in QUERIES["point_match_counts"](spark, SF).collect()}
+    assert len(got) == 50
+    for image, g in li.groupby(li.l_orderkey % 50):
+        x, y = g.l_extendedprice.astype(float).to_numpy() % 500, g.l_quantity.astype(float).to_numpy() * 10
+        ids = (g.l_orderkey * 10 + g.l_linenumber).to_numpy()
+        odd = (g.l_linenumber % 2 == 1).to_numpy()
+        near = (x[odd][:, None] - x[~odd][None]) ** 2 + (y[odd][:, None] - y[~odd][None]) ** 2 <= 16
+        i, j = np.nonzero(near)
+        tp = scoring._matched(ids[odd][i].tolist(), ids[~odd][j].tolist())
+        assert got[image] == (tp, (~odd).sum() - tp, odd.sum() - tp)
+
+
+def test_staged_tables_go(spark):
+    from pathlib import Path
+
+    from gaugeflow.sources import staging
+
+    kept = staging.Staged(spark.range(5), "five")
+    root = Path(staging.stage_root(spark).removeprefix("file:"))
+    assert kept.df.count() == 5 and len(list(root.glob("five-*"))) == 1
+    kept.drop()
+    assert not list(root.glob("five-*"))
+    staging.staged(spark.range(3), "three")
+    staging.drop_stages(spark)
+    assert not root.exists()
