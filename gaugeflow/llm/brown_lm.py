@@ -8,10 +8,9 @@ P(word | word before) = P(class of word | context class of word before) * P(word
 
 from __future__ import annotations
 
-import math
 import zlib
-from array import array
-from collections import Counter
+from collections import Counter, defaultdict
+from itertools import count, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,7 @@ HEAD_SHARE = 1 << 20
 #: The exchange starts on the driver, with the most frequent words and with groups of endings as
 #: units; then ROUNDS rounds on Spark move every frequent word by its own contexts, and
 #: at last every other word of the vocabulary is put where its contexts fit best.
-SINGLE, ENDINGS, CLASSES, ROUNDS = 1000, 256, 40, 2
+SINGLE, ENDINGS, CLASSES, ROUNDS = 1000, 256, 40, 1
 SMOOTH, LINK_SMOOTH = 0.5, 0.1
 
 
@@ -41,12 +40,6 @@ def ending(word: bytes) -> int:
     return zlib.crc32(word[-2:]) % ENDINGS
 
 
-class _Endings(dict):
-    def __missing__(self, tail):
-        self[tail] = zlib.crc32(tail) % ENDINGS
-        return self[tail]
-
-
 def _count(batches):
     """(word, count), summed over as much of the task as some memory allows."""
     counts = Counter()
@@ -70,7 +63,7 @@ def _pairs(unit_of: dict[bytes, int], units: int):
     """Counts of adjacent units; every text starts after an end."""
 
     def run(batches):
-        group, total = _Endings(), np.zeros(units * units, np.int64)
+        group, total = _Tails(), np.zeros(units * units, np.int64)
         get, singles = unit_of.get, len(unit_of)
         for batch in slices(batches):
             line = [unit_of[END]]
@@ -137,46 +130,47 @@ def exchange(pairs: np.ndarray, classes: int, rounds: int = 10) -> np.ndarray:
     return of
 
 
-class _OfEnding(dict):
-    """Class of a word by its last two bytes."""
-
-    def __init__(self, of_ending: np.ndarray):
-        self.classes = of_ending.tolist()
+class _Tails(dict):
+    """Group of a word by its last two bytes."""
 
     def __missing__(self, tail):
-        self[tail] = self.classes[zlib.crc32(tail) % ENDINGS]
+        self[tail] = zlib.crc32(tail) % ENDINGS
         return self[tail]
 
 
-class _Ids(dict):
-    """Numbers of a task's words, in the order in which they turn up."""
+class _Ids:
+    """Numbers of a task's words, in the order in which they turn up; per number the class in
+    class_of (-1 if it has none there), the group of the ending, and the context class."""
 
     def __init__(self, class_of: dict[bytes, int], of_ending: np.ndarray):
-        self.words, self.known, self.context = [], array("i"), array("i")
-        self.class_of, self.endings = class_of, _OfEnding(of_ending)
+        self.numbers, self.words = defaultdict(count().__next__), []
+        self.class_of, self.of_ending, self.tails = class_of, of_ending.astype(np.int32), _Tails()
+        self.known = self.ending = self.context = np.zeros(0, np.int32)
 
-    def __missing__(self, word):
-        self[word] = number = len(self.words)
-        known = self.class_of.get(word, -1)
-        self.words.append(word), self.known.append(known)
-        self.context.append(known if known >= 0 else self.endings[word[-2:]])
-        return number
+    def __len__(self):
+        return len(self.words)
 
     def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of all tokens of the texts: number, own class (-1 if not in class_of), context class of
-        the token before; and where the texts begin. An end stands before every text."""
-        end, ids, starts = self[END], [], []
+        """Of all tokens of the texts: number, own class, context class of the token before; and
+        where the texts begin. An end stands before every text."""
+        number, ids, starts = self.numbers.__getitem__, [], []
+        end = number(END)
         for text in texts:
             starts.append(len(ids))
-            ids.extend(map(self.__getitem__, text.lower().split()))
+            ids.extend(map(number, text.lower().split()))
             ids.append(end)
+        new = list(islice(self.numbers, len(self.words), None))
+        known = np.fromiter(map(self.class_of.get, new, repeat(-1)), np.int32, len(new))
+        ending = np.fromiter(map(self.tails.__getitem__, [w[-2:] for w in new]), np.int32, len(new))
+        self.words += new
+        self.known, self.ending = np.append(self.known, known), np.append(self.ending, ending)
+        self.context = np.append(self.context, np.where(known >= 0, known, self.of_ending[ending]))
         ids = np.array(ids, np.int64)
-        context = np.frombuffer(self.context, np.int32)
-        return ids, np.frombuffer(self.known, np.int32)[ids], context[np.concatenate(([end], ids[:-1]))], np.array(starts, np.int64)
+        return ids, self.known[ids], self.context[np.concatenate(([end], ids[:-1]))], np.array(starts, np.int64)
 
 
 #: A task's word numbers start anew beyond so many words.
-MOST_IDS = 500_000
+MOST_IDS = 1_000_000
 
 
 def _contexts(class_of: dict[bytes, int], of_ending: np.ndarray, every: bool):
@@ -290,15 +284,15 @@ def _score(model):
 
     def run(batches):
         own = {w: c for w, c in class_of.items() if w in head}
-        numbers, log_of = None, array("d")
+        numbers, log_of = None, np.zeros(0)
         for batch in slices(batches):
             if numbers is None or len(numbers) > MOST_IDS:
-                numbers, log_of = _Ids(own, of_ending), array("d")
+                numbers, log_of = _Ids(own, of_ending), np.zeros(0)
             texts = text_bytes(batch.column("text"))
             ids, of, before, starts = numbers.read(texts)
-            log_of.extend(math.log10(head.get(w, 0) + SMOOTH) for w in numbers.words[len(log_of) :])
+            log_of = np.append(log_of, np.log10(np.array([head.get(w, 0) for w in numbers.words[len(log_of) :]]) + SMOOTH))
             common = of >= 0
-            logs = np.where(common, np.frombuffer(log_of, np.float64)[ids], 0.0)
+            logs = np.where(common, log_of[ids], 0.0)
             steps = np.where(common, link[before, of], 0.0)
             sizes = np.diff(np.append(starts, len(ids)))
             some, base, model_sum = (np.add.reduceat(x, starts) if len(starts) else np.zeros(0) for x in (common.astype(np.int64), logs, logs + steps))
@@ -310,7 +304,7 @@ def _score(model):
             new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (word[1:] != word[:-1])))) if len(doc) else np.zeros(0, np.int64)
             after = pa.ListArray.from_arrays(pa.array(np.append(new, len(doc)).astype(np.int32)), pa.array(before.astype(np.int8)))
             rare = [numbers.words[i] for i in word[new].tolist()]
-            fields = [pa.array(rare, pa.binary()), pa.array(map(ending, rare), pa.int32()), after]
+            fields = [pa.array(rare, pa.binary()), pa.array(numbers.ending[word[new]], pa.int32()), after]
             lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[new], np.arange(len(starts) + 1)).astype(np.int32)), pa.StructArray.from_arrays(fields, ["word", "ending", "after"]))
             columns = {"n_tokens": pa.array(sizes), "common": pa.array(some, pa.int64()), "base": pa.array(base - base_norm * sizes), "model": pa.array(model_sum), "rare": lists}
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), *columns.values()], ["id", "held_out", *columns])
