@@ -2,59 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
-import shutil
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.io import table  # noqa: F401  the operators' queries read their tables with it
+from ..sources.staging import Staged, staged  # noqa: F401  and write their stages
+
 #: White space as the corpus contracts define it.
 SPACE = " \t\n\x0b\f\r"
-_LOCAL_ROOT: dict[str, str] = {}
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def stage_root(spark: SparkSession) -> str:
-    """The shared folder for staged tables: spark.checkpoint.dir where set, else the warehouse
-    (on a cluster) or a folder of this machine (local master only)."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if shared:
-        return shared.rstrip("/")
-    if not (spark.sparkContext.master or "").startswith("local["):
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
-    if "root" not in _LOCAL_ROOT:
-        _LOCAL_ROOT["root"] = tempfile.mkdtemp(prefix="spark-")
-        atexit.register(shutil.rmtree, _LOCAL_ROOT["root"], ignore_errors=True)
-    return _LOCAL_ROOT["root"]
-
-
-class Staged:
-    """A table written once to the shared folder; lineage ends there, so a lost executor costs
-    only the tasks that read it."""
-
-    def __init__(self, df: DataFrame, name: str):
-        self.spark = df.sparkSession
-        self.path = f"{stage_root(self.spark)}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
-
-    def drop(self) -> None:
-        """Deletes the files; call it only when no DataFrame that reads them will run again."""
-        jvm, sc = self.spark._jvm, self.spark.sparkContext
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    return Staged(df, name).df
 
 
 def release(spark: SparkSession) -> None:

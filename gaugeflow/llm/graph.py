@@ -1,42 +1,5 @@
-"""Connected components of an edge table, distributed."""
+"""Connected components of an edge table, as the library has them."""
 
-from __future__ import annotations
+from ..operators.graph import components
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import Staged
-
-
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of `edges(a, b)`; root is the smallest node reachable.
-
-    Alternates the large-star and small-star steps: each takes the minimum of every node's
-    neighbours (pre-aggregated before the shuffle, so a hub with very many neighbours is one row
-    a task) and joins it back. The edge table is written after each round; a round ends the loop
-    when it changes nothing. Self loops and null ends are dropped; an empty table gives no rows.
-    """
-    # Every node points at a smaller one: (u, v) with u > v.
-    start = edges.dropna(subset=["a", "b"]).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-    now = Staged(start.filter("u <> v").distinct(), "edges")
-    seen = None
-    for _ in range(rounds):
-        mark = tuple(now.df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if mark[0] == 0 or mark == seen:
-            break
-        seen = mark
-        e = now.df
-        # Large star: every neighbour above a node is linked to the least of node and neighbours.
-        both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # Small star: a node and its lower neighbours are linked to the least of them.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        following = Staged(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        now.drop()
-        now = following
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    roots = now.df.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-    return now.df.select(F.col("u").alias("node"), F.col("v").alias("root")).union(roots)
+__all__ = ["components"]

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from . import brown_lm, decontaminate, exact_dedup, html_text, mixing, quality, secrets, sharding, simhash, suffix_dedup
 
 
@@ -19,7 +17,6 @@ def queries():
         "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
         "op9_lm_scoring": brown_lm.op9_lm_scoring,
         "op10_mixing": mixing.op10_mixing,
-        "pipeline": corpus_pipeline.run,
     }
 
 
