@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from .common import SPACE, staged, table
 
 
-#: Up to so many repeated hashes (16 bytes each) are broadcast; beyond, texts are shuffled to them.
+#: Up to so many repeated hashes (16 bytes each) and their groups (some 100 bytes each) are broadcast, so
+#: that a group of any size is spread as its rows are; beyond, rows are shuffled to them.
 BROADCAST_HASHES = 1_000_000
 
 
@@ -35,8 +36,9 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     hashed = rows.select("doc_id", "n", "h", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("sha"))
     ids = staged(hashed.groupBy("doc_id", "n", "h", "sha").agg(F.count("*").alias("copies")), "content")
     repeated = staged(ids.groupBy("h").agg(F.sum("copies").alias("c")).filter("c > 1").select("h"), "repeated")
-    if repeated.count() <= BROADCAST_HASHES:
-        repeated = F.broadcast(repeated)
+    # Repeated hashes bound the repeated texts, too: both are broadcast or both are shuffled to.
+    small = F.broadcast if repeated.count() <= BROADCAST_HASHES else (lambda df: df)
+    repeated = small(repeated)
 
     by_bytes = rows.join(repeated, "h", "left_semi").groupBy("h", "norm").agg(F.count("*").alias("members"))
     texts = by_bytes.groupBy("h", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)).alias("sha")).agg(
@@ -46,8 +48,8 @@ def exact_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
         "h", "sha", F.when(F.col("texts") > 1, F.raise_error(F.lit("two texts share both content hashes"))).otherwise(F.col("group_size")).alias("group_size")
     )
     first = F.struct((-F.col("n")).alias("n"), F.isnull("doc_id").alias("none"), F.col("doc_id").alias("id"))
-    best = ids.groupBy("h", "sha").agg(F.min(first).alias("best"))
-    groups = texts.join(best, ["h", "sha"])
+    best = ids.join(repeated, "h", "left_semi").groupBy("h", "sha").agg(F.min(first).alias("best"))
+    groups = small(staged(texts.join(best, ["h", "sha"]), "groups"))
 
     out = ids.join(groups, ["h", "sha"], "left").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
     alone = F.col("best").isNull()

@@ -190,6 +190,20 @@ def test_suffix_dedup(docs, real, batches, crowded, monkeypatch):
         assert got == want
 
 
+def test_levels_of_suffix_arrays_merge_geometrically(docs, monkeypatch):
+    seen, add = [], suffix_dedup.IndexFamily.add
+
+    def added(self, level):
+        add(self, level)
+        seen.append([n for n, _ in self.levels])
+
+    monkeypatch.setattr(suffix_dedup.IndexFamily, "add", added)
+    df = docs.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    want = sorted(map(tuple, suffix_dedup.remove_repeats(df, batches=1).collect()))
+    assert sorted(map(tuple, suffix_dedup.remove_repeats(df, batches=9).collect())) == want
+    assert seen == [[1], [1, 1], [2, 1], [2, 1, 1], [4, 1], [4, 1, 1], [4, 2, 1], [4, 2, 1, 1]]
+
+
 def test_suffix_dedup_of_repeated_and_null_keys(docs):
     assert suffix_dedup.remove_repeats(docs).count() == docs.count()
     assert suffix_dedup.remove_repeats(docs.limit(0)).count() == 0
@@ -494,3 +508,76 @@ def test_lm_scores_are_those_of_the_plain_model(spark, head_share, monkeypatch):
     got = brown_lm.lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).toPandas()
     want = sorted((str(k), round(s, 6)) for k, s in plain_scores(rows, head_share))
     assert sorted((str(None if pd.isna(r.doc_id) else int(r.doc_id)), round(r.score, 6)) for r in got.itertuples()) == want
+
+
+def test_pages_without_telling_tags_or_names(spark):
+    """Only what changes from page to page tells the main text: menus, notices and footers are made
+    of the same elements, with classes that say nothing."""
+    draw = np.random.default_rng(11)
+    def page(i):
+        body = "".join(f"<p class=k3>{' '.join(f'w{draw.integers(900)}' for _ in range(40))}</p>" for _ in range(3 + i % 3))
+        return f"<body><div class=k1><p>Home</p><p>About us</p><p>All about the firm</p></div><div class=k2><div class=k4><h2>Title {i}</h2>{body}</div></div><div class=k5><p>Terms of use</p><p>Write to us</p></div>"
+
+    pages = [page(i) for i in range(9)]
+    rows = [(i, f"http://plain.example/{i}", h) for i, h in enumerate(pages)]
+    df = spark.createDataFrame(rows + rows[:2], "page_id long, url string, html string")
+    got = html_text.main_text(df, ["page_id"]).collect()
+    assert len(got) == 11 and html_text.main_text(df.limit(0), ["page_id"]).count() == 0
+    for r in got:
+        blocks = [f"Title {r.page_id}"] + [x.split("</p>")[0] for x in pages[r.page_id].split("<p class=k3>")[1:]]
+        assert r.text == "\n".join(blocks)
+
+
+def test_very_many_siblings(spark):
+    a, b = (html_text.Page("<body><div>" + "".join(f"<p>{x} {i}" for i in range(20_000)) + "</div>") for x in ("one", "two"))
+    assert len(html_text.align(a, b)) == 20_003
+    few = [html_text.Page("<ul>" + "".join(f"<li>{k}" if k % 7 else f"<h3>{k}" for k in range(n)) + "</ul>") for n in (300, 290)]
+    assert len(html_text.align(*few)) >= 280
+
+
+def test_shards_by_brute_force(spark, docs):
+    got = sharding.shard_documents(docs.union(docs), 7).toPandas()
+    rows = docs.union(docs).collect()
+    assert len(got) == len(rows)
+    want = Counter((r.doc_id, len((r.text or "").encode()) + 16, zlib.crc32((r.text or "").encode())) for r in rows)
+    assert Counter((None if pd.isna(k) else int(k), n, c) for k, n, c in zip(got.doc_id, got["size"], got.text_crc32)) == want
+    key = np.array([0 if pd.isna(k) else int(k) for k in got.doc_id], np.int64).view(np.uint64)
+    shard, grown = sharding.jump_hash(key, 7)
+    assert got.shard.tolist() == shard.tolist() and got.grown_shard.tolist() == grown.tolist() and set(got.law) == {"key"}
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))
+
+
+def test_pipeline_stages_on_odd_rows(spark, docs):
+    """Nulls, empty texts, repeated rows and ids, an empty table: no stage fails, none drops a row
+    that it has no reason to."""
+    import corpus_pipeline as pipeline
+
+    df = docs.union(docs.limit(4)).select(*pipeline.COLUMNS)
+    for rows in (df, df.limit(0)):
+        n = rows.count()
+        kept = pipeline.decontamination(spark, rows, SF)
+        assert kept.columns == pipeline.COLUMNS and kept.count() == n
+        mixed = pipeline.mix_sources(spark, rows, SF)
+        assert mixed.columns == pipeline.COLUMNS and (mixed.count() > 0) == (n > 0)
+        assert pipeline.shard(spark, rows, SF).count() == n
+        assert pipeline.quality_filter(spark, rows, SF).columns == pipeline.COLUMNS
+        near = pipeline.near_dedup(spark, rows, SF)
+        assert near.count() == len(set(groups_by_jaccard([r.text for r in rows.collect()])))
+
+
+def test_mixing_stage_keeps_clean_documents(spark):
+    """On a corpus that is nearly clean, and on one that isn't."""
+    import corpus_pipeline as pipeline
+
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    clean = docs.join(labels.filter("quality = 1 AND toxic = 0"), "doc_id", "left_semi")
+    few = docs.join(labels.filter("toxic = 1"), "doc_id", "left_semi").limit(5)
+    for df in (clean.union(few), docs):
+        df = df.select(*pipeline.COLUMNS)
+        rated = mixing.document_rates(df, labels, pipeline.TARGETS, keep=["doc_id"], ceilings=True).toPandas()
+        sure = rated[rated.p_high_toxic + rated.p_low_toxic < 0.05]
+        assert (sure.rate > 0.97).all() and len(sure) > 0.7 * len(rated)
+        left = {r.doc_id for r in pipeline.mix_sources(spark, df, sf).collect()}
+        assert len(set(sure.doc_id) - left) <= 0.01 * len(sure)
+    assert rated[rated.p_high_toxic > 0.9].rate.mean() < 0.3 and rated.targets_met.all()
