@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.exif import exif
 from .schemas import CONTROL_POINTS, EXPORT
 
 
@@ -20,7 +21,11 @@ def read_export(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_control_points(spark: SparkSession, path: str) -> DataFrame:
-    """(image, id, x, y); a file that isn't JSON of this kind gives no rows."""
+    """(image, id, x, y); a file that isn't JSON of this kind gives no rows, nor does a path that
+    doesn't exist."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at):
+        return spark.createDataFrame([], "image string, id int, x double, y double")
     doc = spark.read.schema(CONTROL_POINTS).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
     return doc.select("image", F.explode("points").alias("p")).select("image", "p.id", F.col("p.x_px").alias("x"), F.col("p.y_px").alias("y"))
 
@@ -39,3 +44,42 @@ def write_control_points(points: DataFrame, path: str) -> None:
 
 def write_once(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").parquet(path)
+
+
+def control_point_roster(spark: SparkSession, path: str) -> DataFrame:
+    """All ids that any control-point file under the path names."""
+    return read_control_points(spark, path).select("id").distinct()
+
+
+def image_facts(files: DataFrame) -> DataFrame:
+    """`read_images` with the tags of each file and its orientation (1 where there is none)."""
+    tagged = files.withColumn("exif", exif("content"))
+    return tagged.withColumn("orientation", F.coalesce(F.try_element_at("exif", F.lit("Orientation")).cast("int"), F.lit(1)))
+
+
+def append_rows(df: DataFrame, path: str) -> None:
+    df.write.mode("append").parquet(path)
+
+
+def write_manifest(manifest: DataFrame, path: str) -> None:
+    """One JSON document per split, once (see `sessions.split_manifest`)."""
+    manifest.write.mode("errorifexists").json(path)
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(split, day) of a written manifest."""
+    doc = spark.read.schema("split STRING, dates ARRAY<DATE>, n_dates BIGINT").json(path)
+    return doc.select("split", F.explode("dates").alias("day"))
+
+
+class Rejected(ValueError):
+    pass
+
+
+def write_if_valid(judged: DataFrame, path: str) -> None:
+    """Writes rows (with their `reasons`) once, and only if none has a reason: all or nothing."""
+    bad = judged.filter(F.size("reasons") > 0)
+    if not bad.isEmpty():
+        n, why = bad.count(), bad.select(F.explode("reasons").alias("why")).groupBy("why").count().orderBy("why").collect()
+        raise Rejected(f"{n} rows rejected: " + ", ".join(f"{r[0]} {r[1]}" for r in why))
+    judged.drop("reasons", "verdict").write.mode("errorifexists").parquet(path)

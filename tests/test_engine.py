@@ -332,3 +332,87 @@ def test_staged_tables_go(spark):
     staging.staged(spark.range(3), "three")
     staging.drop_stages(spark)
     assert not root.exists()
+
+
+def tiff(order, entries, extra=b""):
+    import struct
+
+    body = struct.pack(order + "H", len(entries)) + b"".join(struct.pack(order + "HHI", *e[:3]) + e[3] for e in entries) + b"\0" * 4
+    return (b"II*\0" if order == "<" else b"MM\0*") + struct.pack(order + "I", 8) + body + extra
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_tags_of_images(spark, tmp_path, order):
+    import struct
+
+    u = lambda n: struct.pack(order + "I", n)
+    h = lambda n: struct.pack(order + "HH", n, 0)
+    extra_at = 8 + 2 + 12 * 4 + 4
+    maker = b"Maker of cameras\0"
+    second = struct.pack(order + "H", 2) + struct.pack(order + "HHI", 0x829A, 5, 1) + u(extra_at + len(maker) + 30) + struct.pack(order + "HHI", 0x927C, 7, 4) + b"abcd" + b"\0" * 4
+    block = tiff(order, [(0x010F, 2, len(maker), u(extra_at)), (0x0112, 3, 1, h(6)), (0x8769, 4, 1, u(extra_at + len(maker))), (0x0110, 2, 900, u(extra_at))], maker + second + struct.pack(order + "II", 1, 50))
+    jpeg = b"\xff\xd8\xff\xe0\x00\x04ab" + b"\xff\xe1" + (len(block) + 8).to_bytes(2, "big") + b"Exif\0\0" + block + b"\xff\xda"
+    want = {"Make": "Maker of cameras", "Orientation": "6", "ExposureTime": "0.02", "MakerNote": "<4 bytes>"}
+    from gaugeflow.functions import exif
+
+    assert exif.tags(block) == exif.tags(jpeg) == want
+    assert [exif.tags(x) for x in (None, b"", b"\xff\xd8", b"\xff\xd8\xff\xe1\x00\x00", jpeg[:40])] == [{}] * 5
+    (tmp_path / "a.jpg").write_bytes(jpeg)
+    (tmp_path / "b.png").write_bytes(b"png")
+    got = {r.path.rsplit("/", 1)[1]: (r.exif, r.orientation) for r in io.image_facts(io.read_images(spark, str(tmp_path))).collect()}
+    assert got == {"a.jpg": (want, 6), "b.png": ({}, 1)}
+
+
+def test_manifests_and_missing_files(spark, tmp_path):
+    from gaugeflow.operators import sessions
+
+    plan = splits.ratio_split(days(spark, 30), "d", (0.7, 0.15, 0.15), 2)
+    io.write_manifest(sessions.split_manifest(plan, "d"), str(tmp_path / "plan"))
+    read = sorted((r.day, r.split) for r in io.read_manifest(spark, str(tmp_path / "plan")).collect())
+    assert read == sorted((r.d, r.split) for r in plan.collect())
+    with pytest.raises(Exception, match="(?i)exist"):
+        io.write_manifest(sessions.split_manifest(plan, "d"), str(tmp_path / "plan"))
+    assert io.read_control_points(spark, str(tmp_path / "none")).count() == 0
+    io.append_rows(spark.range(2), str(tmp_path / "log"))
+    io.append_rows(spark.range(3), str(tmp_path / "log"))
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 5
+
+
+def test_centers_of_many_shapes():
+    draw = np.random.default_rng(8)
+    for k in range(40):
+        mask = draw.random((draw.integers(1, 14), draw.integers(1, 14))) < 0.45
+        label, want = np.zeros(mask.shape, int), []
+        for y0, x0 in zip(*np.nonzero(mask)):
+            if label[y0, x0]:
+                continue
+            stack, pixels = [(y0, x0)], []
+            label[y0, x0] = 1
+            while stack:
+                y, x = stack.pop()
+                pixels.append((x, y))
+                for q in ((y - 1, x), (y + 1, x), (y, x - 1), (y, x + 1)):
+                    if 0 <= q[0] < mask.shape[0] and 0 <= q[1] < mask.shape[1] and mask[q] and not label[q]:
+                        label[q] = 1
+                        stack.append(q)
+            if len(pixels) >= 2:
+                want.append(tuple(np.mean(pixels, axis=0)))
+        assert np.allclose(sorted(kernels.centers(mask)), sorted(want)) if want else kernels.centers(mask) == []
+
+
+def test_masks_to_centers_and_detail_in_spark(spark):
+    mask = [0.0, 0.9, 0.9, 0.0] * 3 + [0.0] * 4
+    df = spark.createDataFrame([(mask, 4, 0.5), (None, 4, 0.5)], "pixels array<double>, width int, threshold double")
+    got = df.filter("pixels IS NOT NULL").select(kernels.mask_centers("pixels", "width", "threshold").alias("c")).first().c
+    assert [(p.x, p.y) for p in got] == [(1.5, 1.0)]
+    detail = [r.d for r in df.select(kernels.spectral_detail("pixels", "width").alias("d")).collect()]
+    assert 0 < detail[0] <= 0.5 and detail[1] is None
+
+
+def test_restore_is_all_or_nothing(spark, tmp_path):
+    rows = spark.createDataFrame([(1, []), (2, ["size"])], "id int, reasons array<string>")
+    with pytest.raises(io.Rejected, match="1 rows rejected: size 1"):
+        io.write_if_valid(rows, str(tmp_path / "out"))
+    assert not (tmp_path / "out").exists()
+    io.write_if_valid(rows.filter("id = 1"), str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).columns == ["id"]
