@@ -214,3 +214,9 @@ def median_of_medians(rows: DataFrame, pair: str, method: str, value: str) -> Da
     """Per method the median over pairs of each pair's median, and how many pairs it covers."""
     per_pair = rows.groupBy(pair, method).agg(F.median(value).alias("m"))
     return per_pair.groupBy(method).agg(F.median("m").alias("median"), F.count("*").alias("n_pairs"))
+
+
+def detail_bin(spectrum: DataFrame, bin: str, energy: str, share: float) -> DataFrame:
+    """The first bin up to which `share` of the energy lies; a spectrum has a few bins."""
+    so_far = F.sum(energy).over(Window.orderBy(bin)) / F.sum(energy).over(Window.partitionBy())
+    return spectrum.withColumn("_share", so_far).filter(F.col("_share") >= share).agg(F.min(bin).alias("detail_bin"))

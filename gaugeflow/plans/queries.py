@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import ratio
@@ -261,7 +260,8 @@ def method_ranking(spark, d):
 
 @query("SELECT round(corr(l_quantity, l_extendedprice), 9) AS r, count(*) AS n FROM lineitem")
 def radial_corr(spark, d):
-    return table(spark, d, "lineitem").agg(F.round(F.corr("l_quantity", "l_extendedprice"), 9).alias("r"), F.count("*").alias("n"))
+    li = table(spark, d, "lineitem").select(F.col("l_quantity").cast("double").alias("a"), F.col("l_extendedprice").cast("double").alias("b"))
+    return scoring.correlation(li, "a", "b").select(F.round("r", 9).alias("r"), "n")
 
 
 @query("""WITH e AS (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS dim FROM embeddings)
@@ -298,8 +298,7 @@ def json_props(spark, d):
 c AS (SELECT bin, sum(e) OVER (ORDER BY bin) / sum(e) OVER () AS share FROM b) SELECT min(bin) AS detail_bin FROM c WHERE share >= 0.8""")
 def spectrum_detail(spark, d):
     b = table(spark, d, "events").filter("value >= 0").groupBy(F.least(F.lit(63), F.floor("value")).cast("long").alias("bin")).agg(F.sum("value").alias("e"))
-    share = F.sum("e").over(Window.orderBy("bin")) / F.sum("e").over(Window.partitionBy())
-    return b.withColumn("share", share).filter("share >= 0.8").agg(F.min("bin").alias("detail_bin"))
+    return scoring.detail_bin(b, "bin", "e", 0.8)
 
 
 @query("""WITH c AS (SELECT user_id % 2 AS u, event_type || '-' || (user_id % 40) AS k, count(*) AS n FROM events GROUP BY 1, 2),
@@ -322,16 +321,13 @@ def rolling_mean_7d(spark, d):
     return capture.rolling_mean(c, "d", "n", 7, ["event_type"]).withColumn("mean", F.round("mean", 9))
 
 
-@query("""WITH t AS (SELECT l_suppkey AS pair, l_orderkey * 10 + l_linenumber AS id, l_quantity AS x, l_discount * 100 AS y FROM lineitem),
-j AS (SELECT a.pair, a.id, a.x AS tx, a.y AS ty, a.x + 2 AS x, a.y - 1 AS y FROM (SELECT DISTINCT * FROM t) a),
+@query("""WITH p AS (SELECT l_suppkey % 10 AS pair, l_partkey AS id, l_returnflag, min(l_quantity) AS x, min(l_discount * 100) AS y FROM lineitem GROUP BY 1, 2, 3),
+j AS (SELECT pair, id, a.x AS tx, a.y AS ty, b.x, b.y FROM (SELECT * FROM p WHERE l_returnflag = 'N') a JOIN (SELECT * FROM p WHERE l_returnflag = 'R') b USING (pair, id)),
 m AS (SELECT pair, sqrt(((1.01::DOUBLE * tx + 2) / (1 + 0.001::DOUBLE * ty) - x) ** 2 + ((0.99::DOUBLE * ty - 1) / (1 + 0.001::DOUBLE * ty) - y) ** 2) / 2 AS mm FROM j)
 SELECT pair, count(*) AS n, round(quantile_cont(mm, 0.5), 7) AS median, round(quantile_cont(mm, 0.95), 7) AS p95 FROM m GROUP BY 1 HAVING count(*) >= 3""")
 def registration_residuals(spark, d):
-    t = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("pair"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_quantity").alias("x"), (F.col("l_discount") * 100).alias("y")).distinct()
-    reference = t.select("pair", "id", (F.col("x") + 2).alias("x"), (F.col("y") - 1).alias("y")).distinct()
-    # An order line's number isn't unique; place and number together are.
-    t = t.withColumn("id", F.struct("id", "x", "y"))
-    reference = reference.withColumn("id", F.struct("id", (F.col("x") - 2).alias("x"), (F.col("y") + 1).alias("y")))
-    r = registration.residuals(t, reference, "pair", [1.01, 0.0, 2.0, 0.0, 0.99, -1.0, 0.0, 0.001, 1.0], 2.0)
+    p = table(spark, d, "lineitem").groupBy((F.col("l_suppkey") % 10).alias("pair"), F.col("l_partkey").alias("id"), "l_returnflag")
+    p = p.agg(F.min("l_quantity").alias("x"), F.min(F.col("l_discount") * 100).alias("y"))
+    r = registration.residuals(p.filter("l_returnflag = 'N'"), p.filter("l_returnflag = 'R'"), "pair", [1.01, 0.0, 2.0, 0.0, 0.99, -1.0, 0.0, 0.001, 1.0], 2.0)
     s = scoring.residual_stats(r, "pair", "mm")
     return s.select("pair", "n", F.round("median", 7).alias("median"), F.round("p95", 7).alias("p95"))
