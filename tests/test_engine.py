@@ -416,3 +416,36 @@ def test_restore_is_all_or_nothing(spark, tmp_path):
     assert not (tmp_path / "out").exists()
     io.write_if_valid(rows.filter("id = 1"), str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).columns == ["id"]
+
+
+@pytest.mark.parametrize("kind", ["homography", "similarity"])
+def test_robust_fits_bear_wrong_matches(spark, kind):
+    from gaugeflow.operators import robust
+
+    draw = np.random.default_rng(4)
+    h = np.array([[1.1, 0.1, 5], [-0.1, 1.1, 7], [1e-4 if kind == "homography" else 0, 0, 1]])
+    src = draw.uniform(0, 500, (60, 2))
+    p = np.column_stack([src, np.ones(60)]) @ h.T
+    dst = p[:, :2] / p[:, 2:]
+    dst[:20] = draw.uniform(0, 500, (20, 2))
+    rows = [(1, *map(float, (*a, *b))) for a, b in zip(src, dst)] + [(2, 1.0, 2.0, 3.0, 4.0), (3, None, 0.0, 0.0, 0.0)]
+    got = {r[0]: r for r in robust.robust_fits(spark.createDataFrame(rows, "pair int, x double, y double, u double, v double"), "pair", kind).collect()}
+    assert got[1].n == 60 and 40 <= got[1].n_agree <= 43
+    assert np.abs(robust._errors(np.array(got[1].transform).reshape(3, 3), src[20:], dst[20:])).max() < 1.5
+    assert got[2].transform is None
+
+
+def test_facing_of_a_sphere(spark):
+    from gaugeflow.operators import robust
+
+    k = np.arange(400)
+    z = 1 - 2 * (k + 0.5) / 400
+    turn = k * np.pi * (3 - 5**0.5)
+    p = np.column_stack([np.sqrt(1 - z * z) * np.cos(turn), np.sqrt(1 - z * z) * np.sin(turn), z])
+    df = spark.createDataFrame([(1, i, *map(float, x)) for i, x in enumerate(p)], "image int, id int, x double, y double, z double")
+    turned = robust.facing(df, "image")
+    got = {r.id: r.facing for r in turned.collect()}
+    assert max(abs(got[i] + p[i, 2]) for i in got) < 0.08
+    regions = spark.createDataFrame([(i, "back" if z[i] > 0.2 else "front" if z[i] < -0.2 else "rim") for i in range(400)], "id int, region string")
+    shares = {r.region: r.share for r in robust.visible_shares(turned, regions, "image").collect()}
+    assert shares["back"] == 0 and shares["front"] == 1 and 0.3 < shares["rim"] < 0.7
