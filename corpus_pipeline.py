@@ -30,10 +30,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The row of the smallest id stays; a null id comes last, and of rows that share the id the one
     with the least hash of its text. Ids don't tell groups: rows without one, or with one that
     unrelated texts share, stay as any other row does."""
-    grouped = staged(near_copies.near_copies(docs.select(*COLUMNS)), "grouped")
+    rows, of = near_copies.near_groups(docs.select(*COLUMNS))
     order = F.struct(F.isnull("doc_id").alias("none"), "doc_id", F.xxhash64("text").alias("hash"), "row")
-    stay = grouped.groupBy("root").agg(F.min(order).alias("least")).select(F.col("least.row").alias("row"))
-    return grouped.join(stay, "row", "left_semi").select(*COLUMNS)
+    stay = rows.select("row", order.alias("order")).join(of, "row").groupBy("root").agg(F.min("order").alias("least"))
+    return rows.join(stay.select(F.col("least.row").alias("row")), "row", "left_semi").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

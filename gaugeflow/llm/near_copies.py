@@ -21,7 +21,7 @@ SLACK = 1e-9
 #: come last in the order of prefixes, so many at most. This is for speed alone: prefixes of any
 #: common order meet.
 COMMON, SAMPLED, LATE = 4, 200_000, 1_000_000
-SKETCHES, _FACTOR = 4, np.uint64(0x9E3779B97F4A7C15)
+SKETCHES, SIGNATURE, _FACTOR = 4, 256, np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingle_set(text: bytes, words_in: int) -> np.ndarray:
@@ -56,15 +56,15 @@ def common_shingles(docs: DataFrame, text: str, words_in: int) -> np.ndarray:
 
 def _prepare(names, words_in, similarity, late):
     """Appends node (hash of the whole set), size, center (how common its shingles are, in
-    thousandths), fp (its SimHash), sketch (the least of the set under SKETCHES orders), and the
-    prefix: sets of sizes x <= y share similarity * y elements at least, so of each the first
+    thousandths), fp (its SimHash), bits (each shingle flips one of SIGNATURE), sketch (the least of
+    the set under SKETCHES orders), and the prefix: sets of sizes x <= y share similarity * y elements at least, so of each the first
     size - ceil(similarity * size) + 1 elements, in any order common to all sets, have one in
     common."""
 
     def run(batches):
         for batch in slices(batches):
             out = [[] for _ in range(5)]
-            lists = [[], []]
+            lists = [[], [], []]
             for text in text_bytes(batch.column("_text")):
                 hashes = np.array(shingle_hashes(text.lower().split(), words_in), np.uint64)
                 s = np.unique(hashes)
@@ -74,11 +74,13 @@ def _prepare(names, words_in, similarity, late):
                     column.append(value)
                 with np.errstate(over="ignore"):
                     sketch = [int((s * np.uint64(2 * k + 1) * _FACTOR).min()) ^ k for k in range(SKETCHES)] if len(s) else []
-                lists[0].append(np.array(sketch, np.uint64).view(np.int64))
-                lists[1].append(ordered[: len(s) - math.ceil(similarity * len(s) - SLACK) + 1 if len(s) else 0].view(np.int64))
+                flips = np.bincount((s % np.uint64(SIGNATURE)).astype(np.int64), minlength=SIGNATURE) & 1
+                lists[0].append(np.packbits(flips.astype(np.uint8), bitorder="little").view(np.int64))
+                lists[1].append(np.array(sketch, np.uint64).view(np.int64))
+                lists[2].append(ordered[: len(s) - math.ceil(similarity * len(s) - SLACK) + 1 if len(s) else 0].view(np.int64))
             longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (out[0], out[3])]
             columns = [*(batch.column(n) for n in names), longs[0], pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), longs[1], *map(_lists, lists)]
-            yield pa.RecordBatch.from_arrays(columns, [*names, "node", "size", "center", "fp", "sketch", "prefix"])
+            yield pa.RecordBatch.from_arrays(columns, [*names, "node", "size", "center", "fp", "bits", "sketch", "prefix"])
 
     return run
 
@@ -117,29 +119,38 @@ def _shared(batches):
     return _cells(batches, emit)
 
 
+def _may_be_alike(similarity, size, other, bits, other_bits):
+    """Sets of sizes m and n that are similar differ in (m + n)(1 - s)/(1 + s) elements at most, and
+    their signatures in no more bits than that: every differing element flips one."""
+    apart = np.bitwise_count((bits ^ other_bits).view(np.uint64)).sum(axis=1, dtype=np.int64)
+    return apart <= (size + other) * (1 - similarity) / (1 + similarity) + SLACK
+
+
 def _stars(similarity):
     """Of rows in the order of (cell, how common they are): pairs with the cell's first row, which
     is the likeliest original of its copies, and in the first sketch with the row before."""
 
-    def emit(cell, center, size, node, order):
+    def emit(cell, center, size, node, order, *bits):
         if len(cell) < 2:
             return
+        bits = np.stack(bits, axis=1)
         first, at = np.searchsorted(cell, cell), np.arange(len(cell))
         for other in (first, at - 1):
             low, high = np.minimum(size[other], size), np.maximum(size[other], size)
             on = (at > first) & (low >= similarity * high - SLACK) & ((other == first) | (order == 0))
+            on &= _may_be_alike(similarity, size, size[other], bits, bits[other])
             yield _batch(node[other[on]], node[at[on]])
 
     return lambda batches: _cells(batches, emit)
 
 
 def _all_pairs(similarity):
-    """All pairs of a cell that are still apart (by root, and by side if any) and that sizes and
-    places allow. Of the elements two sets share, let the cell's be the first: then they share
+    """All pairs of a cell that are still apart (by root, and by side if any) and that sizes,
+    signatures and places allow. Of the elements two sets share, let the cell's be the first: then they share
     no more than what is left of either set from there on."""
 
-    def emit(cell, size, node, root, place, side):
-        live, gap = np.arange(len(cell)), 1
+    def emit(cell, size, node, root, place, side, *bits):
+        live, gap, bits = np.arange(len(cell)), 1, np.stack(bits, axis=1)
         ends, left = np.searchsorted(cell, cell, side="right"), size - place
         while True:
             live = live[live + gap < ends[live]]
@@ -149,6 +160,7 @@ def _all_pairs(similarity):
             other = live + gap
             least = similarity / (1 + similarity) * (size[live] + size[other]) - SLACK
             on = (root[live] != root[other]) & ((side[live] != side[other]) | (side[live] == 0)) & (np.minimum(left[live], left[other]) >= least)
+            on[on] = _may_be_alike(similarity, size[live[on]], size[other[on]], bits[live[on]], bits[other[on]])
             if on.any():
                 yield _batch(node[live[on]], node[other[on]])
             gap += 1
@@ -184,8 +196,9 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words_in: int, similarity: fl
     return found
 
 
-def near_copies(docs: DataFrame, text: str = "text", words_in: int = WORDS_IN, similarity: float = SIMILARITY, cell_rows: int = 20_000) -> DataFrame:
-    """The columns of docs, row (an id of the row) and root (equal in all rows of a group).
+def near_groups(docs: DataFrame, text: str = "text", words_in: int = WORDS_IN, similarity: float = SIMILARITY, cell_rows: int = 20_000) -> tuple[DataFrame, DataFrame]:
+    """The columns of docs with row (an id of the row), written once; and (row, root), where root is
+    equal in all rows of a group.
 
     Rows whose texts' sets of `words_in`-word shingles have a Jaccard similarity of `similarity`
     or more are linked, and groups are what links reach. Texts of fewer words are one shingle;
@@ -196,12 +209,12 @@ def near_copies(docs: DataFrame, text: str = "text", words_in: int = WORDS_IN, s
     with one of them, and of rows that share a sketch with the likeliest original. Bits of a
     SimHash can't be the only filter: at 0.8 about 10 of 64 differ, up to 20, too many for any
     covering that still separates. So, in order to miss no similar pair, all pairs that share a
-    shingle of their prefixes follow, but for those in one group by then, and those that sizes and
-    places of the shingle rule out. Each pair is confirmed on its texts. Cells (the rows of one
+    shingle of their prefixes follow, but for those in one group by then, and those that sizes,
+    signatures and places of the shingle rule out. Each pair is confirmed on its texts. Cells (the rows of one
     shingle) over `cell_rows` are compared as pairs of blocks.
     """
     names, kinds = docs.columns, dict(docs.dtypes)
-    schema = ", ".join([*(f"`{n}` {kinds[n]}" for n in names), "node long, size int, center int, fp long, sketch array<long>, prefix array<long>"])
+    schema = ", ".join([*(f"`{n}` {kinds[n]}" for n in names), "node long, size int, center int, fp long, bits array<long>, sketch array<long>, prefix array<long>"])
     late = common_shingles(docs, text, words_in)
     rows = docs.withColumn("_text", F.col(text)).mapInArrow(_prepare(names, words_in, similarity, late), schema)
     rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
@@ -215,11 +228,14 @@ def near_copies(docs: DataFrame, text: str = "text", words_in: int = WORDS_IN, s
     least = prints.join(groups, "fp").groupBy("root").agg(F.min("least").alias("a"))
     of_print = groups.join(least, "root").select("fp", "a").union(prints.join(groups, "fp", "left_anti").select("fp", F.col("least").alias("a")))
     near = single.select("fp", F.col("node").alias("b")).join(of_print, "fp").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    sketched = single.select(F.posexplode("sketch").alias("order", "cell"), "center", "size", "node").select("cell", "center", "size", "node", "order")
+    words = [F.col("bits")[k].alias(f"bits{k}") for k in range(SIGNATURE // 64)]
+    sketched = single.select(F.posexplode("sketch").alias("order", "cell"), "center", "size", "node", *words)
+    sketched = sketched.select("cell", "center", "size", "node", "order", *(f"bits{k}" for k in range(len(words))))
     sketched = sketched.repartition("cell").sortWithinPartitions("cell", F.desc("center"), "size", "node")
     likely = near.union(sketched.mapInArrow(_stars(similarity), "a long, b long")).distinct()
     first = _confirmed(likely, texts, words_in, similarity)
     roots = staged(components(first), "roots")
+    release(docs.sparkSession)
 
     # Then every pair that shares an element of its prefixes, unless it is in one group already.
     cells = single.select(F.posexplode("prefix").alias("place", "cell"), "node", "size").select("cell", "node", "size", "place")
@@ -228,7 +244,7 @@ def near_copies(docs: DataFrame, text: str = "text", words_in: int = WORDS_IN, s
     release(docs.sparkSession)
     apart = cells.df.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = apart.groupBy("cell").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / cell_rows).cast("int").alias("blocks")).filter("low < high").select("cell", "blocks")
-    apart = apart.join(mixed, "cell").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    apart = apart.join(mixed, "cell").join(single.select("node", *words), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     block = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda k: F.struct(
@@ -236,10 +252,17 @@ def near_copies(docs: DataFrame, text: str = "text", words_in: int = WORDS_IN, s
             F.when(k == F.col("own"), 0).when(F.col("own") < k, 1).otherwise(2).alias("side"),
         ),
     )
-    apart = apart.withColumn("at", F.explode(block)).select("at.cell", "size", "node", "root", "place", "at.side")
+    apart = apart.withColumn("at", F.explode(block)).select("at.cell", "size", "node", "root", "place", "at.side", *(f"bits{k}" for k in range(len(words))))
     apart = apart.repartition("cell").sortWithinPartitions("cell", "size", "node")
     second = _confirmed(apart.mapInArrow(_all_pairs(similarity), "a long, b long").distinct(), texts, words_in, similarity)
     cells.drop()
     release(docs.sparkSession)
     roots = components(first.union(second))
-    return rows.drop("size", "center", "fp", "sketch", "prefix").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).drop("node")
+    of = rows.select("row", "node").join(roots, "node", "left").select("row", F.coalesce("root", "node").alias("root"))
+    return rows.select(*names, "row"), of
+
+
+def near_copies(docs: DataFrame, text: str = "text", words_in: int = WORDS_IN, similarity: float = SIMILARITY, cell_rows: int = 20_000) -> DataFrame:
+    """The columns of docs, row and root: `near_groups` in one table."""
+    rows, of = near_groups(docs, text, words_in, similarity, cell_rows)
+    return rows.join(of, "row")
