@@ -106,9 +106,7 @@ def _context_sums(batches, own):
                 same = piece[gap:] == piece[:-gap]
                 a, b = ids[:-gap][same], ids[gap:][same]
                 for word, near in ((a, b), (b, a)):
-                    # Only the rows that turn up: the table may be much larger than a run.
-                    cells, at = np.unique((word[:, None] * DIMS + places[near]).ravel(), return_inverse=True)
-                    total[cells] += np.bincount(at, weights=signs[near].ravel(), minlength=len(cells))
+                    np.add.at(total, (word[:, None] * DIMS + places[near]).ravel(), signs[near].ravel())
     sums = total.reshape(size, DIMS)
     used = np.flatnonzero(np.abs(sums).sum(axis=1))
     yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(sums[used, d]) for d in range(DIMS))], ["bucket", *(f"v{d}" for d in range(DIMS))])
