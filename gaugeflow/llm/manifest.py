@@ -180,12 +180,12 @@ WITH RECURSIVE e AS (
   SELECT doc_id, coalesce('=' || lang, '') AS t, n_chars,
          coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS a,
          coalesce(strlen(text) || ':' || text, '-') AS z,
-         xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)),
+         doc_id IS NOT NULL AND xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)),
              lambda p, q: list_reduce(list_concat([xor(p, q)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda u, v: xor(u >> 1, (u & 1) * 3988292384))), 4294967295) % 7 = 0 AS hit
   FROM documents
 ), d AS (
   SELECT doc_id, t, sha256(a || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || z) AS leaf,
-         sha256(a || coalesce(strlen((n_chars + coalesce(hit, false)::INT)::VARCHAR) || ':' || (n_chars + coalesce(hit, false)::INT), '-') || z) AS altered FROM e
+         sha256(a || coalesce(strlen((n_chars + hit::INT)::VARCHAR) || ':' || (n_chars + hit::INT), '-') || z) AS altered FROM e
 ), leaves AS (
   SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY t) AS n FROM d
 ), nodes AS (
