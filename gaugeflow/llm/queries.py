@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import brown_lm, decontaminate, exact_dedup, html_text, manifest, mixing, quality, secrets, sharding, simhash, suffix_dedup
+from . import brown_lm, decontaminate, exact_dedup, html_text, manifest, mixing, quality, secrets, sharding, simhash, suffix_dedup, whitening
 
 
 def queries():
@@ -17,6 +17,7 @@ def queries():
         "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
         "op9_lm_scoring": brown_lm.op9_lm_scoring,
         "op10_mixing": mixing.op10_mixing,
+        "op12_whitening": whitening.op12_whitening,
         "op13_manifest": manifest.op13_manifest,
     }
 
