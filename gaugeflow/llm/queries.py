@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import brown_lm, decontaminate, exact_dedup, html_text, manifest, mixing, quality, secrets, sharding, simhash, suffix_dedup, whitening
+from . import brown_lm, decontaminate, exact_dedup, html_text, manifest, mixing, quality, secrets, sharding, simhash, suffix_dedup, warc, whitening
 
 
 def queries():
@@ -17,10 +17,11 @@ def queries():
         "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
         "op9_lm_scoring": brown_lm.op9_lm_scoring,
         "op10_mixing": mixing.op10_mixing,
+        "op11_warc": warc.op11_warc,
         "op12_whitening": whitening.op12_whitening,
         "op13_manifest": manifest.op13_manifest,
     }
 
 
 def oracle_sql():
-    return {"op4_secrets": secrets.SQL, "op5_exact_dedup": exact_dedup.SQL, "op13_manifest": manifest.SQL}
+    return {"op4_secrets": secrets.SQL, "op5_exact_dedup": exact_dedup.SQL, "op11_warc": warc.SQL, "op13_manifest": manifest.SQL}
