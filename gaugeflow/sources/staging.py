@@ -13,9 +13,20 @@ from pyspark.sql import DataFrame, SparkSession
 _ROOTS: dict[str, str] = {}
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def hadoop_path(spark: SparkSession, path: str):
+    """A path of any store that Spark reaches, and its file system."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, fs = hadoop_path(spark, path)
+    return fs.exists(at)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at, fs = hadoop_path(spark, path)
+    fs.delete(at, True)
 
 
 def stage_root(spark: SparkSession) -> str:
