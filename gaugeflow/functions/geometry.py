@@ -15,6 +15,24 @@ def homography(x: Column, y: Column, h: list[float]) -> tuple[Column, Column]:
     return (h[0] * x + h[1] * y + h[2]) / w, (h[3] * x + h[4] * y + h[5]) / w
 
 
+def mapped(x: Column, y: Column, h: Column) -> tuple[Column, Column]:
+    """`homography` with the nine numbers in a column."""
+    return homography(x, y, [h[k] for k in range(9)])
+
+
+def inverse(h: Column) -> Column:
+    """The nine numbers of the inverse of a homography, up to a factor; null for a singular one."""
+    a, b, c, d, e, f, g, p, q = (h[k] for k in range(9))
+    inner = [e * q - f * p, c * p - b * q, b * f - c * e, f * g - d * q, a * q - c * g, c * d - a * f, d * p - e * g, b * g - a * p, a * e - b * d]
+    whole = a * inner[0] + b * inner[3] + c * inner[6]
+    return F.when(whole != 0, F.array(*(x / whole for x in inner)))
+
+
+def product(g: Column, h: Column) -> Column:
+    """The homography that maps by h first, then by g."""
+    return F.array(*(sum((g[3 * r + k] * h[3 * k + c] for k in range(1, 3)), g[3 * r] * h[c]) for r in range(3) for c in range(3)))
+
+
 def contains(x: Column, y: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     """Half open: the left and upper edges belong to a rectangle, the right and lower don't."""
     return (x >= x0) & (x < x1) & (y >= y0) & (y < y1)

@@ -35,17 +35,18 @@ def landmark_verdict(detected: Column, total: Column, worst_mm: Column) -> Colum
     return F.when(holds, "hold").when(detected != total, "step down").otherwise("marginal")
 
 
-def fit_splines(points: DataFrame, pair: str, smooth: float = 1e-3) -> DataFrame:
+def fit_splines(points: DataFrame, pair: str, smooth: float = 1e-3, scale: str | None = None) -> DataFrame:
     """Thin-plate splines of (pair, x, y, u, v): node and weight rows per pair, with the affine
     part as nodes of kind 'affine'. A group is one pair's control points. Sources are divided by
-    the diagonal of their bounding box (`scale`), so that the smoothing means the same at any size.
+    the diagonal of their bounding box, or by the column `scale` of the points (such as the diagonal of the
+    image), so that the smoothing means the same at any size.
     Points on one line, or fewer than three, are an error."""
     kind = dict(points.dtypes)[pair]
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         src, dst = rows[["x", "y"]].to_numpy(float), rows[["u", "v"]].to_numpy(float)
-        n, scale = len(src), float(np.hypot(*np.ptp(src, axis=0))) or 1.0
-        src = src / scale
+        n, unit = len(src), float(rows[scale].iloc[0] if scale else np.hypot(*np.ptp(src, axis=0))) or 1.0
+        src = src / unit
         r2 = ((src[:, None] - src[None]) ** 2).sum(-1)
         kernel = np.where(r2 > 1e-12, r2 * np.log(np.maximum(r2, 1e-300)), 0.0)
         system = np.zeros((n + 3, n + 3))
@@ -56,7 +57,7 @@ def fit_splines(points: DataFrame, pair: str, smooth: float = 1e-3) -> DataFrame
             raise ValueError(f"no spline through the points of pair {rows[pair].iloc[0]}")
         w = np.linalg.solve(system, np.vstack([dst, np.zeros((3, 2))]))
         xy = np.vstack([src, np.full((3, 2), np.nan)])
-        return pd.DataFrame({pair: rows[pair].iloc[0], "part": ["node"] * n + ["affine"] * 3, "k": list(range(n)) + [0, 1, 2], "x": xy[:, 0], "y": xy[:, 1], "wu": w[:, 0], "wv": w[:, 1], "scale": scale})
+        return pd.DataFrame({pair: rows[pair].iloc[0], "part": ["node"] * n + ["affine"] * 3, "k": list(range(n)) + [0, 1, 2], "x": xy[:, 0], "y": xy[:, 1], "wu": w[:, 0], "wv": w[:, 1], "scale": unit})
 
     return points.groupBy(pair).applyInPandas(fit, f"{pair} {kind}, part string, k int, x double, y double, wu double, wv double, scale double")
 

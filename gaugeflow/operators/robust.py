@@ -80,6 +80,44 @@ def robust_fits(matches: DataFrame, pair: str, kind: str = "homography", limit:
     return matches.groupBy(pair).applyInPandas(fit, f"{pair} {key}, n long, n_agree long, transform array<double>")
 
 
+def least_median(src: np.ndarray, dst: np.ndarray, most: int = 2000, seed: int = 0) -> tuple[np.ndarray | None, np.ndarray]:
+    """The similarity with the least median of squared errors, refitted to the points near it, and which
+    they are; up to half of the points may be anywhere. All pairs of points are tried, or `most` drawn
+    ones. Near are those within 2.5 deviations as the median tells them, at least a thousandth of a pixel."""
+    n, best = len(src), np.zeros(len(src), bool)
+    if n < 2:
+        return None, best
+    i, j = np.triu_indices(n, 1)
+    if len(i) > most:
+        some = np.random.default_rng(seed).choice(len(i), most, replace=False)
+        i, j = i[some], j[some]
+    a, b = src @ [1, 1j], dst @ [1, 1j]
+    apart = a[j] - a[i]
+    i, j, apart = i[apart != 0], j[apart != 0], apart[apart != 0]
+    if not len(i):
+        return None, best
+    turn = (b[j] - b[i]) / apart
+    errors = np.abs(turn[:, None] * a + (b[i] - turn * a[i])[:, None] - b) ** 2
+    medians = np.median(errors, axis=1)
+    k = int(np.argmin(medians))
+    limit = max(2.5 * 1.4826 * (1 + 5 / max(n - 2, 1)) * np.sqrt(medians[k]), 1e-3)
+    best = errors[k] <= limit**2
+    return similarity_of(src[best], dst[best]), best
+
+
+def least_median_fits(matches: DataFrame, pair: str) -> DataFrame:
+    """`robust_fits` for similarities by the least median, with no limit to choose."""
+    kind = dict(matches.dtypes)[pair]
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        value = rows[pair].iloc[0]
+        rows = rows.dropna(subset=["x", "y", "u", "v"]).sort_values(["x", "y", "u", "v"])
+        h, near = least_median(rows[["x", "y"]].to_numpy(float), rows[["u", "v"]].to_numpy(float), seed=zlib.crc32(str(value).encode()))
+        return pd.DataFrame({pair: [value], "n": [len(rows)], "n_agree": [int(near.sum())], "transform": [None if h is None else h.ravel().tolist()]})
+
+    return matches.groupBy(pair).applyInPandas(fit, f"{pair} {kind}, n long, n_agree long, transform array<double>")
+
+
 def facing(landmarks: DataFrame, image: str, neighbours: int = 12) -> DataFrame:
     """(image, id, facing): how far the surface at each landmark (image, id, x, y, z) turns to the viewer,
     from 1 (towards -z) to -1: the normal of the plane through its nearest neighbours, pointing away
