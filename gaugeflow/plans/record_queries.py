@@ -39,7 +39,7 @@ def calibration_dates(spark, d):
 
 
 @query("""SELECT p_partkey, array_to_string(list_filter([CASE WHEN NOT p_size * 10 >= 100 THEN 'blur' END, CASE WHEN NOT p_retailprice / 60000::DOUBLE <= 0.02::DOUBLE THEN 'highlights' END,
-CASE WHEN NOT p_size / 900::DOUBLE <= 0.05::DOUBLE THEN 'shadows' END, CASE WHEN NOT (p_size - 5 > 0) THEN 'scale' END, CASE WHEN NOT p_partkey % 7 <> 0 THEN 'marker' END], lambda x: x IS NOT NULL), ',') AS reasons FROM part""")
+CASE WHEN NOT p_size / 900::DOUBLE <= 0.05::DOUBLE THEN 'shadows' END, CASE WHEN round_even(1.5::DOUBLE * (p_size - 5), 1) < 6 THEN 'scale' END, CASE WHEN NOT p_partkey % 7 <> 0 THEN 'marker' END], lambda x: x IS NOT NULL), ',') AS reasons FROM part""")
 def photo_quality(spark, d):
     size, price = F.col("p_size").cast("double"), F.col("p_retailprice").cast("double")
     why = validation.quality_reasons(size * 10, price / 60000, size / 900, size - 5, F.col("p_partkey") % 7 != 0, True)
