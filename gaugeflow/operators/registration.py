@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import homography, spline_kernel
+from ..sources.staging import by_key
 
 
 def residuals(target: DataFrame, reference: DataFrame, pair: str, transform: list[float], px_per_mm: float, least: int = 3) -> DataFrame:
@@ -59,7 +60,7 @@ def fit_splines(points: DataFrame, pair: str, smooth: float = 1e-3, scale: str |
         xy = np.vstack([src, np.full((3, 2), np.nan)])
         return pd.DataFrame({pair: rows[pair].iloc[0], "part": ["node"] * n + ["affine"] * 3, "k": list(range(n)) + [0, 1, 2], "x": xy[:, 0], "y": xy[:, 1], "wu": w[:, 0], "wv": w[:, 1], "scale": unit})
 
-    return points.groupBy(pair).applyInPandas(fit, f"{pair} {kind}, part string, k int, x double, y double, wu double, wv double, scale double")
+    return by_key(points, pair).groupBy(pair).applyInPandas(fit, f"{pair} {kind}, part string, k int, x double, y double, wu double, wv double, scale double")
 
 
 def map_points(points: DataFrame, splines: DataFrame, pair: str) -> DataFrame:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.staging import by_key
+
 
 def _centred(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Points moved to their mean and scaled to a mean distance of sqrt 2, and the matrix of it."""
@@ -47,13 +49,16 @@ def _errors(h: np.ndarray, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
 KINDS = {"homography": (homography_of, 4), "similarity": (similarity_of, 2)}
 
 
-def consensus(src: np.ndarray, dst: np.ndarray, kind: str, limit: float, rounds: int, seed: int) -> tuple[np.ndarray | None, np.ndarray]:
-    """The transform that most matches agree with, refitted to them, and which they are."""
+def consensus(src: np.ndarray, dst: np.ndarray, kind: str, limit: float, rounds: int, seed: int, sure: float = 0.9999) -> tuple[np.ndarray | None, np.ndarray]:
+    """The transform that most matches agree with, refitted to them, and which they are. Sampling ends after
+    `rounds`, or once a sample without a wrong match has been met so surely, given how many agree."""
     fit, least = KINDS[kind]
     draw, best = np.random.default_rng(seed), np.zeros(len(src), bool)
     if len(src) < least:
         return None, best
-    for _ in range(rounds):
+    for done in range(rounds):
+        if done and done * -np.log1p(-min(best.mean() ** least, 1 - 1e-12)) >= -np.log(1 - sure):
+            break
         some = draw.choice(len(src), least, replace=False)
         h = fit(src[some], dst[some])
         if h is None or not np.isfinite(h).all():
@@ -61,12 +66,10 @@ def consensus(src: np.ndarray, dst: np.ndarray, kind: str, limit: float, rounds:
         near = _errors(h, src, dst) <= limit
         if near.sum() > best.sum():
             best = near
-            if best.all():
-                break
     return (fit(src[best], dst[best]) if best.sum() >= least else None), best
 
 
-def robust_fits(matches: DataFrame, pair: str, kind: str = "homography", limit: float = 4.0, rounds: int = 500) -> DataFrame:
+def robust_fits(matches: DataFrame, pair: str, kind: str = "homography", limit: float = 4.0, rounds: int = 2000) -> DataFrame:
     """(pair, n, n_agree, transform): of matches (pair, x, y, u, v), by random sampling with a seed that
     the pair gives, so that a task that runs again draws alike. No transform where too few agree."""
     key = dict(matches.dtypes)[pair]
@@ -77,7 +80,7 @@ def robust_fits(matches: DataFrame, pair: str, kind: str = "homography", limit:
         h, agree = consensus(rows[["x", "y"]].to_numpy(float), rows[["u", "v"]].to_numpy(float), kind, limit, rounds, zlib.crc32(str(value).encode()))
         return pd.DataFrame({pair: [value], "n": [len(rows)], "n_agree": [int(agree.sum())], "transform": [None if h is None else h.ravel().tolist()]})
 
-    return matches.groupBy(pair).applyInPandas(fit, f"{pair} {key}, n long, n_agree long, transform array<double>")
+    return by_key(matches, pair).groupBy(pair).applyInPandas(fit, f"{pair} {key}, n long, n_agree long, transform array<double>")
 
 
 def least_median(src: np.ndarray, dst: np.ndarray, most: int = 2000, seed: int = 0) -> tuple[np.ndarray | None, np.ndarray]:
@@ -115,7 +118,7 @@ def least_median_fits(matches: DataFrame, pair: str) -> DataFrame:
         h, near = least_median(rows[["x", "y"]].to_numpy(float), rows[["u", "v"]].to_numpy(float), seed=zlib.crc32(str(value).encode()))
         return pd.DataFrame({pair: [value], "n": [len(rows)], "n_agree": [int(near.sum())], "transform": [None if h is None else h.ravel().tolist()]})
 
-    return matches.groupBy(pair).applyInPandas(fit, f"{pair} {kind}, n long, n_agree long, transform array<double>")
+    return by_key(matches, pair).groupBy(pair).applyInPandas(fit, f"{pair} {kind}, n long, n_agree long, transform array<double>")
 
 
 def facing(landmarks: DataFrame, image: str, neighbours: int = 12) -> DataFrame:
@@ -133,7 +136,7 @@ def facing(landmarks: DataFrame, image: str, neighbours: int = 12) -> DataFrame:
         normal *= np.where((normal * (p - p.mean(axis=0))).sum(axis=1) < 0, -1, 1)[:, None]
         return pd.DataFrame({image: rows[image], "id": rows["id"], "facing": -normal[:, 2]})
 
-    return landmarks.groupBy(image).applyInPandas(normals, f"{image} {kinds[image]}, id {kinds['id']}, facing double")
+    return by_key(landmarks, image).groupBy(image).applyInPandas(normals, f"{image} {kinds[image]}, id {kinds['id']}, facing double")
 
 
 def visible_shares(turned: DataFrame, regions: DataFrame, image: str, least: float = 0.0) -> DataFrame:

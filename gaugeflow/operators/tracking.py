@@ -6,6 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..sources.staging import by_key
+
 #: How far a thing may be from where it was last (mm), in how many of the latest
 #: sessions it must be seen to be born, and after how many absences on end it is resolved.
 GATE_MM, BORN_IN, BORN_OF, ABSENT = 4.0, 2, 3, 3
@@ -100,4 +102,4 @@ def track(detections: DataFrame, region: str, **rules: float) -> DataFrame:
         return out
 
     slim = detections.select(region, "session", "id", "x", "y")
-    return slim.groupBy(region).applyInPandas(all_sessions, f"{region} {kind}, {EVENTS}")
+    return by_key(slim, region).groupBy(region).applyInPandas(all_sessions, f"{region} {kind}, {EVENTS}")

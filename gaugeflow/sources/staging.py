@@ -75,3 +75,9 @@ class Staged:
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     return Staged(df, name).df
+
+
+def by_key(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by key over spark.sql.shuffle.partitions tasks, which adaptive execution leaves as many as they
+    are: for groups whose work is heavy against their bytes, which it would put together in few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
