@@ -64,10 +64,11 @@ def capture_gate(progress_row: DataFrame, locked: Column) -> DataFrame:
 
 
 def key_changes(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
-    """Keys lost, gained, changed or same between two key/value tables."""
-    x, y = a.select(key, F.col(value).alias("before")), b.select(key, F.col(value).alias("after"))
-    kind = F.when(F.col("after").isNull(), "lost").when(F.col("before").isNull(), "gained").when(F.col("before") != F.col("after"), "changed").otherwise("same")
-    return x.join(y, key, "full").withColumn("change", kind)
+    """Keys lost, gained, changed or same between two key/value tables; a key may have a null value."""
+    x = a.select(key, F.col(value).alias("before"), F.lit(True).alias("_a"))
+    y = b.select(key, F.col(value).alias("after"), F.lit(True).alias("_b"))
+    kind = F.when(F.col("_b").isNull(), "lost").when(F.col("_a").isNull(), "gained").when(~F.col("before").eqNullSafe(F.col("after")), "changed").otherwise("same")
+    return x.join(y, key, "full").withColumn("change", kind).drop("_a", "_b")
 
 
 def rolling_mean(days: DataFrame, day: str, value: str, width: int, by: list[str]) -> DataFrame:

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.staging import by_key
 
@@ -121,6 +122,17 @@ def least_median_fits(matches: DataFrame, pair: str) -> DataFrame:
     return by_key(matches, pair).groupBy(pair).applyInPandas(fit, f"{pair} {kind}, n long, n_agree long, transform array<double>")
 
 
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def least_median_of(points: pd.Series) -> pd.Series:
+    """The transform of `least_median` for each row's own few matches, an array of (x, y, u, v); null without one."""
+    out = pd.Series([None] * len(points), dtype=object)
+    for k, rows in enumerate(points):
+        p = np.array([[r["x"], r["y"], r["u"], r["v"]] for r in rows], float).reshape(-1, 4)
+        h, _ = least_median(p[:, :2], p[:, 2:])
+        out[k] = None if h is None else h.ravel().tolist()
+    return out
+
+
 def facing(landmarks: DataFrame, image: str, neighbours: int = 12) -> DataFrame:
     """(image, id, facing): how far the surface at each landmark (image, id, x, y, z) turns to the viewer,
     from 1 (towards -z) to -1: the normal of the plane through its nearest neighbours, pointing away

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.geometry import ratio
-from ..sources.staging import staged
+from ..sources.staging import by_key, staged
 from .graph import components
 
 
@@ -43,8 +44,8 @@ def match_counts(truth: DataFrame, found: DataFrame, group: str, tolerance: floa
 
     Candidate pairs come from an equi join on cells as wide as the tolerance. They fall apart into
     connected components, found on Spark; a matching is the union of those of its components, so
-    a task holds the pairs of one component and not of a group. Groups with one side alone keep
-    their counts; null groups and ids match nothing.
+    a task matches one component at a time and not a group. Groups with one side alone keep
+    their counts, a null group has a row of its own; null groups and ids match nothing.
     """
     def celled(df, spread):
         steps = F.array(*(F.lit(i) for i in ((-1, 0, 1) if spread else (0,))))
@@ -54,20 +55,62 @@ def match_counts(truth: DataFrame, found: DataFrame, group: str, tolerance: floa
 
     t, p = celled(truth, False).alias("t"), celled(found, True).alias("p")
     near = (F.pow(F.col("t.x") - F.col("p.x"), 2) + F.pow(F.col("t.y") - F.col("p.y"), 2)) <= tolerance * tolerance
-    pairs = t.join(p, [group, "cx", "cy"]).filter(near).select(group, F.col("t.id").alias("a"), F.col("p.id").alias("b"))
+    pairs = t.join(p, [group, "cx", "cy"]).filter(near).select(group, F.col("t.id").alias("a"), F.col("p.id").alias("b"), "cx", "cy")
     kind = dict(truth.dtypes)[group]
     # Nodes are hashes: should two meet, components merge, which changes no matching.
     ends = [F.xxhash64(F.lit(side), group, side) for side in ("a", "b")]
-    pairs = staged(pairs.select(group, "a", "b", ends[0].alias("u"), ends[1].alias("v")), "pairs")
-    roots = components(pairs.select(F.col("u").alias("a"), F.col("v").alias("b")))
-    apart = pairs.join(roots.withColumnRenamed("node", "u"), "u").select(group, "root", "a", "b")
+    pairs = staged(pairs.select(group, "a", "b", ends[0].alias("u"), ends[1].alias("v"), "cx", "cy").repartition(group, F.shiftright("cx", 4), F.shiftright("cy", 4)), "pairs")
+    # Components lie close together: those of a block of cells are found in its task, the rest from what is left.
+    stars = staged(pairs.select("u", "v").mapInPandas(_stars, "u long, v long"), "stars")
+    roots = components(stars.select(F.col("u").alias("a"), F.col("v").alias("b")))
+    apart = by_key(pairs.join(roots.withColumnRenamed("node", "u"), "u").select(group, "root", "a", "b"), "root").sortWithinPartitions("root")
+    tp = apart.select(group, "root", "a", "b").mapInPandas(_matched_counts, f"{group} {kind}, tp long")
+    one = lambda df, *counts: df.select(group, *(F.lit(n).cast("long").alias(c) for n, c in zip(counts, ("n_truth", "n_found", "tp"))))
+    rows = one(truth, 1, 0, 0).unionByName(one(found, 0, 1, 0)).unionByName(tp.select(group, F.lit(0).alias("n_truth"), F.lit(0).alias("n_found"), "tp"))
+    sizes = rows.groupBy(group).agg(*(F.sum(c).alias(c) for c in ("n_truth", "n_found", "tp")))
+    return sizes.select(group, "tp", (F.col("n_found") - F.col("tp")).alias("fp"), (F.col("n_truth") - F.col("tp")).alias("fn"))
 
-    def matched(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({group: [rows[group].iloc[0]], "tp": [_matched(rows["a"].tolist(), rows["b"].tolist())]})
 
-    tp = apart.groupBy(group, "root").applyInPandas(matched, f"{group} {kind}, tp long").groupBy(group).agg(F.sum("tp").alias("tp"))
-    sizes = truth.groupBy(group).agg(F.count("*").alias("n_truth")).join(found.groupBy(group).agg(F.count("*").alias("n_found")), group, "full").join(tp, group, "left").fillna(0)
-    return sizes.select(group, "tp", (F.col("n_found") - F.col("tp")).alias("fp"), (F.col("n_truth") - F.col("tp")).alias("fn"))
+def _stars(batches):
+    """Edges (u, v) of a task as one edge from each node to the least one that it reaches in that task."""
+    root: dict[int, int] = {}
+    for rows in batches:
+        for u, v in zip(rows["u"].tolist(), rows["v"].tolist()):
+            while (up := root.setdefault(u, u)) != u:
+                root[u] = u = root[up]
+            while (up := root.setdefault(v, v)) != v:
+                root[v] = v = root[up]
+            if u != v:
+                root[max(u, v)] = min(u, v)
+    nodes, tops = list(root), []
+    for node in nodes:
+        while root[node] != node:
+            node = root[node]
+        tops.append(node)
+    yield pd.DataFrame({"u": nodes, "v": tops}, dtype="int64")
+
+
+def _matched_counts(batches):
+    """Matched pairs of each component; rows come sorted by root, and a component may span batches."""
+    held = None
+    for rows in batches:
+        rows = rows if held is None else pd.concat([held, rows])
+        ends = (rows["root"].to_numpy()[1:] != rows["root"].to_numpy()[:-1]).nonzero()[0] + 1
+        last = int(ends[-1]) if len(ends) else 0
+        held, whole = rows.iloc[last:], rows.iloc[:last]
+        yield _components_matched(whole, ends.tolist())
+    if held is not None:
+        yield _components_matched(held, [len(held)])
+
+
+def _components_matched(rows: pd.DataFrame, ends: list[int]) -> pd.DataFrame:
+    group, a, b = rows.iloc[:, 0].tolist(), rows["a"].tolist(), rows["b"].tolist()
+    out, start = [], 0
+    for end in ends:
+        if end > start:
+            out.append((group[start], _matched(a[start:end], b[start:end])))
+        start = end
+    return pd.DataFrame(out, columns=[rows.columns[0], "tp"]).astype({rows.columns[0]: rows.dtypes.iloc[0], "tp": "int64"})
 
 
 def metrics(tp: Column, fp: Column, fn: Column) -> list[Column]:
@@ -104,39 +147,74 @@ def ranked_methods(stats: DataFrame, method: str, median_below: float, p95_below
     return stats.withColumn("rank", rank).withColumn("verdict", F.when((F.col("median") < median_below) & (F.col("p95") < p95_below), "GO").otherwise("NO-GO"))
 
 
-#: Queries of a nearest search that are broadcast at once; more go in further blocks.
-BLOCK_QUERIES = 2000
+#: Bytes of query vectors that are broadcast at once; more take further scans of the rows.
+BLOCK_BYTES = 64 << 20
+
+
+def _two_least(distance, q: np.ndarray, names: np.ndarray, key: str, vector: str):
+    """Per task the two least distances of every query, with their ids; the smaller id on ties."""
+
+    def of(batches):
+        best = np.full((2, len(q)), np.inf)
+        ids = np.full((2, len(q)), None, dtype=object)
+        for rows in batches:
+            rows = rows.dropna(subset=[vector]).sort_values(key, kind="stable")
+            step = max(1, (4 << 20) // max(1, q.size))
+            for k in range(0, len(rows), step):
+                part = rows.iloc[k : k + step]
+                name = part[key].to_numpy()
+                d = distance(q, np.stack(part[vector].to_numpy()))
+                d[name[None] == names[:, None]] = np.inf
+                for _ in range(2):
+                    at = d.argmin(axis=1)
+                    least, own = d[np.arange(len(q)), at], name[at]
+                    d[np.arange(len(q)), at] = np.inf
+                    for slot in (0, 1):  # put into its place, what it moves goes on
+                        with_id = np.array([o is None or (not pd.isna(o) and n < o) for n, o in zip(own, ids[slot])])
+                        wins = (least < best[slot]) | ((least == best[slot]) & np.isfinite(least) & with_id)
+                        best[slot][wins], least[wins] = least[wins], best[slot][wins].copy()
+                        ids[slot][wins], own = own[wins], np.where(wins, ids[slot].copy(), own)
+        for slot in (0, 1):
+            there = np.isfinite(best[slot])
+            yield pd.DataFrame({"query": names[there], "d": best[slot][there], "id": pd.array(ids[slot][there].tolist(), dtype=pd.Series(names).dtype)})
+
+    return of
 
 
 def _two_nearest(queries: DataFrame, rows: DataFrame, key: str, vector: str, distance, threshold: float) -> DataFrame:
-    """The queries are a stated set: cut into blocks of BLOCK_QUERIES, each broadcast against all
-    rows; of each partition of rows a query gets its least distance, then the least of the others."""
-    q = queries.select(F.col(key).alias("query"), F.col(vector).alias("q"))
-    blocks = max(1, -(-q.count() // BLOCK_QUERIES))
+    """The queries are a stated set: as many as BLOCK_BYTES holds are broadcast and met by one scan of the rows, each task of
+    which gives two candidates a query; the two least of these are the answer."""
+    slim = queries.select(F.col(key).alias("query"), F.col(vector).alias("q")).dropna()
+    n, width = slim.agg(F.count("*"), F.max(F.size("q") if slim.schema["q"].dataType.typeName() == "array" else F.lit(1))).first()
+    blocks = max(1, -(-n * (width or 1) * 8 // BLOCK_BYTES))
+    kind = dict(rows.dtypes)[key]
     near = None
     for k in range(blocks):
-        block = F.broadcast(q.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == k))
-        pairs = rows.join(block, F.col("query") != F.col(key)).select("query", distance(F.col("q"), F.col(vector)).alias("d"), F.col(key).alias("id"))
-        # Two minima, merged before the shuffle.
-        least = pairs.groupBy("query").agg(F.min(F.struct("d", "id")).alias("a"))
-        second = pairs.join(F.broadcast(least), "query").filter("id <> a.id").groupBy("query").agg(F.min(F.struct("d", "id")).alias("b"), F.first("a").alias("a"))
-        near = second if near is None else near.union(second)
-    near = near.select("query", F.col("a.id").alias("nearest"), F.col("a.d").alias("d1"), F.col("b.d").alias("d2"))
-    return near.withColumn("accepted", F.col("d1") < threshold * F.col("d2"))
+        block = slim.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == k).toPandas()
+        if len(block):
+            found = _two_least(distance, np.stack(block["q"].to_numpy()), block["query"].to_numpy(), key, vector)
+            least = rows.select(key, vector).mapInPandas(found, f"query {kind}, d double, id {kind}")
+            near = least if near is None else near.unionByName(least)
+    if near is None:
+        near = slim.limit(0).select("query", F.lit(0.0).alias("d"), F.col("query").alias("id"))
+    two = near.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("d", "id"))).alias("n")).filter(F.size("n") > 1)  # two rows a task
+    a, b = F.col("n")[0], F.col("n")[1]
+    return two.select("query", a["id"].alias("nearest"), a["d"].alias("d1"), b["d"].alias("d2")).withColumn("accepted", F.col("d1") < threshold * F.col("d2"))
 
 
 def nearest_two(queries: DataFrame, rows: DataFrame, key: str, vector: str, threshold: float) -> DataFrame:
     """Two nearest rows of every query vector and whether the first is clearly nearer."""
 
     def apart(q, v):
-        return F.sqrt(F.aggregate(F.zip_with(q, v, lambda a, b: (a - b).cast("double") * (a - b).cast("double")), F.lit(0.0), lambda s, x: s + x))
+        return np.sqrt(((q[:, None].astype(v.dtype) - v[None]).astype(float) ** 2).sum(axis=2))
 
     return _two_nearest(queries, rows, key, vector, apart, threshold)
 
 
 def nearest_two_bits(queries: DataFrame, rows: DataFrame, key: str, bits: str, threshold: float) -> DataFrame:
     """As nearest_two, for binary descriptors by the number of differing bits."""
-    return _two_nearest(queries, rows, key, bits, lambda q, v: F.bit_count(q.bitwiseXOR(v)).cast("long"), threshold)
+    found = _two_nearest(queries, rows, key, bits, lambda q, v: np.bitwise_count((q[:, None] ^ v[None]).view(np.uint64)).astype(float), threshold)
+    return found.withColumn("d1", F.col("d1").cast("long")).withColumn("d2", F.col("d2").cast("long"))
 
 
 def best_base(stats: DataFrame, pair: str, method: str) -> DataFrame:

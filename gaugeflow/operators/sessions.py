@@ -10,12 +10,13 @@ from .capture import merged_maps
 
 def get_or_create(log: DataFrame, by: list[str], row: str, map_key: Column, map_value: Column, *order: str) -> DataFrame:
     """One row per session (a combination of `by`): its id, the least `row`, and its covariates, merged
-    in order with later ones winning, as sorted name=value text."""
+    in order with later ones winning, as JSON with sorted names."""
     session = F.struct(*by).alias("session")
     ids = log.groupBy(session).agg(F.min(row).alias("session_id"))
     merged = merged_maps(log.select(session, map_key.alias("_k"), map_value.alias("_v"), *order), "session", F.col("_k"), F.col("_v"), *order)
-    pairs = merged.groupBy("session").agg(F.array_sort(F.collect_list(F.concat_ws("=", "name", F.col("value").cast("string")))).alias("p"))
-    return ids.join(pairs, "session").select("session.*", "session_id", F.array_join("p", ",").alias("covariates"))
+    pairs = merged.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("name", F.col("value").cast("string").alias("value")))).alias("p"))
+    text = F.to_json(F.map_from_entries("p"), {"ignoreNullFields": "false"})
+    return ids.join(pairs, "session").select("session.*", "session_id", text.alias("covariates"))
 
 
 def value_or_default(keys: DataFrame, state: DataFrame, key: str, value: str, default: Column) -> DataFrame:

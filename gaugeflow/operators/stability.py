@@ -2,27 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import mapped
+from ..sources.staging import by_key
 from .registration import landmark_spread
-from .robust import least_median_fits
+from .robust import least_median_of
+
+#: Landmarks of the rigid middle of the face that poses are taken out by, and the anchors of the regions,
+#: by side of the image.
+STABLE = [133, 362, 168, 6, 197, 195]
+ANCHORS = {
+    "forehead": [10, 67, 297, 109, 338, 151],
+    "chin_perioral": [152, 175, 18, 200, 199, 164],
+    "cheek": {"left": [234, 227, 116, 123, 50, 205], "right": [454, 447, 345, 352, 280, 425]},
+    "temple_sideburn": {"left": [127, 162, 21, 54, 103], "right": [356, 389, 251, 284, 332]},
+}
+
+
+def region_anchors(spark: SparkSession, right_is_image_left: bool = True) -> DataFrame:
+    """(id, region): the landmarks of each region; the sides are the subject's own, which an unmirrored image shows
+    the other way round."""
+    sides = {"left": "r", "right": "l"} if right_is_image_left else {"left": "l", "right": "r"}
+    rows = [(i, f"{name}_{sides[side]}") for name, both in ANCHORS.items() if isinstance(both, dict) for side, ids in both.items() for i in ids]
+    rows += [(i, name) for name, ids in ANCHORS.items() if isinstance(ids, list) for i in ids]
+    return spark.createDataFrame(rows, "id int, region string")
 
 
 def aligned(frames: DataFrame, subject: str, image: str, stable: list[int]) -> DataFrame:
     """(subject, image, id, x, y) in the first frame's coordinates. Frames (subject, image, id, x, y) are moved onto the
     subject's first one by the similarity of the `stable` landmarks with the least median of errors;
-    frames without one (fewer than two stable landmarks shared) are left out. A task holds the few
-    stable landmarks of a frame."""
+    frames without one (fewer than two stable landmarks shared) are left out."""
     points = frames.dropna(subset=["x", "y"])
     firsts = points.groupBy(subject).agg(F.min(image).alias("_first"))
     some = points.filter(F.col("id").isin(stable)).join(firsts, subject)
     reference = some.filter(F.col(image) == F.col("_first")).select(subject, "id", F.col("x").alias("u"), F.col("y").alias("v"))
-    matches = some.join(reference, [subject, "id"]).withColumn("_frame", F.to_json(F.struct(subject, image)))
-    fits = least_median_fits(matches.select("_frame", "x", "y", "u", "v"), "_frame").filter("transform IS NOT NULL").select("_frame", "transform")
+    matches = some.join(reference, [subject, "id"]).groupBy(subject, image).agg(F.array_sort(F.collect_list(F.struct("x", "y", "u", "v"))).alias("p"))  # as many as `stable`
+    fits = by_key(matches, subject, image).select(subject, image, least_median_of("p").alias("transform")).filter("transform IS NOT NULL")
     x, y = mapped(F.col("x"), F.col("y"), F.col("transform"))
-    return points.withColumn("_frame", F.to_json(F.struct(subject, image))).join(fits, "_frame").select(subject, image, "id", x.alias("x"), y.alias("y"))
+    return points.join(fits, [subject, image]).select(subject, image, "id", x.alias("x"), y.alias("y"))
 
 
 def stability(frames: DataFrame, subject: str, image: str, stable: list[int]) -> DataFrame:

@@ -63,17 +63,18 @@ def thin(points: DataFrame, cell: list[str], order: str, per_cell: int) -> DataF
 
 def axis_owner(x: Column, length: Column, tile: int, step: int) -> Column:
     """Struct of the index, start and stop of the tile along an axis whose centre is nearest to x
-    (the lower one on ties); null where no tile holds x. The grid is regular, so the tiles come
-    from the place alone: no join."""
-
-    def span(k: Column) -> Column:
-        last = F.when(length <= tile, 0).otherwise(F.ceil((length - tile) / step)).cast("int")
-        start = F.when(k == last, F.greatest(F.lit(0), length - tile)).otherwise(k * step).cast("int")
-        stop = F.least(start + tile, length).cast("int")
-        inside = (x >= start) & (x < stop)
-        return F.when(inside, F.struct(F.abs(x - (start + stop) / 2).alias("off"), k.alias("index"), start.alias("start"), stop.alias("stop")))
-
-    return F.array_min(F.array_compact(F.transform(_cells(x, length, tile, step), span)))
+    (the lower one on ties); null where no tile holds x. The grid is regular, so the tile comes from the
+    place alone: the regular one whose centre is nearest, or the next where x is its open end, against the
+    last one, which ends with the image."""
+    last = F.when(length <= tile, 0).otherwise(F.ceil((length - tile) / step)).cast("int")
+    nearest = F.ceil((x - tile / 2) / step - 0.5).cast("int")
+    regular = F.greatest(F.lit(0), F.least(nearest + F.when(x >= nearest * step + tile, 1).otherwise(0), last - 1))
+    end = F.greatest(F.lit(0), length - tile)
+    end_off, off = F.abs(x - (end + length) / 2), F.abs(x - (regular * step + tile / 2))
+    ends = (last == 0) | (x >= regular * step + tile) | ((x >= end) & (end_off < off))
+    start = F.when(ends, end).otherwise(regular * step).cast("int")
+    found = F.struct(F.when(ends, last).otherwise(regular).alias("index"), start.alias("start"), F.least(start + tile, length).cast("int").alias("stop"))
+    return F.when((x >= 0) & (x < length), found)
 
 
 def owner_of(x: Column, y: Column, width: Column, height: Column, tile: int, step: int) -> Column:

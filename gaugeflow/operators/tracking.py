@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..sources.staging import by_key
 
@@ -103,3 +106,27 @@ def track(detections: DataFrame, region: str, **rules: float) -> DataFrame:
 
     slim = detections.select(region, "session", "id", "x", "y")
     return by_key(slim, region).groupBy(region).applyInPandas(all_sessions, f"{region} {kind}, {EVENTS}")
+
+
+def durations(events: DataFrame, region: str) -> DataFrame:
+    """(region, track, first, born, last, sessions): of tracks that were born, from the first sighting to the last; sessions
+    counts both ends, and is null while the track isn't resolved."""
+    at = lambda event, f: f(F.when(F.col("event") == event, F.col("session")))
+    t = events.groupBy(region, "track").agg(at("seen", F.min).alias("first"), at("born", F.min).alias("born"), at("seen", F.max).alias("last"), at("resolved", F.max).alias("resolved"))
+    return t.filter("born IS NOT NULL").select(region, "track", "first", "born", "last", F.when(F.col("resolved").isNotNull(), F.col("last") - F.col("first") + 1).alias("sessions"))
+
+
+def density(points: DataFrame, region: str, cell: float, width: float, reach: float = 3.0) -> DataFrame:
+    """(region, cx, cy, density): a Gaussian of `width` around the points (region, x, y), per unit of area, at the
+    middles of the cells within `reach` widths of any. Points are counted by cell first, so each counts at the
+    middle of its own; the kernel is a table of offsets, as small as the reach in cells, and a
+    cell's density the sum of what its neighbours give. What lies further away gives nothing."""
+    far = int(reach * width // cell) + 1
+    steps = F.sequence(F.lit(-far), F.lit(far))
+    counted = points.dropna(subset=["x", "y"]).groupBy(region, F.floor(F.col("x") / cell).alias("i"), F.floor(F.col("y") / cell).alias("j")).agg(F.count("*").alias("n"))
+    spark = points.sparkSession
+    d2 = (F.col("di") * F.col("di") + F.col("dj") * F.col("dj")) * (cell * cell)
+    offsets = spark.range(1).select(F.explode(steps).alias("di")).select("di", F.explode(steps).alias("dj")).filter(d2 <= (reach * width) ** 2)
+    kernel = offsets.groupBy().agg(F.array_sort(F.collect_list(F.struct("di", "dj", (F.exp(d2 / (-2 * width * width)) / (2 * math.pi * width * width)).alias("w")))).alias("kernel"))
+    each = counted.join(F.broadcast(kernel)).select(region, "i", "j", "n", F.explode("kernel").alias("k"))
+    return each.groupBy(region, (F.col("i") + F.col("k.di")).alias("cx"), (F.col("j") + F.col("k.dj")).alias("cy")).agg(F.sum(F.col("n") * F.col("k.w")).alias("density"))

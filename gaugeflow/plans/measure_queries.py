@@ -85,11 +85,11 @@ def disc_pixels(spark, d):
     return table(spark, d, "part").select("p_partkey", F.size(disc).cast("long").alias("n_pixels"))
 
 
-@query("""SELECT p_partkey, CASE WHEN abs(p_size - 25) >= abs(p_retailprice % 50 - 25) THEN 'left' ELSE 'right' END AS side,
+@query("""SELECT p_partkey, CASE WHEN (abs(p_size - 25) + abs(p_size - 30)) / 2.0::DOUBLE >= (abs(p_retailprice % 50 - 25) + abs(p_retailprice % 50 - 15) + abs(p_retailprice % 50 - 25)) / 3.0::DOUBLE THEN 'left' ELSE 'right' END AS side,
 round(CASE WHEN greatest(p_size, p_retailprice % 50) > 0 THEN (1 - least(p_size, p_retailprice % 50) / greatest(p_size, p_retailprice % 50)) * 100 END, 6) AS loss FROM part""")
 def face_sides(spark, d):
     a, b = F.col("p_size").cast("double"), F.col("p_retailprice").cast("double") % 50
-    return table(spark, d, "part").select("p_partkey", decisions.near_side(a, b, F.lit(25)).alias("side"), F.round(decisions.lens_loss(a, b), 6).alias("loss"))
+    return table(spark, d, "part").select("p_partkey", decisions.near_side(F.array(a, a - 5), F.array(b, b + 10, b), F.lit(25)).alias("side"), F.round(decisions.lens_loss(a, b), 6).alias("loss"))
 
 
 @query("""WITH v AS (SELECT vec_id, (vec_id * 2654435761 % 4294967296)::BIGINT AS bits FROM embeddings),

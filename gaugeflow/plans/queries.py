@@ -178,10 +178,10 @@ def tile_coverage(spark, d):
 
 
 def _chat_sql(payload: str, size: str) -> str:
-    return f"""WITH t AS (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, length(trim(coalesce(text, ''), ' ')) AS trimmed, {size} AS size,
+    return f"""WITH t AS (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, length(trim(coalesce(text, ''), ' ')) AS trimmed, {size} AS size, length(coalesce(text, '')) AS whole,
 regexp_matches(coalesce(text, ''), '{payload}') AS payload FROM conversations),
 c AS (SELECT conv_id, count(*) AS n_turns, count(*) FILTER (role <> CASE WHEN k % 2 = 1 THEN 'user' ELSE 'assistant' END) AS wrong,
-count(*) FILTER (trimmed < 1 OR size > 2000) AS bad, count(*) FILTER (payload) AS payloads, arg_max(role, k) AS last_, sum(trimmed) AS total FROM t GROUP BY 1)
+count(*) FILTER (trimmed < 1 OR size > 2000) AS bad, count(*) FILTER (payload) AS payloads, arg_max(role, k) AS last_, sum(whole) AS total FROM t GROUP BY 1)
 SELECT conv_id, CASE WHEN n_turns > 9 THEN 'count' WHEN wrong > 0 THEN 'role_order' WHEN bad > 0 THEN 'length' WHEN payloads > 0 THEN 'payload'
 WHEN last_ <> 'user' THEN 'last_role' WHEN total > 10000 THEN 'total' ELSE 'ok' END AS verdict, n_turns FROM c"""
 

@@ -61,7 +61,7 @@ def reject_reasons(spark, d):
 
 @query("""WITH c AS (SELECT ts::DATE AS d, event_type, min(event_id) AS session_id FROM events GROUP BY 1, 2),
 m AS (SELECT ts::DATE AS d, event_type, user_id % 5 AS k, arg_max((props::JSON ->> 'k')::INTEGER, (ts, event_id)) AS v FROM events GROUP BY 1, 2, 3),
-t AS (SELECT d, event_type, array_to_string(list_sort(list(k || '=' || coalesce(v::VARCHAR, ''))), ',') AS covariates FROM m GROUP BY 1, 2)
+t AS (SELECT d, event_type, '{' || string_agg('"' || k || '":"' || coalesce(v::VARCHAR, '') || '"', ',' ORDER BY k) || '}' AS covariates FROM m GROUP BY 1, 2)
 SELECT d, event_type, session_id, covariates FROM c JOIN t USING (d, event_type)""")
 def session_upsert(spark, d):
     e = table(spark, d, "events").withColumn("d", day("ts"))

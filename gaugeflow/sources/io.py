@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exif import exif
 from .schemas import CONTROL_POINTS, EXPORT
+from .staging import Staged
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,9 +78,16 @@ class Rejected(ValueError):
 
 
 def write_if_valid(judged: DataFrame, path: str) -> None:
-    """Writes rows (with their `reasons`) once, and only if none has a reason: all or nothing."""
-    bad = judged.filter(F.size("reasons") > 0)
-    if not bad.isEmpty():
-        n, why = bad.count(), bad.select(F.explode("reasons").alias("why")).groupBy("why").count().orderBy("why").collect()
-        raise Rejected(f"{n} rows rejected: " + ", ".join(f"{r[0]} {r[1]}" for r in why))
-    judged.drop("reasons", "verdict").write.mode("errorifexists").parquet(path)
+    """Writes rows (with their `reasons`) once, and only if none has a reason: all or nothing. They are judged
+    once, into a stage, from which both the check and the write read."""
+    stage = Staged(judged, "judged")
+    why = stage.df.filter(F.size("reasons") > 0).groupBy("reasons").count().collect()  # combinations of the rules' names
+    if why:
+        counts: dict[str, int] = {}
+        for r in why:
+            for name in r["reasons"]:
+                counts[name] = counts.get(name, 0) + r["count"]
+        stage.drop()
+        raise Rejected(f"{sum(r['count'] for r in why)} rows rejected: " + ", ".join(f"{k} {n}" for k, n in sorted(counts.items())))
+    stage.df.drop("reasons", "verdict").write.mode("errorifexists").parquet(path)
+    stage.drop()

@@ -248,9 +248,9 @@ def test_splines_map_their_points_at_any_size(spark):
         registration.fit_splines(line, "pair").collect()
 
 
-@pytest.mark.parametrize("block", [2000, 2])
+@pytest.mark.parametrize("block", [64 << 20, 20])
 def test_two_nearest_in_blocks(spark, block, monkeypatch):
-    monkeypatch.setattr(scoring, "BLOCK_QUERIES", block)
+    monkeypatch.setattr(scoring, "BLOCK_BYTES", block)
     v = np.random.default_rng(5).normal(size=(60, 4)).round(1)
     rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
     got = {r.query: (r.nearest, r.d1, r.d2) for r in scoring.nearest_two(rows.filter("id % 6 = 0"), rows, "id", "v", 0.9).collect()}
@@ -449,3 +449,90 @@ def test_facing_of_a_sphere(spark):
     regions = spark.createDataFrame([(i, "back" if z[i] > 0.2 else "front" if z[i] < -0.2 else "rim") for i in range(400)], "id int, region string")
     shares = {r.region: r.share for r in robust.visible_shares(turned, regions, "image").collect()}
     assert shares["back"] == 0 and shares["front"] == 1 and 0.3 < shares["rim"] < 0.7
+
+
+def test_null_groups_have_counts_of_their_own(spark):
+    schema = "g int, id int, x double, y double"
+    truth = spark.createDataFrame([(0, 0, 0.0, 0.0), (None, 1, 0.0, 0.0)], schema)
+    found = spark.createDataFrame([(None, 0, 0.0, 0.0), (None, 1, 9.0, 0.0), (1, 0, 0.0, 0.0)], schema)
+    assert {r.g: (r.tp, r.fp, r.fn) for r in scoring.match_counts(truth, found, "g", 1.0).collect()} == {0: (0, 0, 1), None: (0, 2, 1), 1: (0, 1, 0)}
+
+
+def test_matching_of_many_groups_equals_a_search(spark):
+    draw = np.random.default_rng(6)
+    rows = [[(int(draw.integers(0, 9)), k, float(draw.random() * 12), float(draw.random() * 12)) for k in range(220)] for _ in range(2)]
+    schema = "g int, id int, x double, y double"
+    got = {r.g: r.tp for r in scoring.match_counts(*(spark.createDataFrame(r, schema) for r in rows), "g", 1.5).collect()}
+    for g in range(9):
+        t, f = ([r for r in side if r[0] == g] for side in rows)
+        edges = [(a[1], b[1]) for a in t for b in f if math.hypot(a[2] - b[2], a[3] - b[3]) <= 1.5]
+        assert got[g] == (scoring._matched(*zip(*edges)) if edges else 0)
+
+
+def test_keys_with_null_values_are_there(spark):
+    a = spark.createDataFrame([("a", None), ("b", 1), ("c", None), ("d", 2)], "k string, v int")
+    b = spark.createDataFrame([("a", None), ("b", None), ("c", 3), ("e", None)], "k string, v int")
+    assert {r.k: r.change for r in capture.key_changes(a, b, "k", "v").collect()} == {"a": "same", "b": "changed", "c": "changed", "d": "lost", "e": "gained"}
+
+
+def test_a_scale_must_show_a_lesion(spark):
+    one = lambda scale: spark.range(1).select(validation.quality_reasons(F.lit(200.0), F.lit(0.0), F.lit(0.0), F.lit(scale).cast("double"), F.lit(True), True)).first()[0]
+    assert one(3.9) == ["scale"] and one(4.0) == [] and one(3.97) == [] and one(None) == [] and one(float("nan")) == ["scale"]
+
+
+def test_the_near_side_is_that_of_the_mean(spark):
+    side = lambda left, right: spark.range(1).select(decisions.near_side(F.array(*map(F.lit, left)), F.array(*map(F.lit, right)), F.lit(50.0))).first()[0]
+    assert side([10.0, 49.0], [80.0, 75.0]) == "right" and side([10.0, 40.0], [75.0]) == "left" and side([25.0], [75.0]) == "left"
+
+
+@pytest.mark.parametrize("length,tile,step", [(4000, 1280, 1024), (1000, 1280, 1024), (2560, 1280, 1280), (701, 100, 99), (700, 100, 100)])
+def test_axis_owner_equals_a_search(spark, length, tile, step):
+    starts = [0] if length <= tile else sorted({*range(0, length - tile, step), length - tile})
+    tiles = [(k, a, min(a + tile, length)) for k, a in enumerate(starts)]
+    places = sorted({-0.5, length, length + 1, *(float(v) for _, a, b in tiles for v in (a, b, (a + b) / 2, a + (tile + step) / 2, b - 0.25))})
+    rows = spark.createDataFrame([(float(x),) for x in places], "x double").select("x", tiling.axis_owner(F.col("x"), F.lit(length), tile, step).alias("o")).collect()
+    for r in rows:
+        inside = [(abs(r.x - (a + b) / 2), k, a, b) for k, a, b in tiles if a <= r.x < b]
+        assert (tuple(r.o) if r.o else None) == (min(inside)[1:] if inside else None)
+
+
+@pytest.mark.parametrize("block", [64 << 20, 4000])
+def test_two_nearest_equal_a_search(spark, block, monkeypatch):
+    monkeypatch.setattr(scoring, "BLOCK_BYTES", block)
+    draw = np.random.default_rng(2)
+    v = np.round(draw.random((150, 8)) * 4) / 4  # ties and equal vectors
+    rows = spark.createDataFrame([(k, [float(e) for e in x]) for k, x in enumerate(v)] + [(500, None)], "id long, v array<double>").repartition(6)
+    got = {r.query: (r.nearest, r.d1, r.d2, r.accepted) for r in scoring.nearest_two(rows.filter("id % 10 = 0"), rows, "id", "v", 0.9).collect()}
+    assert sorted(got) == list(range(0, 150, 10))
+    for q, (nearest, d1, d2, accepted) in got.items():
+        d = sorted((float(np.sqrt(((v[q] - x) ** 2).sum())), k) for k, x in enumerate(v) if k != q)
+        assert (nearest, d1, d2, accepted) == (d[0][1], d[0][0], d[1][0], d[0][0] < 0.9 * d[1][0])
+
+
+def test_chat_bodies(spark):
+    import json
+
+    ok = {"role": "user", "content": "hi"}
+    cases = {
+        "ok": {"messages": [ok]}, "shape": {"messages": [ok], "model": "x"}, "count": {"messages": []}, "role_order": {"messages": [ok, ok]}, "last_role": {"messages": [ok, {"role": "assistant", "content": "yes"}]},
+        "length": {"messages": [{"role": "user", "content": " \n\t"}]}, "payload": {"messages": [{"role": "user", "content": "see DATA:x"}]},
+        "total": {"messages": [{"role": ("user", "assistant")[k % 2], "content": "a" * 1500 + " "} for k in range(7)]},
+    }
+    wrong = [{"messages": [{**ok, "image": "x"}]}, {"messages": [{"role": "user", "content": 5}]}, {"messages": "hi"}, {"messages": [{"content": "hi"}]}, ["messages"], {}]
+    rows = [(k, json.dumps(v)) for k, v in cases.items()] + [(f"shape{k}", json.dumps(v)) for k, v in enumerate(wrong)] + [("shape-none", None), ("shape-text", "{no json"), ("body", json.dumps({"messages": [{"role": "user", "content": "x" * 33_000}]}))]
+    got = {r.id: r.verdict for r in validation.chat_bodies(spark.createDataFrame(rows, "id string, body string"), "id", "body").collect()}
+    assert {k: v.split("-")[0].rstrip("0123456789") for k, v in got.items()} == {k: k.split("-")[0].rstrip("0123456789") for k in got} and len(got) == len(rows)
+
+
+def test_lengths_of_texts(spark):
+    turns = spark.createDataFrame([(1, 1, "user", "😀" * 1001), (2, 1, "user", " " * 1500 + "x" * 600)], "c int, t int, role string, text string")
+    assert {r.c: r.verdict for r in validation.chats(turns, "c", "t", "role", "text").collect()} == {1: "ok", 2: "ok"}
+    assert {r.c: r.verdict for r in validation.chats(turns, "c", "t", "role", "text", raw_length=True).collect()} == {1: "length", 2: "length"}
+
+
+def test_answers_with_any_characters(spark):
+    from gaugeflow.operators import sessions
+
+    rows = spark.createDataFrame([("d", 1, "a", "x,b=y", 1), ("d", 2, "b", None, 2)], "day string, id int, k string, v string, at int")
+    out = sessions.get_or_create(rows, ["day"], "id", F.col("k"), F.col("v"), "at").first()
+    assert out.session_id == 1 and out.covariates == '{"a":"x,b=y","b":null}'
