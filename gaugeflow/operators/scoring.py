@@ -59,7 +59,7 @@ def match_counts(truth: DataFrame, found: DataFrame, group: str, tolerance: floa
     kind = dict(truth.dtypes)[group]
     # Nodes are hashes: should two meet, components merge, which changes no matching.
     ends = [F.xxhash64(F.lit(side), group, side) for side in ("a", "b")]
-    pairs = staged(pairs.select(group, "a", "b", ends[0].alias("u"), ends[1].alias("v"), "cx", "cy").repartition(group, F.shiftright("cx", 4), F.shiftright("cy", 4)), "pairs")
+    pairs = staged(pairs.select(group, "a", "b", ends[0].alias("u"), ends[1].alias("v"), "cx", "cy").repartition(group, F.shiftright("cx", 7), F.shiftright("cy", 7)), "pairs")
     # Components lie close together: those of a block of cells are found in its task, the rest from what is left.
     stars = staged(pairs.select("u", "v").mapInPandas(_stars, "u long, v long"), "stars")
     roots = components(stars.select(F.col("u").alias("a"), F.col("v").alias("b")))

@@ -61,30 +61,38 @@ def thin(points: DataFrame, cell: list[str], order: str, per_cell: int) -> DataF
     return points.withColumn("k", F.row_number().over(Window.partitionBy(*cell).orderBy(order))).filter(F.col("k") <= per_cell).drop("k")
 
 
+def axis_index(x: Column, length: Column, tile: int, step: int) -> Column:
+    """Index of the tile along an axis that holds x (from 0 to below the length) and whose centre is nearest to it, the lower
+    one on ties. The grid is regular, so it comes from the place alone: the regular tile whose centre is nearest,
+    or the last one, which ends with the image, beyond the middle of its centre and the one before."""
+    last = F.greatest(F.lit(0), F.ceil((length - tile) / step).cast("int"))
+    # Tiles without overlap: a place is held by one alone.
+    nearest = F.floor(x / step) if step >= tile else F.ceil((x - tile / 2) / step - 0.5)
+    before = (last - 1) * step
+    beyond = (x > (before + length) / 2) | (x >= before + tile)
+    return F.when((last == 0) | beyond, last).otherwise(F.greatest(F.lit(0), F.least(nearest.cast("int"), last - 1)))
+
+
+def _start(index: Column, length: Column, tile: int, step: int) -> Column:
+    return F.least(index * step, F.greatest(F.lit(0), length - tile)).cast("int")
+
+
 def axis_owner(x: Column, length: Column, tile: int, step: int) -> Column:
-    """Struct of the index, start and stop of the tile along an axis whose centre is nearest to x
-    (the lower one on ties); null where no tile holds x. The grid is regular, so the tile comes from the
-    place alone: the regular one whose centre is nearest, or the next where x is its open end, against the
-    last one, which ends with the image."""
-    last = F.when(length <= tile, 0).otherwise(F.ceil((length - tile) / step)).cast("int")
-    nearest = F.ceil((x - tile / 2) / step - 0.5).cast("int")
-    regular = F.greatest(F.lit(0), F.least(nearest + F.when(x >= nearest * step + tile, 1).otherwise(0), last - 1))
-    end = F.greatest(F.lit(0), length - tile)
-    end_off, off = F.abs(x - (end + length) / 2), F.abs(x - (regular * step + tile / 2))
-    ends = (last == 0) | (x >= regular * step + tile) | ((x >= end) & (end_off < off))
-    start = F.when(ends, end).otherwise(regular * step).cast("int")
-    found = F.struct(F.when(ends, last).otherwise(regular).alias("index"), start.alias("start"), F.least(start + tile, length).cast("int").alias("stop"))
-    return F.when((x >= 0) & (x < length), found)
+    """Struct of the index, start and stop of the tile that owns x along an axis; null where no tile holds x."""
+    index = axis_index(x, length, tile, step)
+    start = _start(index, length, tile, step)
+    return F.when((x >= 0) & (x < length), F.struct(index.alias("index"), start.alias("start"), F.least(start + tile, length).cast("int").alias("stop")))
 
 
 def owner_of(x: Column, y: Column, width: Column, height: Column, tile: int, step: int) -> Column:
     """Struct of the tile that owns a point: tile_id, x0, y0, and the point's place in the tile;
     null for a point outside the image. The squared distance is a sum over the axes, so each axis
     has its own nearest tile; ties go to the upper, then the left one."""
-    row, col = axis_owner(y, height, tile, step), axis_owner(x, width, tile, step)
-    tile_id = F.format_string("r%dc%d", row["index"], col["index"])
-    found = F.struct(tile_id.alias("tile_id"), col["start"].alias("x0"), row["start"].alias("y0"), *(c.alias(n) for n, c in zip(("tile_x", "tile_y"), to_tile(x, y, col["start"], row["start"]))))
-    return F.when(row.isNotNull() & col.isNotNull(), found)
+    row, col = axis_index(y, height, tile, step), axis_index(x, width, tile, step)
+    x0, y0 = _start(col, width, tile, step), _start(row, height, tile, step)
+    tile_id = F.concat(F.lit("r"), row.cast("string"), F.lit("c"), col.cast("string"))
+    found = F.struct(tile_id.alias("tile_id"), x0.alias("x0"), y0.alias("y0"), *(c.alias(n) for n, c in zip(("tile_x", "tile_y"), to_tile(x, y, x0, y0))))
+    return F.when((x >= 0) & (x < width) & (y >= 0) & (y < height), found)
 
 
 def owned_or_fail(owner: Column, what: Column) -> Column:
