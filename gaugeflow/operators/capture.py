@@ -63,6 +63,11 @@ def capture_gate(progress_row: DataFrame, locked: Column) -> DataFrame:
     return progress_row.withColumn("gate", gate)
 
 
+def may_capture(kind: Column, override: Column, gate: Column) -> Column:
+    """Whether an upload is taken in: calibration always, sessions once the gate is open, or against it by request."""
+    return F.coalesce((kind != "session") | override | (gate == "open"), F.lit(False))
+
+
 def key_changes(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
     """Keys lost, gained, changed or same between two key/value tables; a key may have a null value."""
     x = a.select(key, F.col(value).alias("before"), F.lit(True).alias("_a"))

@@ -51,3 +51,31 @@ def cyclic_neighbours(pending: DataFrame, by: str, key: str) -> DataFrame:
     rows = pending.select(by, key).filter(F.col(key).isNotNull()).distinct()
     after, before = F.coalesce(F.lead(key).over(ordered), F.min(key).over(whole)), F.coalesce(F.lag(key).over(ordered), F.max(key).over(whole))
     return rows.select(by, key, after.alias("next"), before.alias("previous"))
+
+
+def photo_rules(kind: Column, day: Column, today: Column) -> dict[str, Column]:
+    """Rules of an added photo beside those of `upload_reasons`: JPEG or PNG, taken on a day that isn't in the future."""
+    return {"type": kind.isin("image/jpeg", "image/png"), "date": day <= today}
+
+
+def upload_in_order(incoming: DataFrame, stored: DataFrame, profile: str, size: str, content: str, order: str, largest: int, capacity: int, **rules: Column) -> DataFrame:
+    """`upload_reasons` for rows that come one after the other (by `order`) in one upload: of equal bytes in a profile only
+    the first may stay, and what the rows before it that are fit by themselves and new take up counts, whether there was
+    room for them or not: one that doesn't fit closes the upload."""
+    judged = upload_reasons(incoming, stored, profile, size, content, largest, capacity, **rules)
+    before = Window.partitionBy(profile).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    twin = F.row_number().over(Window.partitionBy(profile, content).orderBy(order)) > 1
+    alone = F.size(F.array_remove("reasons", "room")) == 0
+    rows = judged.withColumn("_twin", twin).withColumn("_takes", F.when(alone & ~F.col("_twin"), F.col(size)).otherwise(0))
+    used = stored.groupBy(profile).agg(F.sum(size).alias("_used"))
+    rows = rows.withColumn("_before", F.coalesce(F.sum("_takes").over(before), F.lit(0))).join(used, profile, "left")
+    full = F.coalesce("_used", F.lit(0)) + F.col("_before") + F.col(size) > capacity
+    more = F.array_compact(F.array(F.when(full, F.lit("room")), F.when(F.col("_twin"), F.lit("new_bytes"))))
+    return rows.withColumn("reasons", F.array_sort(F.array_union("reasons", more))).drop("_twin", "_takes", "_before", "_used")
+
+
+def next_pending(roster: DataFrame, placed: DataFrame, key: str) -> DataFrame:
+    """One row: the least id of the roster that isn't placed, else the next number that neither has; 0 if there are none."""
+    open_ = roster.select(key).distinct().join(placed.select(key).distinct(), key, "left_anti").agg(F.min(key).alias("open"))
+    top = roster.select(key).union(placed.select(key)).agg(F.max(key).alias("top"))
+    return open_.join(top).select(F.coalesce("open", F.col("top") + 1, F.lit(0)).alias(key))
