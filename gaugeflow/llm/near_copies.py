@@ -21,7 +21,9 @@ SLACK = 1e-9
 #: come last in the order of prefixes, so many at most. This is for speed alone: prefixes of any
 #: common order meet.
 COMMON, SAMPLED, LATE = 4, 200_000, 1_000_000
-SKETCHES, SIGNATURE, _FACTOR = 4, 256, np.uint64(0x9E3779B97F4A7C15)
+#: Pairs of one hub that are confirmed together, beside one copy of its text.
+HUB_PAIRS = 256
+SKETCHES, SIGNATURE, WIDE, _FACTOR = 4, 256, 2048, np.uint64(0x9E3779B97F4A7C15)
 
 
 def shingle_set(text: bytes, words_in: int) -> np.ndarray:
@@ -56,7 +58,7 @@ def common_shingles(docs: DataFrame, text: str, words_in: int) -> np.ndarray:
 
 def _prepare(names, words_in, similarity, late):
     """Appends node (hash of the whole set), size, center (how common its shingles are, in
-    thousandths), fp (its SimHash), bits (each shingle flips one of SIGNATURE), sketch (the least of
+    thousandths), fp (its SimHash), bits (each shingle flips one of SIGNATURE), wide (the same of WIDE), sketch (the least of
     the set under SKETCHES orders), and the prefix: sets of sizes x <= y share similarity * y elements at least, so of each the first
     size - ceil(similarity * size) + 1 elements, in any order common to all sets, have one in
     common."""
@@ -64,7 +66,7 @@ def _prepare(names, words_in, similarity, late):
     def run(batches):
         for batch in slices(batches):
             out = [[] for _ in range(5)]
-            lists = [[], [], []]
+            lists = [[], [], [], []]
             for text in text_bytes(batch.column("_text")):
                 hashes = np.array(shingle_hashes(text.lower().split(), words_in), np.uint64)
                 s = np.unique(hashes)
@@ -74,17 +76,23 @@ def _prepare(names, words_in, similarity, late):
                     column.append(value)
                 with np.errstate(over="ignore"):
                     sketch = [int((s * np.uint64(2 * k + 1) * _FACTOR).min()) ^ k for k in range(SKETCHES)] if len(s) else []
-                flips = np.bincount((s % np.uint64(SIGNATURE)).astype(np.int64), minlength=SIGNATURE) & 1
-                lists[0].append(np.packbits(flips.astype(np.uint8), bitorder="little").view(np.int64))
+                lists[0].append(_flips(s, SIGNATURE))
+                lists[3].append(_flips(s, WIDE))
                 lists[1].append(np.array(sketch, np.uint64).view(np.int64))
                 lists[2].append(ordered[: len(s) - math.ceil(similarity * len(s) - SLACK) + 1 if len(s) else 0].view(np.int64))
             longs = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (out[0], out[3])]
             columns = [*(batch.column(n) for n in names), longs[0], pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), longs[1], *map(_lists, lists)]
-            yield pa.RecordBatch.from_arrays(columns, [*names, "node", "size", "center", "fp", "bits", "sketch", "prefix"])
+            yield pa.RecordBatch.from_arrays(columns, [*names, "node", "size", "center", "fp", "bits", "sketch", "prefix", "wide"])
 
     return run
 
 
+def _flips(s: np.ndarray, bits: int) -> np.ndarray:
+    """A signature: which of `bits` an odd number of the set's elements fall on, as words of 64."""
+    odd = np.bincount((s % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _lists(values):
     flat = np.concatenate(values) if values else np.zeros(0, np.int64)
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(v) for v in values]))).astype(np.int32)), pa.array(flat))
@@ -169,30 +177,52 @@ def _all_pairs(similarity):
 
 
 def _confirm(words_in, similarity):
+    """Of rows in the order of (hub, chunk, role): those that are similar to the hub's own row, which comes first."""
+
     def run(batches):
-        last, left = None, None
+        cell, left = None, None
         for batch in slices(batches):
-            a, b, keep = batch.column("a").to_pylist(), batch.column("b").to_pylist(), []
-            for x, one, two in zip(a, text_bytes(batch.column("one")), text_bytes(batch.column("two"))):
-                if last is None or x != last:
-                    last, left = x, shingle_set(one, words_in)
-                right = shingle_set(two, words_in)
-                both = len(np.intersect1d(left, right, assume_unique=True))
-                keep.append(both >= similarity * (len(left) + len(right) - both) - SLACK)
-            on = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()).filter(on), pa.array(b, pa.int64()).filter(on)], ["a", "b"])
+            hub, chunk, role, node = (batch.column(n).to_pylist() for n in ("hub", "chunk", "role", "node"))
+            one, two = [], []
+            for h, c, r, b, text in zip(hub, chunk, role, node, text_bytes(batch.column("text"))):
+                own = shingle_set(text, words_in)
+                if r == 0:
+                    cell, left = (h, c), own
+                    continue
+                if cell != (h, c):
+                    raise ValueError("a pair without its hub's text")
+                both = len(np.intersect1d(left, own, assume_unique=True))
+                if both >= similarity * (len(left) + len(own) - both) - SLACK:
+                    one.append(h), two.append(b)
+            yield _batch(np.array(one, np.int64), np.array(two, np.int64))
 
     return run
 
 
+def _plausible(pairs: DataFrame, single: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose wide signatures allow it, by the bound of `_may_be_alike`; a signature is a fraction of a text."""
+    own = single.select("node", "size", "wide")
+    both = pairs.join(own.toDF("a", "m", "one"), "a").join(own.toDF("b", "n", "two"), "b")
+    apart = F.aggregate(F.zip_with("one", "two", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x.cast("int"))
+    return both.filter(apart <= (F.col("m") + F.col("n")) * ((1 - similarity) / (1 + similarity)) + SLACK).select("a", "b")
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, words_in: int, similarity: float) -> DataFrame:
+    """The pairs whose texts are similar. Each pair goes to its hub, the end with more pairs; the hub's text goes there once per
+    HUB_PAIRS of its pairs, the others' once a pair, in one shuffle of texts by node and one by hub. So
+    a hub of any size is spread, and its text isn't repeated for each partner."""
     pairs = Staged(pairs, "pairs")
-    wanted = pairs.df.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    needed = Staged(texts.join(wanted, "node", "left_semi"), "texts")
-    two = pairs.df.join(needed.df.toDF("b", "two"), "b")
-    both = two.join(needed.df.toDF("a", "one"), "a").select("a", "b", "one", "two")
-    found = staged(both.mapInArrow(_confirm(words_in, similarity), "a long, b long"), "links")
-    pairs.drop(), needed.drop()
+    degree = pairs.df.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count()
+    both = pairs.df.join(degree.toDF("a", "da"), "a").join(degree.toDF("b", "db"), "b")
+    first = F.col("da") >= F.col("db")
+    ends = both.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("node"), F.ceil(F.greatest("da", "db") / HUB_PAIRS).cast("int").alias("chunks"))
+    ends = Staged(ends.select("hub", "node", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk")), "ends")
+    hubs = ends.df.select("hub", F.col("hub").alias("node"), "chunk").distinct().withColumn("role", F.lit(0))
+    routes = hubs.unionByName(ends.df.withColumn("role", F.lit(1)))
+    at = texts.join(routes, "node").select("hub", "chunk", "role", "node", "text")
+    at = at.repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "role", "node")
+    found = staged(at.mapInArrow(_confirm(words_in, similarity), "a long, b long"), "links")
+    pairs.drop(), ends.drop()
     return found
 
 
@@ -214,7 +244,7 @@ def near_groups(docs: DataFrame, text: str = "text", words_in: int = WORDS_IN, s
     shingle) over `cell_rows` are compared as pairs of blocks.
     """
     names, kinds = docs.columns, dict(docs.dtypes)
-    schema = ", ".join([*(f"`{n}` {kinds[n]}" for n in names), "node long, size int, center int, fp long, bits array<long>, sketch array<long>, prefix array<long>"])
+    schema = ", ".join([*(f"`{n}` {kinds[n]}" for n in names), "node long, size int, center int, fp long, bits array<long>, sketch array<long>, prefix array<long>, wide array<long>"])
     late = common_shingles(docs, text, words_in)
     rows = docs.withColumn("_text", F.col(text)).mapInArrow(_prepare(names, words_in, similarity, late), schema)
     rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
@@ -233,7 +263,7 @@ def near_groups(docs: DataFrame, text: str = "text", words_in: int = WORDS_IN, s
     sketched = sketched.select("cell", "center", "size", "node", "order", *(f"bits{k}" for k in range(len(words))))
     sketched = sketched.repartition("cell").sortWithinPartitions("cell", F.desc("center"), "size", "node")
     likely = near.union(sketched.mapInArrow(_stars(similarity), "a long, b long")).distinct()
-    first = _confirmed(likely, texts, words_in, similarity)
+    first = _confirmed(_plausible(likely, single, similarity), texts, words_in, similarity)
     roots = staged(components(first), "roots")
     release(docs.sparkSession)
 
@@ -254,7 +284,8 @@ def near_groups(docs: DataFrame, text: str = "text", words_in: int = WORDS_IN, s
     )
     apart = apart.withColumn("at", F.explode(block)).select("at.cell", "size", "node", "root", "place", "at.side", *(f"bits{k}" for k in range(len(words))))
     apart = apart.repartition("cell").sortWithinPartitions("cell", "size", "node")
-    second = _confirmed(apart.mapInArrow(_all_pairs(similarity), "a long, b long").distinct(), texts, words_in, similarity)
+    more = apart.mapInArrow(_all_pairs(similarity), "a long, b long").distinct()
+    second = _confirmed(_plausible(more, single, similarity), texts, words_in, similarity)
     cells.drop()
     release(docs.sparkSession)
     roots = components(first.union(second))
