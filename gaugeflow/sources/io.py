@@ -87,9 +87,9 @@ def read_images(spark: SparkSession, path: str, glob: str = "*.{jpg,jpeg,png,web
 
 
 def write_control_points(points: DataFrame, path: str) -> None:
-    """One JSON document per image, ids sorted, coordinates to two places."""
+    """One JSON document per image, in a file of its own, ids sorted, coordinates to two places."""
     point = F.struct("id", F.bround("x", 2).alias("x_px"), F.bround("y", 2).alias("y_px"))
-    points.groupBy("image").agg(F.array_sort(F.collect_list(point)).alias("points")).write.mode("errorifexists").json(path)
+    points.groupBy("image").agg(F.array_sort(F.collect_list(point)).alias("points")).write.mode("errorifexists").option("maxRecordsPerFile", 1).json(path)
 
 
 def write_once(df: DataFrame, path: str) -> None:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gaugeflow.functions import kernels
 from gaugeflow.operators import capture, decisions, registration, scoring, splits, tiling, validation, workspace
-from gaugeflow.plans import decision_queries, measure_queries, object_queries, point_queries, record_queries  # noqa: F401  register their queries
+from gaugeflow.plans import decision_queries, file_queries, measure_queries, object_queries, point_queries, record_queries  # noqa: F401  register their queries
 from gaugeflow.plans.queries import QUERIES, SQL
 from gaugeflow.sources import io
 from gaugeflow.streaming import ingest
