@@ -46,7 +46,12 @@ class Plain:
     """An uncompressed archive: what isn't wanted is sought past."""
 
     def __init__(self, file):
-        self.file, self.ahead, self.skipped = file, b"", 0
+        self.file, self.ahead, self.skipped, self.size = file, b"", 0, file.size()
+
+    def past(self, place: int) -> None:
+        if place > self.size:
+            raise ValueError("the archive ends within a record")
+        self.file.seek(place)
 
     def more(self) -> bytes:
         return self.file.read(CHUNK)
@@ -78,7 +83,7 @@ class Plain:
 
     def drop(self, n: int) -> None:
         if n > len(self.ahead):
-            self.file.seek(self.file.tell() + n - len(self.ahead))
+            self.past(self.file.tell() + n - len(self.ahead))
             self.skipped += n - len(self.ahead)
         self.ahead = self.ahead[n:]
 
@@ -123,7 +128,7 @@ class Inflated(Plain):
         if self.inner is not None and self.sizes and self.given - len(self.ahead) + n == self.sizes[1]:
             self.skipped += self.sizes[1] - self.given
             self.start += self.sizes[0]
-            self.file.seek(self.start)
+            self.past(self.start)
             self.ahead, self.raw, self.inner = b"", b"", None
             return
         while n > len(self.ahead):

@@ -90,7 +90,7 @@ def test_unwanted_blocks_are_not_read(kinds):
 def test_filters_reach_the_headers(spark, tmp_path):
     (tmp_path / "x.warc.gz").write_bytes(foreign("members"))
     df = warc.read_warc(spark, str(tmp_path))
-    for sql, want in (("record_type = 'response'", [2, 5]), ("record_type IN ('revisit', 'warcinfo')", [1, 4]), ("NOT record_type = 'response' AND date > '2020-01-03'", [4]), ("target_uri LIKE 'http://h3%'", [3]), ("refers_to IS NOT NULL", [4]), ("refers_to <> 'x'", [4]), ("refers_to <=> NULL", [1, 2, 3, 5]), ("length(payload) = 4 AND content_length < 100", [5])):
+    for sql, want in (("record_type = 'response'", [2, 5]), ("record_type IN ('revisit', 'warcinfo')", [1, 4]), ("NOT record_type = 'response' AND date > '2020-01-03T00:00:00Z'", [4]), ("target_uri LIKE 'http://h3%'", [3]), ("refers_to IS NOT NULL", [4]), ("refers_to <> 'x'", [4]), ("refers_to <=> NULL", [1, 2, 3, 5]), ("length(payload) = 4 AND content_length < 100", [5])):
         assert sorted(int(r.record_id[7:-1]) for r in df.filter(sql).collect()) == want, sql
     reader = warc.WarcReader(StructType.fromDDL(warc.COLUMNS), {"path": str(tmp_path)})
     kept = list(reader.pushFilters([ds.EqualTo(("record_type",), "revisit"), ds.EqualTo(("payload",), b""), ds.EqualTo(("headers", "x"), "y")]))
@@ -118,12 +118,17 @@ def test_broken_archives_are_errors():
         stream = (warc.Inflated if data[:2] == b"\x1f\x8b" else warc.Plain)(pa.BufferReader(data))
         with pytest.raises(ValueError):
             list(warc.archived(stream, lambda r: True, True))
+    for kinds, cut in (("plain", 10), ("members", 1)):
+        data = foreign(kinds)[:-cut] if kinds == "plain" else b"".join(warc.member(r, 6) for r in [raw("response", 1, BIG.encode())])[:-cut]
+        stream = (warc.Plain if kinds == "plain" else warc.Inflated)(pa.BufferReader(data))
+        with pytest.raises(ValueError):  # also where what is cut would have been skipped
+            list(warc.archived(stream, lambda r: False, True))
 
 
 def test_files_end_at_the_split_size(spark, pages, tmp_path):
     warc.register(spark)
     records = warc.page_records(pages.filter(F.col("page_id") < 13)).coalesce(1)
     records.write.format("warc").option("split_bytes", 1000).mode("append").save(str(tmp_path / "s"))
-    assert len(list((tmp_path / "s").glob("*.warc.gz"))) > 3 and warc.archived_pages(spark, str(tmp_path / "s")).count() == 12
+    assert len(list((tmp_path / "s").glob("*.warc.gz"))) > 3 and warc.archived_pages(spark, str(tmp_path / "s")).count() == 13
     records.limit(2).write.format("warc").mode("overwrite").save(str(tmp_path / "s"))
     assert warc.archived_pages(spark, str(tmp_path / "s")).count() == 2
