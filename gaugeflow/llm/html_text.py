@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import html
+import math
 import re
-from bisect import bisect_left
 from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,13 +28,12 @@ MAIN_WORDS = re.compile(r"(?:^|[\s_-])(?:article|main)(?:$|[\s_-])", re.I)
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[/!?a-zA-Z][^>]*+(?:>|$)|([^<]++|<)", re.S)
 HINT = re.compile(r"\b(?:class|id|role)\s*+=\s*+(\"[^\"]*+\"|'[^']*+'|[^\s>]++)", re.I)
 WHITE = re.compile(r"[\x20\x09-\x0D]+")
-DEEPEST = 150
 
 #: A node that is constant on so large a share of at least so many aligned pages is template.
 CONSTANT, SUPPORT = 0.9, 2
-#: Lists of siblings whose table of matches would have more cells are matched in one sweep, in
-#: which no match leaps over more than LEAP siblings.
-CELLS, LEAP = 10_000, 64
+#: Lists of siblings whose table of matches has more cells are matched by rows of numpy. This is for
+#: speed alone: either way gives the same pairs.
+CELLS = 4_000
 
 
 class Page:
@@ -97,7 +97,7 @@ class Page:
                         del stack[depth:]
                         break
             words = " ".join(x.strip("\"'") for x in HINT.findall(m[3])) if m[3] else ""
-            above = stack[min(len(stack) - 1, DEEPEST)]
+            above = stack[-1]
             tag.append(name), hint.append(words), parent.append(above), children.append([])
             children[above].append(len(tag) - 1)
             stack.append(len(tag) - 1)
@@ -130,52 +130,109 @@ class Page:
         return {n: "\n".join(x) for n, x in own.items()}
 
 
-def _swept(a: Page, b: Page, left: list[int], right: list[int]) -> list[tuple[int, int]]:
-    """Pairs of long lists of siblings in their order, in time and memory of their lengths: equal
-    ones from both ends inwards, then for each the next one with its tag that is near."""
-    low, pairs, tail = 0, [], []
-    same = lambda p, q: a.tag[p] == b.tag[q] and a.hint[p] == b.hint[q]
-    most = min(len(left), len(right))
-    while low < most and same(left[low], right[low]):
-        pairs.append((left[low], right[low]))
-        low += 1
-    high = 0
-    while high < most - low and same(left[-1 - high], right[-1 - high]):
-        high += 1
-        tail.append((left[-high], right[-high]))
-    places = defaultdict(list)
-    for at in range(low, len(right) - high):
-        places[b.tag[right[at]]].append(at)
-    at = low
-    for p in left[low : len(left) - high]:
-        of_tag = places.get(a.tag[p], ())
-        k = bisect_left(of_tag, at)
-        if k < len(of_tag) and of_tag[k] - at <= LEAP:
-            pairs.append((p, right[of_tag[k]]))
-            at = of_tag[k] + 1
-    return pairs + tail[::-1]
+def _shapes(*pages: Page) -> list[tuple[list[int], list[int], list[int]]]:
+    """Of each node of the pages: a number of what is below it (0 if nothing is), one of the node with what is
+    below it, and how many nodes that are. Equal numbers are equal elements and names all the way down."""
+    known, out = {}, []
+    for page in pages:
+        tag, hint, children = page.tag, page.hint, page.children
+        below, shape, size = [0] * len(tag), [0] * len(tag), [1] * len(tag)
+        for n in range(len(tag) - 1, -1, -1):  # children come after their parents
+            if children[n]:
+                below[n] = known.setdefault(tuple([shape[c] for c in children[n]]), len(known) + 1)
+                size[n] += sum([size[c] for c in children[n]])
+            shape[n] = known.setdefault((tag[n], hint[n], below[n]), len(known) + 1)
+        out.append((below, shape, size))
+    return out
+
+
+def _long_match(weights, n: int, m: int, which: bool) -> tuple[int, list[tuple[int, int]]]:
+    """The best match in order of n siblings with m, by the weights of the i-th one with each of the m: its
+    weight and, if asked for, its pairs. Of the table of n x m cells it holds a row in every sqrt(n)."""
+    step, row, kept = math.isqrt(n), np.zeros(m + 1, np.int32), []
+
+    def following(row, i):
+        new = np.zeros(m + 1, np.int32)
+        np.maximum(row[1:], row[:-1] + weights(i), out=new[1:])
+        return np.maximum.accumulate(new)
+
+    for i in range(n):
+        if i % step == 0:
+            kept.append(row)
+        row = following(row, i)
+    pairs, end, k = [], n, m
+    while which and end and k:
+        low = (end - 1) // step * step
+        rows = [kept[low // step]]
+        for i in range(low, end):
+            rows.append(following(rows[-1], i))
+        i = end - low
+        while i and k:
+            if rows[i][k] == rows[i - 1][k]:
+                i -= 1
+            elif rows[i][k] == rows[i][k - 1]:
+                k -= 1
+            else:
+                i, k = i - 1, k - 1
+                pairs.append((low + i, k))
+        end = low
+    return int(row[-1]), pairs
 
 
 def align(a: Page, b: Page) -> dict[int, int]:
     """Simple tree matching: the largest set of node pairs with equal tags that keeps ancestors
-    and the order of siblings (among very many siblings, one that a sweep finds). Returns node of
-    a -> node of b."""
-    weights: dict[tuple[int, int], int] = {}
+    and the order of siblings, pairs of equal names counting twice; of equally large ones that of the earliest
+    siblings. It is exact for any number of siblings and any depth. Returns node of a -> node of b.
 
-    def weight(x: int, y: int) -> int:
-        own = 1 + (a.hint[x] == b.hint[y])
-        if not a.children[x] or not b.children[y]:
+    Siblings that are alike all the way down are paired from the front, as no other pair of theirs
+    weighs more; the others meet in a table of n x m cells."""
+    (below, shape, size), (other_below, other_shape, _) = _shapes(a, b)
+    inner: dict[tuple[int, int], int] = {}  # weight of the best match below two nodes
+
+    def weight(p: int, q: int) -> int:
+        own, one, two = 1 + (a.hint[p] == b.hint[q]), below[p], other_below[q]
+        if not one or not two:
             return own
-        if (x, y) not in weights:
-            weights[x, y] = own + matched(x, y, False)[0]
-        return weights[x, y]
+        return own + (2 * (size[p] - 1) if one == two else inner[one, two])
+
+    def long_weights(left: list[int], right: list[int]):
+        """Row of weights of each of left, for many siblings; what is below is looked up once a kind of node."""
+        kinds = {}
+        kind = np.array([kinds.setdefault((b.tag[q], other_below[q]), len(kinds)) for q in right])
+        names = {}
+        tags, hints = (np.array([names.setdefault(x[q], len(names)) for q in right]) for x in (b.tag, b.hint))
+        rows = {}
+
+        def row(i: int) -> np.ndarray:
+            p = left[i]
+            if shape[p] not in rows:
+                if len(rows) * len(right) > 8_000_000:
+                    rows.clear()
+                found = (tags == names.get(a.tag[p], -1)) * (1 + (hints == names.get(a.hint[p], -1)))
+                if below[p]:
+                    deep = [(2 * (size[p] - 1) if below[p] == two else inner[below[p], two]) if two and t == a.tag[p] else 0 for t, two in kinds]
+                    found = found + np.array(deep)[kind]
+                rows[shape[p]] = found.astype(np.int32)
+            return rows[shape[p]]
+
+        return row
+
+    def apart(x: int, y: int) -> tuple[list[int], list[int], int]:
+        """Children from the first ones on that differ in shape, and how many came before."""
+        left, right, same = a.children[x], b.children[y], 0
+        most = min(len(left), len(right))
+        while same < most and shape[left[same]] == other_shape[right[same]]:
+            same += 1
+        return left[same:], right[same:], same
 
     def matched(x: int, y: int, which: bool) -> tuple[int, list[tuple[int, int]]]:
         """Weight of the best match of the children, and its pairs if asked for."""
-        left, right = a.children[x], b.children[y]
+        left, right, same = apart(x, y)
+        pairs = [*zip(a.children[x][:same], b.children[y])]
+        before = sum([2 * size[p] for p, _ in pairs])
         if len(left) * len(right) > CELLS:
-            pairs = _swept(a, b, left, right)
-            return (0 if which else sum(weight(p, q) for p, q in pairs)), pairs
+            total, found = _long_match(long_weights(left, right), len(left), len(right), which)
+            return before + total, pairs + [(left[i], right[k]) for i, k in found]
         rows = [[0] * (len(right) + 1)]
         for p in left:
             row, last = [0], rows[-1]
@@ -187,7 +244,7 @@ def align(a: Page, b: Page) -> dict[int, int]:
                         best = w
                 row.append(best)
             rows.append(row)
-        pairs, i, k = [], len(left), len(right)
+        i, k = len(left), len(right)
         while which and i and k:
             if rows[i][k] == rows[i - 1][k]:
                 i -= 1
@@ -196,13 +253,33 @@ def align(a: Page, b: Page) -> dict[int, int]:
             else:
                 i, k = i - 1, k - 1
                 pairs.append((left[i], right[k]))
-        return rows[-1][-1], pairs
+        return before + rows[-1][-1], pairs
+
+    def weigh(x: int, y: int) -> None:
+        """Fills `inner` for all that the match of the children of x and y asks for, deepest first."""
+        waiting = [(x, y)]
+        while waiting:
+            x, y = waiting[-1]
+            left, right, _ = apart(x, y)
+            one = {(a.tag[p], below[p]): p for p in left if below[p]}
+            two = {(b.tag[q], other_below[q]): q for q in right if other_below[q]}
+            more = [(p, q) for (t, u), p in one.items() for (s, v), q in two.items() if t == s and u != v and (u, v) not in inner]
+            if more:
+                waiting += more
+                continue
+            waiting.pop()
+            if (below[x], other_below[y]) not in inner:
+                inner[below[x], other_below[y]] = matched(x, y, False)[0]
 
     pairs, waiting = {}, [(0, 0)]
     while waiting:
         x, y = waiting.pop()
         pairs[x] = y
-        if a.children[x] and b.children[y]:
+        if below[x] and below[x] == other_below[y]:
+            waiting += zip(a.children[x], b.children[y])
+        elif below[x] and other_below[y]:
+            if (below[x], other_below[y]) not in inner:
+                weigh(x, y)
             waiting += matched(x, y, True)[1]
     return pairs
 
@@ -221,9 +298,10 @@ class Wrapper:
             if matched >= SUPPORT and equal >= CONSTANT * matched:
                 self.constant.add(node)
             elif not boiler[node]:
-                while node >= 0:
-                    varying[node] += size
-                    node = self.page.parent[node]
+                varying[node] += size
+        for node in range(len(self.page.tag) - 1, 0, -1):  # of a node with all below it
+            if node in varying:
+                varying[self.page.parent[node]] += varying[node]
         if pages >= SUPPORT and varying:
             most, at = varying[0], 0
             while True:

@@ -535,6 +535,44 @@ def test_very_many_siblings(spark):
     assert len(html_text.align(*few)) >= 280
 
 
+def plain_weight(a, b, x=0, y=0):
+    """Weight of the largest match of two trees, by its definition."""
+    best = {}
+    for i, p in enumerate(a.children[x]):
+        for k, q in enumerate(b.children[y]):
+            here = best.get((i - 1, k - 1), 0) + plain_weight(a, b, p, q) if a.tag[p] == b.tag[q] else 0
+            best[i, k] = max(here, best.get((i - 1, k), 0), best.get((i, k - 1), 0))
+    return 1 + (a.hint[x] == b.hint[y]) + max(best.values(), default=0)
+
+
+@pytest.mark.parametrize("cells", [0, html_text.CELLS])
+def test_matches_are_the_largest_at_any_number_of_siblings(cells, monkeypatch):
+    monkeypatch.setattr(html_text, "CELLS", cells)
+    draw = np.random.default_rng(8)
+    tags = ["p", "h3", "section", "div"]
+
+    def page(n):
+        def one():
+            t = tags[draw.integers(4)]
+            return f"<{t} class=k{draw.integers(2)}>{'<h4>a</h4>' * draw.integers(3) if t in tags[2:] else ''}</{t}>"
+
+        return html_text.Page("<div>" + "".join(one() for _ in range(n)) + "</div>")
+
+    for n, m in ((4, 6), (95, 100), (120, 130), (150, 140)):
+        a, b = page(n), page(m)
+        pairs = html_text.align(a, b)
+        assert all(a.tag[x] == b.tag[y] for x, y in pairs.items())
+        assert sorted(pairs.values()) == [pairs[x] for x in sorted(pairs)]
+        assert sum(1 + (a.hint[x] == b.hint[y]) for x, y in pairs.items()) == plain_weight(a, b)
+
+
+def test_depth_of_a_page_changes_nothing(spark):
+    page = "<body>{1}<nav><ul><li>menu {0}</li></ul></nav><div class=k><p>Text {0}</p></div>{2}"
+    rows = [(1000 * k + i, f"http://deep{k}.example/{i}", page.format(i, "<div>" * k, "</div>" * k)) for k in (10, 400) for i in range(3)]
+    got = html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), ["page_id"]).collect()
+    assert {r.page_id: r.text for r in got} == {k: f"Text {k % 1000}" for k, _, _ in rows}
+
+
 def test_shards_by_brute_force(spark, docs):
     got = sharding.shard_documents(docs.union(docs), 7).toPandas()
     rows = docs.union(docs).collect()
