@@ -164,7 +164,10 @@ def wanted_tokens(present: list[float], targets: list[float | None]) -> list[flo
 
 
 def rate_of(p: Column, pull: list[float]) -> Column:
-    return F.greatest(F.lit(0.0), sum((F.lit(float(u)) * p[j] for j, u in enumerate(pull)), F.lit(1.0)))
+    """The pull is one array, which generated code refers to: numbers would be part of the code, which
+    the driver would then generate and compile anew for each step."""
+    told = F.zip_with(p, F.lit([float(u) for u in pull]), lambda x, u: u * x)
+    return F.greatest(F.lit(0.0), F.aggregate(told, F.lit(1.0), lambda total, x: total + x))
 
 
 def fit_rates(rows: DataFrame, targets: list[float | None], ceilings: bool = False) -> tuple[DataFrame, Fit]:

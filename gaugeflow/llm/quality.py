@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -213,8 +214,8 @@ def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, own: dict[byt
     rows = rows.withColumn("draw", draw).orderBy("draw", "label").limit(SAMPLE_ROWS)
     sample = docs.select(key, F.col(text).alias("text")).join(F.broadcast(rows), key).select("draw", "label", F.struct(F.xxhash64("text").alias("hash"), "text").alias("t"))
     sample = sample.groupBy("draw", "label").agg(F.min("t").alias("t")).select("draw", "label", "t.text")
-    got = sample.mapInArrow(_features(vectors, own), "draw long, label long, x array<double>").orderBy("draw", "label").collect()
-    return Network(np.array([r.x for r in got]).reshape(len(got), 2 * DIMS), np.array([r.label for r in got], float))
+    got = sample.mapInArrow(_features(vectors, own), "draw long, label long, x array<double>").orderBy("draw", "label").toArrow()
+    return Network(pc.list_flatten(got.column("x")).to_numpy().reshape(len(got), 2 * DIMS), got.column("label").to_numpy().astype(float))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, keep: list[str], key: str = "doc_id", text: str = "text", label: str = "quality", modulus: int = 4, held: int = 2) -> DataFrame:

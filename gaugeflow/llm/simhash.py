@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import slices, staged, table, text_bytes
-from .graph import components
+from .graph import Forest, components
 
 BITS, DISTANCE, SEED = 64, 3, 42
 
@@ -138,37 +138,6 @@ def replicas(fps: DataFrame) -> DataFrame:
     return fps.select("fp").mapInArrow(run, "anchor long, fp long")
 
 
-class Forest:
-    """Links of fingerprints, reduced to a star for each component while they are gathered."""
-
-    def __init__(self):
-        self.a, self.b, self.waiting, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
-
-    def add(self, a: np.ndarray, b: np.ndarray) -> None:
-        self.waiting.append((a, b))
-        self.size += len(a)
-        if self.size > 1_000_000:
-            self.reduce()
-
-    def reduce(self) -> None:
-        a = np.concatenate([self.a, *(x for x, _ in self.waiting)])
-        b = np.concatenate([self.b, *(x for _, x in self.waiting)])
-        self.waiting, self.size = [], 0
-        nodes, ends = np.unique(np.concatenate((a, b)), return_inverse=True)
-        u, v = ends[: len(a)], ends[len(a) :]
-        root = np.arange(len(nodes))
-        while True:
-            low = np.minimum(root[u], root[v])
-            before = root.copy()
-            np.minimum.at(root, root[u], low)
-            np.minimum.at(root, root[v], low)
-            while not np.array_equal(root, up := root[root]):
-                root = up
-            if np.array_equal(root, before):
-                break
-        self.a, self.b = nodes[root != np.arange(len(nodes))], nodes[root[root != np.arange(len(nodes))]]
-
-
 def _compare(most: int | None):
     """Rows sorted by cell: links of every cell, as stars. Cells of more than `most` rows are not
     held; their rows pass as they are, with crowded set."""

@@ -6,6 +6,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,6 +148,24 @@ def test_components_of_a_chain_and_a_star(spark):
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 140)}}
 
 
+def test_components_take_few_rounds(spark, monkeypatch):
+    """Each table of edges is written by jobs whose plans and threads stay in the driver's memory for a while."""
+    from gaugeflow.operators import graph as operators
+
+    written = []
+    monkeypatch.setattr(operators, "Staged", lambda df, name, write=operators.Staged: written.append(name) or write(df, name))
+    draw = np.random.default_rng(2)
+    edges = [(int(a), int(a) + 1) for a in draw.permutation(400) if a % 50] + [(1000, int(x)) for x in draw.integers(1001, 1400, 600)]
+    got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()}
+    want = {k: (k - 1) // 50 * 50 + 1 for k in range(1, 401)} | {x: 1000 for e in edges if e[0] == 1000 for x in e}
+    assert got == want and len(written) <= 3
+    monkeypatch.setattr(operators, "MOST_LINKS", 3)
+    batches = pa.table({"u": [e[1] for e in edges[:300]], "v": [e[0] for e in edges[:300]]}).to_batches(max_chunksize=20)
+    parts = list(operators._contracted(iter(batches)))
+    assert len(parts) > 2
+    assert all(u > v for p in parts for u, v in zip(p.column("u").to_pylist(), p.column("v").to_pylist()))
+
+
 def brute_hits(text, items):
     words = decontaminate.words_of((text or "").encode())
     hit, ids = set(), set()
@@ -308,6 +327,18 @@ def test_mixing_meets_targets(spark, targets):
     assert np.allclose(out.rate, plain, rtol=0.05, atol=0.02)
 
 
+def test_steps_of_the_fit_share_their_generated_code(spark):
+    rows = spark.createDataFrame([(10, [0.9, 0.1]), (20, [0.8, 0.2])], "n_tokens long, p array<double>")
+
+    def code(pull):
+        plan = rows.select(mixing.rate_of(F.col("p"), pull))._jdf.queryExecution()
+        return spark._jvm.org.apache.spark.sql.execution.debug.package.codegenString(plan.executedPlan()).split("Generated code:")[1]
+
+    assert code([0.25, -3.5]) == code([0.125, 7.0])
+    got = [r[0] for r in rows.select(mixing.rate_of(F.col("p"), [0.25, -30.0])).collect()]
+    assert got == [max(0.0, 1.0 + 0.25 * a + -30.0 * b) for a, b in ((0.9, 0.1), (0.8, 0.2))]
+
+
 def test_mixing_tells_of_targets_out_of_reach(spark):
     rows = spark.createDataFrame([(10, [0.9, 0.1]), (20, [0.8, 0.2])], "n_tokens long, p array<double>")
     assert not mixing.fit_rates(rows, [0.1, 0.9])[1].met
