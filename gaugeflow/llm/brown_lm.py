@@ -174,8 +174,8 @@ MOST_IDS = 1_000_000
 
 
 def _contexts(class_of: dict[bytes, int], of_ending: np.ndarray, every: bool):
-    """(word, before, n): how often a word follows a context class, per task; of the words of
-    class_of alone, or of every word."""
+    """(word, before, n): how often a word follows context classes, as two lists, in one row a word and
+    task; of the words of class_of alone, or of every word."""
 
     def run(batches):
         numbers, waiting, size = _Ids(class_of, of_ending), [], 0
@@ -183,8 +183,11 @@ def _contexts(class_of: dict[bytes, int], of_ending: np.ndarray, every: bool):
         def rows():
             keys, at = np.unique(np.concatenate([k for k, _ in waiting]), return_inverse=True)
             n = np.bincount(at, np.concatenate([x for _, x in waiting]), len(keys)).astype(np.int64)
-            words = pa.array(numbers.words, pa.binary()).take(pa.array(keys // CLASSES))
-            return pa.RecordBatch.from_arrays([words, pa.array((keys % CLASSES).astype(np.int32)), pa.array(n)], ["word", "before", "n"])
+            ids, first = np.unique(keys // CLASSES, return_index=True)
+            words = pa.array(numbers.words, pa.binary()).take(pa.array(ids))
+            offsets = pa.array(np.append(first, len(keys)).astype(np.int32))
+            lists = (pa.ListArray.from_arrays(offsets, pa.array(x)) for x in ((keys % CLASSES).astype(np.int8), n))
+            return pa.RecordBatch.from_arrays([words, *lists], ["word", "before", "n"])
 
         for batch in slices(batches):
             ids, known, before, _ = numbers.read(text_bytes(batch.column("text")))
@@ -216,7 +219,9 @@ def _gathered(batches):
         new[1:] = pc.not_equal(column.slice(1), column.slice(0, batch.num_rows - 1)).to_numpy(zero_copy_only=False)
         words = column.filter(pa.array(new)).to_pylist()
         table = np.zeros((len(words), CLASSES), np.int64)
-        np.add.at(table, (np.cumsum(new) - 1, batch.column("before").to_numpy()), batch.column("n").to_numpy())
+        before, n = (batch.column(k) for k in ("before", "n"))
+        at = np.repeat(np.cumsum(new) - 1, before.value_lengths().to_numpy())
+        table += np.bincount(at * CLASSES + before.flatten().to_numpy(), n.flatten().to_numpy(), table.size).astype(np.int64).reshape(table.shape)
         if words[0] == last:
             table[0] += carried
         elif last is not None:
@@ -348,7 +353,7 @@ def lm_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", modulus:
     of_ending = of_unit[len(unit_of) :]
     class_of = {w: int(of_unit[unit_of[w]] if w in unit_of else of_ending[ending(w)]) for w in {END, *head}}
     for last in [False] * ROUNDS + [True]:
-        seen = training.mapInArrow(_contexts(class_of, of_ending, last), "word binary, before int, n long")
+        seen = training.mapInArrow(_contexts(class_of, of_ending, last), "word binary, before array<tinyint>, n array<long>")
         seen = Staged(seen.repartition("word").sortWithinPartitions("word").mapInArrow(_gathered, "word binary, n long, contexts array<long>"), "contexts")
         release(spark)
         links = _links(seen.df.mapInArrow(_classed(class_of, None, False), CLASSED))
