@@ -68,18 +68,20 @@ def frequent_words(docs: DataFrame, text: str = "text") -> dict[bytes, int]:
 def _bucketed(texts, cache, most: int = 200_000):
     """(buckets, starts of the documents' parts, documents) in runs of about `most` pieces; a
     long document is cut into parts, each with the last piece of the part before."""
-    ids, starts, docs = [], [], []
+    ids, starts, docs, n = [], [], [], 0
     for doc, text in enumerate(texts):
-        found = [cache[p] for p in PIECES.findall(text.lower())]
-        for at in range(0, len(found), most):
-            ids += found[max(0, at - 1) : at + most]
-            starts.append(len(ids) - len(found[max(0, at - 1) : at + most]))
+        found = PIECES.findall(text.lower())
+        rows = np.fromiter(map(cache.__getitem__, found), np.int64, len(found))
+        for at in range(0, len(rows), most):
+            ids.append(rows[max(0, at - 1) : at + most])
+            starts.append(n)
             docs.append((doc, at > 0))
-            if len(ids) >= most:
-                yield np.array(ids, np.int64), np.array(starts), docs
-                ids, starts, docs = [], [], []
+            n += len(ids[-1])
+            if n >= most:
+                yield np.concatenate(ids), np.array(starts), docs
+                ids, starts, docs, n = [], [], [], 0
     if ids:
-        yield np.array(ids, np.int64), np.array(starts), docs
+        yield np.concatenate(ids), np.array(starts), docs
 
 
 def index_vectors(rows: int, seed: int = 17) -> tuple[np.ndarray, np.ndarray]:
@@ -93,22 +95,35 @@ def _contexts(own):
     return lambda batches: _context_sums(batches, own)
 
 
+def _neighbours(ids, starts, index):
+    """Per piece the sum of the index vectors of the pieces within REACH in its part; small integers."""
+    part = np.zeros(len(ids), np.int32)
+    part[starts[1:]] = 1
+    part = np.cumsum(part)
+    own = index[ids]
+    near = np.zeros_like(own)
+    for gap in range(1, REACH + 1):
+        before, after = own[:-gap].copy(), own[gap:].copy()
+        other = np.flatnonzero(part[gap:] != part[:-gap])
+        before[other] = after[other] = 0
+        near[gap:] += before
+        near[:-gap] += after
+    return near
+
+
 def _context_sums(batches, own):
     """Sums of the index vectors of each row's neighbours, over the whole task."""
     size = len(own) + BUCKETS
     places, signs = index_vectors(size)
-    total, cache = np.zeros(size * DIMS), _Buckets(own)
+    index = np.zeros((size, DIMS), np.int8)
+    np.put_along_axis(index, places, signs.astype(np.int8), axis=1)
+    sums, cache = np.zeros((size, DIMS)), _Buckets(own)
     for batch in slices(batches):
         for ids, starts, _ in _bucketed(text_bytes(batch.column("text")), cache):
-            first = np.zeros(len(ids) + 1, bool)
-            first[starts] = True
-            piece = np.cumsum(first[:-1])
-            for gap in range(1, REACH + 1):
-                same = piece[gap:] == piece[:-gap]
-                a, b = ids[:-gap][same], ids[gap:][same]
-                for word, near in ((a, b), (b, a)):
-                    np.add.at(total, (word[:, None] * DIMS + places[near]).ravel(), signs[near].ravel())
-    sums = total.reshape(size, DIMS)
+            order = np.argsort(ids, kind="stable")
+            word = ids[order]
+            at = np.flatnonzero(np.diff(word, prepend=-1))
+            sums[word[at]] += np.add.reduceat(_neighbours(ids, starts, index)[order], at, axis=0, dtype=np.int32)
     used = np.flatnonzero(np.abs(sums).sum(axis=1))
     yield pa.RecordBatch.from_arrays([pa.array(used), *(pa.array(sums[used, d]) for d in range(DIMS))], ["bucket", *(f"v{d}" for d in range(DIMS))])
 
@@ -131,16 +146,13 @@ def pooled(texts: list[bytes], vectors: np.ndarray, cache) -> np.ndarray:
     sums, steps = np.zeros((len(texts), DIMS)), np.zeros((len(texts), DIMS))
     n, pairs = np.zeros(len(texts)), np.zeros(len(texts))
     for ids, starts, docs in _bucketed(texts, cache):
-        near = vectors[ids]
-        change = np.abs(np.diff(near, axis=0, append=near[-1:]))
-        ends = np.append(starts[1:], len(ids))
-        change[ends - 1] = 0  # the last piece of a part has no next one
-        total, moved = np.add.reduceat(near, starts, axis=0), np.add.reduceat(change, starts, axis=0)
-        for row, (doc, continued) in enumerate(docs):
-            sums[doc] += total[row] - (near[starts[row]] if continued else 0)
-            steps[doc] += moved[row]
-            n[doc] += ends[row] - starts[row] - continued
-            pairs[doc] += ends[row] - starts[row] - 1
+        for (doc, continued), start, end in zip(docs, starts.tolist(), [*starts[1:].tolist(), len(ids)]):
+            near = vectors.take(ids[start:end], axis=0)  # of one part, so that it stays in the processor's cache
+            sums[doc] += near[int(continued) :].sum(axis=0)
+            change = near[1:] - near[:-1]
+            steps[doc] += np.abs(change, out=change).sum(axis=0)
+            n[doc] += end - start - continued
+            pairs[doc] += end - start - 1
     return np.hstack([sums / np.maximum(n, 1)[:, None], steps / np.maximum(pairs, 1)[:, None]])
 
 
