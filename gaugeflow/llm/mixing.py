@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import release, staged, table
 
 #: The domains of the labels table, and the share of tokens each should have.
 DOMAINS = ["low", "low_toxic", "high", "high_toxic"]
@@ -240,6 +240,7 @@ def document_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float]
     """
     labelled = labels.select(key, domain_of(labels).alias("domain"))
     rows = staged(soft_membership(docs, labelled, len(DOMAINS), key, text, keep or [key]), "members")
+    release(docs.sparkSession)
     rated, fit = fit_rates(rows, [targets.get(d) for d in DOMAINS], ceilings)
     return rated.select(*(keep or [key]), "n_tokens", *(F.col("p")[j].alias(f"p_{d}") for j, d in enumerate(DOMAINS)), "rate", F.lit(fit.met).alias("targets_met"))
 

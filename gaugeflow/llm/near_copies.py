@@ -249,18 +249,20 @@ def near_groups(docs: DataFrame, text: str = "text", words_in: int = WORDS_IN, s
     rows = docs.withColumn("_text", F.col(text)).mapInArrow(_prepare(names, words_in, similarity, late), schema)
     rows = staged(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
     again = rows.groupBy("node").agg(F.min("row").alias("first"), F.count("*").alias("n")).filter("n > 1").select("node", "first")
-    single = rows.join(staged(again, "again"), "node", "left").filter("first IS NULL OR first = row")
-    texts = single.select("node", F.col(text).alias("text"))
+    first_rows = rows.join(staged(again, "again"), "node", "left").filter("first IS NULL OR first = row")
+    texts = first_rows.select("node", F.col(text).alias("text"))
+    # What most steps need of a text, written once: each plan that would join it again costs the driver.
+    words = [f"bits{k}" for k in range(SIGNATURE // 64)]
+    single = staged(first_rows.select("node", "size", "center", "fp", *(F.col("bits")[k].alias(w) for k, w in enumerate(words)), "wide", "sketch"), "single")
+    release(docs.sparkSession)
 
     # Likely pairs first: of each SimHash group and of each sketch a row with the others.
-    prints = single.groupBy("fp").agg(F.min("node").alias("least"))
-    groups = components(links(prints)).toDF("fp", "root")
-    least = prints.join(groups, "fp").groupBy("root").agg(F.min("least").alias("a"))
-    of_print = groups.join(least, "root").select("fp", "a").union(prints.join(groups, "fp", "left_anti").select("fp", F.col("least").alias("a")))
-    near = single.select("fp", F.col("node").alias("b")).join(of_print, "fp").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    words = [F.col("bits")[k].alias(f"bits{k}") for k in range(SIGNATURE // 64)]
+    groups = components(links(single.select("fp").distinct())).toDF("fp", "root")
+    member = single.select("fp", "node").join(groups, "fp", "left").select(F.coalesce("root", "fp").alias("root"), "node")
+    least = member.groupBy("root").agg(F.min("node").alias("a"), F.count("*").alias("n")).filter("n > 1").select("root", "a")
+    near = member.join(least, "root").filter("a <> node").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
     sketched = single.select(F.posexplode("sketch").alias("order", "cell"), "center", "size", "node", *words)
-    sketched = sketched.select("cell", "center", "size", "node", "order", *(f"bits{k}" for k in range(len(words))))
+    sketched = sketched.select("cell", "center", "size", "node", "order", *words)
     sketched = sketched.repartition("cell").sortWithinPartitions("cell", F.desc("center"), "size", "node")
     likely = near.union(sketched.mapInArrow(_stars(similarity), "a long, b long")).distinct()
     first = _confirmed(_plausible(likely, single, similarity), texts, words_in, similarity)
@@ -268,7 +270,7 @@ def near_groups(docs: DataFrame, text: str = "text", words_in: int = WORDS_IN, s
     release(docs.sparkSession)
 
     # Then every pair that shares an element of its prefixes, unless it is in one group already.
-    cells = single.select(F.posexplode("prefix").alias("place", "cell"), "node", "size").select("cell", "node", "size", "place")
+    cells = first_rows.select(F.posexplode("prefix").alias("place", "cell"), "node", "size").select("cell", "node", "size", "place")
     cells = cells.repartition("cell").sortWithinPartitions("cell", "size", "node")
     cells = Staged(cells.mapInArrow(_shared, "cell long, node long, size int, place int"), "cells")
     release(docs.sparkSession)
@@ -282,13 +284,13 @@ def near_groups(docs: DataFrame, text: str = "text", words_in: int = WORDS_IN, s
             F.when(k == F.col("own"), 0).when(F.col("own") < k, 1).otherwise(2).alias("side"),
         ),
     )
-    apart = apart.withColumn("at", F.explode(block)).select("at.cell", "size", "node", "root", "place", "at.side", *(f"bits{k}" for k in range(len(words))))
+    apart = apart.withColumn("at", F.explode(block)).select("at.cell", "size", "node", "root", "place", "at.side", *words)
     apart = apart.repartition("cell").sortWithinPartitions("cell", "size", "node")
     more = apart.mapInArrow(_all_pairs(similarity), "a long, b long").distinct()
     second = _confirmed(_plausible(more, single, similarity), texts, words_in, similarity)
     cells.drop()
     release(docs.sparkSession)
-    roots = components(first.union(second))
+    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(second))
     of = rows.select("row", "node").join(roots, "node", "left").select("row", F.coalesce("root", "node").alias("root"))
     return rows.select(*names, "row"), of
 

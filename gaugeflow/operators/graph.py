@@ -43,6 +43,8 @@ class Forest:
 
 #: Links that a task holds at once; beyond it starts anew.
 MOST_LINKS = 2_000_000
+#: Links that a task is given, once tasks have replaced their own by stars.
+TASK_LINKS = 500_000
 
 
 def _contracted(batches):
@@ -64,10 +66,11 @@ def _contracted(batches):
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of `edges(a, b)`, which are long; root is the smallest node reachable.
 
-    Alternates the large-star and small-star steps: each takes the minimum of every node's
+    Every task replaces its own edges by stars, which link the same nodes, before a table is written. What is
+    left is dealt over a task for each TASK_LINKS of it; if one is enough, its stars are the components. Else
+    large-star and small-star steps alternate: each takes the minimum of every node's
     neighbours (pre-aggregated before the shuffle, so a hub with very many neighbours is one row
-    a task) and joins it back. Before each table is written, every task replaces its own edges by stars, which
-    link the same nodes, so that few rounds are left. A round ends the loop when every node points at one root.
+    a task) and joins it back. A round ends the loop when every node points at one root.
     Self loops and null ends are dropped; an empty table gives no rows.
     """
     contracted = lambda df: Staged(df.select(F.col("u").cast("long"), F.col("v").cast("long")).mapInArrow(_contracted, "u long, v long"), "edges")
@@ -75,6 +78,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     start = edges.dropna(subset=["a", "b"]).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     now = contracted(start.filter("u <> v"))
     for _ in range(rounds):
+        tasks = -(-now.df.count() // TASK_LINKS)
+        if tasks < 2:
+            whole = contracted(now.df.coalesce(1))
+            now.drop()
+            now = whole
+            break
         e = now.df
         ends = e.select(F.col("u").alias("node"), F.col("v").alias("up")).union(e.select(F.col("v").alias("node"), F.lit(None).cast("long").alias("up")))
         ups = ends.groupBy("node").agg(F.min("up").alias("low"), F.max("up").alias("high"), F.count("up").alias("n"), F.count("*").alias("all"))
@@ -87,7 +96,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # Small star: a node and its lower neighbours are linked to the least of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        following = contracted(small.union(low.select("u", F.col("m").alias("v"))).distinct())
+        following = contracted(small.union(low.select("u", F.col("m").alias("v"))).distinct().coalesce(tasks))
         now.drop()
         now = following
     else:

@@ -282,6 +282,41 @@ def test_temperature_makes_held_rows_likelier():
     assert calibrated < log_loss(network.scores(held), truth)
 
 
+def test_pooling_holds_a_document_at_a_time_and_is_that_of_a_plain_loop(monkeypatch):
+    """The vectors of all pieces of a run at once are tens of MB, which no processor's cache holds."""
+    import tracemalloc
+
+    draw = np.random.default_rng(4)
+    texts = [b" ".join(b"w%d" % k for k in draw.integers(0, 900, 500)) for _ in range(400)]
+    own = {b"w%d" % k: k for k in range(900)}
+    vectors = draw.normal(size=(900 + quality.BUCKETS, quality.DIMS)).astype(np.float32)
+    cache = quality._Buckets(own)
+    tracemalloc.start()
+    got = quality.pooled(texts, vectors, cache)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30e6
+    cut = quality._bucketed
+    monkeypatch.setattr(quality, "_bucketed", lambda texts, cache: cut(texts, cache, 7))
+    few = [b"", b"w1", *texts[:3]]
+    for text, row in [*zip(texts[:5], got), *zip(few, quality.pooled(few, vectors, cache))]:
+        near = vectors[[cache[p] for p in text.split()]].astype(float)
+        want = np.concatenate((near.sum(axis=0) / max(len(near), 1), np.abs(np.diff(near, axis=0)).sum(axis=0) / max(len(near) - 1, 1)))
+        assert np.allclose(row, want, atol=1e-4)
+
+
+def test_contexts_of_short_and_cut_texts():
+    own = {b"a": 0, b"b": 1}
+    places, signs = quality.index_vectors(2 + quality.BUCKETS)
+    sums = next(quality._context_sums(iter([pa.record_batch([pa.array(["a", "b a", None, "", "a"])], ["text"])]), own))
+    got = {b: np.array([sums.column(f"v{d}")[i].as_py() for d in range(quality.DIMS)]) for i, b in enumerate(sums.column("bucket").to_pylist())}
+    for word, near in ((0, 1), (1, 0)):  # texts do not run into each other
+        want = np.zeros(quality.DIMS)
+        want[places[near]] = signs[near]
+        assert (got[word] == want).all()
+    assert set(got) == {0, 1}
+
+
 def test_word_vectors_are_sums_of_index_vectors(spark, monkeypatch):
     monkeypatch.setattr(quality, "HEAD_SHARE", 8)
     texts = ["a b c a b", "a, b", None, "c"]
@@ -419,6 +454,28 @@ def near_copy_texts():
     return texts
 
 
+@pytest.mark.parametrize("task_links", [500_000, 3])
+def test_components_with_one_task_and_with_star_rounds(spark, monkeypatch, task_links):
+    """Few links take few jobs, since plans, threads and compiled code of each stay in the driver's memory."""
+    from gaugeflow.operators import graph as operators
+
+    monkeypatch.setattr(operators, "TASK_LINKS", task_links)
+    draw = np.random.default_rng(3)
+    edges = [(int(a), int(a) + 1) for a in draw.permutation(120) if a % 30] + [(1000, int(x)) for x in draw.integers(1001, 1100, 200)] + [(7, 7), (None, 3)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    group = f"components-{task_links}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        out = graph.components(df)
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(group)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    got = {r.node: r.root for r in out.collect()}
+    assert got == {**{k: (k - 1) // 30 * 30 + 1 for k in range(1, 121)}, **{x: 1000 for e in edges if e[0] == 1000 for x in e}}
+    assert len(jobs) <= 6 or task_links == 3
+    assert graph.components(df.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("cell_rows", [20_000, 2])
 def test_near_copies_are_those_of_jaccard(spark, cell_rows):
     from gaugeflow.llm import near_copies
