@@ -12,20 +12,18 @@ from .robust import robust_fits
 from .scoring import correlation_p
 
 #: Numbers and names of the methods, which of them follow the coarse one, limits of the fits (px),
-#: matches that a spline takes at most, and the gate (mm).
+#: matches that a spline takes at most, the gate (mm), and medians that are the same but for the fits' rounding (mm).
 METHODS = {0: "landmark similarity", 1: "coarse + SIFT", 2: "coarse + ORB", 3: "coarse + DISK and LightGlue", 4: "LoFTR", 5: "best + spline"}
 AFTER_COARSE = (1, 2, 3)
 COARSE_PX, MATCH_PX, ROUGH_PX, SPLINE_POINTS = 8.0, 4.0, 6.0, 500
-MEDIAN_MM, P95_MM = 1.5, 3.0
+MEDIAN_MM, P95_MM, SAME_MM = 1.5, 3.0, 1e-9
 IDENTITY = [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
 
 
 def _fits(matches: DataFrame, kind: str, limit: float) -> DataFrame:
     """Consensus fits of (pair, method): (pair, method, n_matches, n_inliers, h)."""
-    keyed = matches.withColumn("_key", F.to_json(F.struct("pair", "method")))
-    fits = robust_fits(keyed.select("_key", "x", "y", "u", "v"), "_key", kind, limit)
-    names = keyed.select("_key", "pair", "method").distinct()
-    return fits.join(names, "_key").select("pair", "method", F.col("n").alias("n_matches"), F.col("n_agree").alias("n_inliers"), F.col("transform").alias("h"))
+    fits = robust_fits(matches.select("pair", "method", "x", "y", "u", "v").dropna(), ["pair", "method"], kind, limit)
+    return fits.select("pair", "method", F.col("n").alias("n_matches"), F.col("n_agree").alias("n_inliers"), F.col("transform").alias("h"))
 
 
 def _scores(mapped_points: DataFrame) -> DataFrame:
@@ -62,8 +60,8 @@ def run(pairs: DataFrame, landmarks: DataFrame, matches: DataFrame, control: Dat
     """
     every = pairs.withColumn("method", F.explode(F.array(*(F.lit(m) for m in METHODS))))
     coarse = _fits(landmarks.select("pair", F.lit(0).alias("method"), "x", "y", "u", "v"), "similarity", COARSE_PX)
-    fine = _fits(matches.filter(F.col("method").between(1, 4)), "homography", MATCH_PX)
-    fits = staged(coarse.unionByName(fine), "fits")
+    direct = _fits(matches.filter(F.col("method").between(1, 4)), "homography", MATCH_PX)
+    fits = staged(coarse.unionByName(direct), "fits")
     before = fits.filter("method = 0").select("pair", F.col("h").alias("pre"))
     identity = F.array(*map(F.lit, IDENTITY))
     moved = fits.join(before, "pair", "left").withColumn("pre", F.when(F.col("method").isin(*AFTER_COARSE), F.coalesce("pre", identity)).otherwise(identity))
@@ -75,7 +73,8 @@ def run(pairs: DataFrame, landmarks: DataFrame, matches: DataFrame, control: Dat
     mx, my = mapped(F.col("x"), F.col("y"), F.col("whole"))
     scored = staged(_scores(on.withColumn("mx", mx).withColumn("my", my)).filter(F.col("n_points") >= least), "scores")
 
-    base = scored.filter(F.col("method").between(1, 4)).groupBy("pair").agg(F.min(F.struct("median_mm", "method")).alias("b")).select("pair", F.col("b.method").alias("base"))
+    fine = scored.filter(F.col("method").between(1, 4)).groupBy("pair").agg(F.min("median_mm").alias("least"), F.collect_list(F.struct("method", "median_mm")).alias("m"))  # up to four
+    base = fine.select("pair", F.array_min(F.filter("m", lambda m: m["median_mm"] <= F.col("least") + SAME_MM)["method"]).alias("base"))
     chosen = matches.join(base, "pair").filter(F.col("method") == F.col("base")).join(whole.select("pair", F.col("method").alias("base"), "pre"), ["pair", "base"])
     back = mapped(F.col("x"), F.col("y"), inverse(F.col("pre")))
     raw = staged(chosen.select("pair", F.lit(5).alias("method"), "id", back[0].alias("x"), back[1].alias("y"), "u", "v"), "raw")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 
 import numpy as np
@@ -20,13 +21,23 @@ def _centred(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (p - middle) * scale, np.array([[scale, 0, -scale * middle[0]], [0, scale, -scale * middle[1]], [0, 0, 1]])
 
 
+#: Matches whose equations are held at once.
+BLOCK = 50_000
+
+
 def homography_of(src: np.ndarray, dst: np.ndarray) -> np.ndarray | None:
-    """The homography that maps src to dst best, by the direct linear transform."""
+    """The homography that maps src to dst best, by the direct linear transform. Of many equations only the
+    triangle of their QR decomposition is kept, block by block, which has the same null direction."""
     (a, ta), (b, tb) = _centred(src), _centred(dst)
-    x, y = a.T
-    zero, one = np.zeros(len(a)), np.ones(len(a))
-    rows = [np.stack([x, y, one, zero, zero, zero, *(-t * b[:, k] for t in (x, y, one))] if k == 0 else [zero, zero, zero, x, y, one, *(-t * b[:, k] for t in (x, y, one))], axis=1) for k in (0, 1)]
-    h = np.linalg.inv(tb) @ np.linalg.svd(np.vstack(rows))[2][-1].reshape(3, 3) @ ta
+    system = np.zeros((0, 9))
+    for at in range(0, len(a), BLOCK):
+        (x, y), (u, v) = a[at : at + BLOCK].T, b[at : at + BLOCK].T
+        zero, one = np.zeros(len(x)), np.ones(len(x))
+        rows = np.stack([x, y, one, zero, zero, zero, -x * u, -y * u, -u], axis=1), np.stack([zero, zero, zero, x, y, one, -x * v, -y * v, -v], axis=1)
+        system = np.vstack([system, *rows])
+        if len(system) > 9:
+            system = np.linalg.qr(system, mode="r")
+    h = np.linalg.inv(tb) @ np.linalg.svd(system)[2][-1].reshape(3, 3) @ ta
     return h / h[2, 2] if abs(h[2, 2]) > 1e-12 else None
 
 
@@ -70,18 +81,23 @@ def consensus(src: np.ndarray, dst: np.ndarray, kind: str, limit: float, rounds:
     return (fit(src[best], dst[best]) if best.sum() >= least else None), best
 
 
-def robust_fits(matches: DataFrame, pair: str, kind: str = "homography", limit: float = 4.0, rounds: int = 2000) -> DataFrame:
+def robust_fits(matches: DataFrame, pair: str | list[str], kind: str = "homography", limit: float = 4.0, rounds: int = 2000) -> DataFrame:
     """(pair, n, n_agree, transform): of matches (pair, x, y, u, v), by random sampling with a seed that
-    the pair gives, so that a task that runs again draws alike. No transform where too few agree."""
-    key = dict(matches.dtypes)[pair]
+    the pair gives, so that a task that runs again draws alike. No transform where too few agree. A pair
+    may have several columns; a task holds the numbers of its matches."""
+    by = [pair] if isinstance(pair, str) else pair
+    keys = ", ".join(f"{c} {dict(matches.dtypes)[c]}" for c in by)
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.dropna(subset=["x", "y", "u", "v"]).sort_values(["x", "y", "u", "v"])
-        value = rows[pair].iloc[0] if len(rows) else None
-        h, agree = consensus(rows[["x", "y"]].to_numpy(float), rows[["u", "v"]].to_numpy(float), kind, limit, rounds, zlib.crc32(str(value).encode()))
-        return pd.DataFrame({pair: [value], "n": [len(rows)], "n_agree": [int(agree.sum())], "transform": [None if h is None else h.ravel().tolist()]})
-
-    return by_key(matches, pair).groupBy(pair).applyInPandas(fit, f"{pair} {key}, n long, n_agree long, transform array<double>")
+        rows = rows.dropna(subset=["x", "y", "u", "v"])
+        value = rows[by].astype(object).iloc[0].tolist() if len(rows) else [None] * len(by)
+        name = str(value[0]) if len(by) == 1 else json.dumps(dict(zip(by, value)), separators=(",", ":"), default=str)
+        p = rows[["x", "y", "u", "v"]].to_numpy(float)
+        p = p[np.lexsort(p.T[::-1])]
+        h, agree = consensus(p[:, :2], p[:, 2:], kind, limit, rounds, zlib.crc32(name.encode()))
+        return pd.DataFrame({c: [v] for c, v in zip(by, value)} | {"n": [len(rows)], "n_agree": [int(agree.sum())], "transform": [None if h is None else h.ravel().tolist()]})
+
+    return by_key(matches, *by).groupBy(*by).applyInPandas(fit, f"{keys}, n long, n_agree long, transform array<double>")
 
 
 def least_median(src: np.ndarray, dst: np.ndarray, most: int = 2000, seed: int = 0) -> tuple[np.ndarray | None, np.ndarray]:

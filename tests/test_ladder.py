@@ -97,6 +97,27 @@ def test_twins_lead_back(spark, results):
     assert all(np.hypot(back[r.id][0] - r.x, back[r.id][1] - r.y) < 0.5 for r in points.collect())
 
 
+def test_medians_that_differ_by_rounding_are_ties(spark):
+    """Two methods lie as far beside the truth, the second one nearer by no more than rounding: the first one counts."""
+    at = np.random.default_rng(3).random((40, 2)) * 400
+    matches = [("a", m, k, *map(float, p), float(p[0] + d), float(p[1])) for m, d in ((1, 2.0), (2, 2.0 - 1e-10), (4, 3.0)) for k, p in enumerate(at)]
+    control = [("a", k, *map(float, p), *map(float, p)) for k, p in enumerate(at[:9] + 3)]
+    pairs = spark.createDataFrame([("a", 5.0, 600, 500)], "pair string, px_per_mm double, w int, h int")
+    kinds = ("pair string, x double, y double, u double, v double", "pair string, method int, id int, x double, y double, u double, v double", "pair string, id int, x double, y double, u double, v double")
+    made = ladder.run(pairs, *(spark.createDataFrame(rows, kind) for rows, kind in zip(([], matches, control), kinds)))
+    assert {r.base for r in made.results.collect() if r.method == 5} == {1}
+
+
+def test_homography_of_many_matches():
+    """Memory grows with the matches, not with their square (as it did: 115 GB here), and all of them count."""
+    src = np.random.default_rng(5).random((60_000, 2)) * 500
+    dst = move(FINE, src) + np.repeat([[0.4, 0.0], [-0.4, 0.0]], 30_000, axis=0)
+    h = robust.homography_of(src, dst)
+    assert np.abs(move(h, src) - move(FINE, src)).max() < 0.02
+    few = robust.homography_of(src[::15_000], dst[::15_000])
+    assert np.allclose(move(few, src[::15_000]), dst[::15_000])
+
+
 def test_verdict_counts_coverage(results):
     made, rows = results
     v = {r.method: r for r in ladder.verdict(made.results).collect()}
