@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.geometry import ratio
-from ..sources.staging import by_key, staged
+from ..sources.staging import by_key
 from .graph import components
 
 
@@ -42,75 +43,188 @@ def _matched(left: list[int], right: list[int]) -> int:
 def match_counts(truth: DataFrame, found: DataFrame, group: str, tolerance: float) -> DataFrame:
     """(group, tp, fp, fn) by one-to-one matching of points (id, x, y) within the tolerance.
 
-    Candidate pairs come from an equi join on cells as wide as the tolerance. They fall apart into
-    connected components, found on Spark; a matching is the union of those of its components, so
-    a task matches one component at a time and not a group. Groups with one side alone keep
-    their counts, a null group has a row of its own; null groups and ids match nothing.
+    Points fall into cells as wide as the tolerance, and cells into clusters that no candidate pair leaves: two
+    cells are linked where the boxes of points of either side come within the tolerance, and where an id has points
+    in both. The clusters are found on Spark; a matching is the union of theirs, so a task matches one
+    cluster at a time, and pairs are never listed, as they grow with the square of the density.
+    Points of one id are one to match. Groups with one side alone keep their counts, a null group has
+    a row of its own; null groups, ids and places match nothing.
     """
-    def celled(df, spread):
-        steps = F.array(*(F.lit(i) for i in ((-1, 0, 1) if spread else (0,))))
-        cx, cy = F.floor(F.col("x") / tolerance).cast("long"), F.floor(F.col("y") / tolerance).cast("long")
-        df = df.withColumn("i", F.explode(steps)).withColumn("j", F.explode(steps))
-        return df.select(group, "id", "x", "y", (cx + F.col("i")).alias("cx"), (cy + F.col("j")).alias("cy"))
-
-    t, p = celled(truth, False).alias("t"), celled(found, True).alias("p")
-    near = (F.pow(F.col("t.x") - F.col("p.x"), 2) + F.pow(F.col("t.y") - F.col("p.y"), 2)) <= tolerance * tolerance
-    pairs = t.join(p, [group, "cx", "cy"]).filter(near).select(group, F.col("t.id").alias("a"), F.col("p.id").alias("b"), "cx", "cy")
-    kind = dict(truth.dtypes)[group]
-    # Nodes are hashes: should two meet, components merge, which changes no matching.
-    ends = [F.xxhash64(F.lit(side), group, side) for side in ("a", "b")]
-    pairs = staged(pairs.select(group, "a", "b", ends[0].alias("u"), ends[1].alias("v"), "cx", "cy").repartition(group, F.shiftright("cx", 7), F.shiftright("cy", 7)), "pairs")
-    # Components lie close together: those of a block of cells are found in its task, the rest from what is left.
-    stars = staged(pairs.select("u", "v").mapInPandas(_stars, "u long, v long"), "stars")
-    roots = components(stars.select(F.col("u").alias("a"), F.col("v").alias("b")))
-    apart = by_key(pairs.join(roots.withColumnRenamed("node", "u"), "u").select(group, "root", "a", "b"), "root").sortWithinPartitions("root")
-    tp = apart.select(group, "root", "a", "b").mapInPandas(_matched_counts, f"{group} {kind}, tp long")
+    kind, number = dict(truth.dtypes)[group], lambda c: F.col(c).cast("double").alias(c)
+    sided = lambda df, side: df.select(group, "id", number("x"), number("y"), F.lit(side).alias("side"))
+    rows = sided(truth, 0).unionByName(sided(found, 1)).dropna()  # NaN too
+    # Nodes are hashes of cells: should two meet, clusters merge, which changes no matching.
+    node = lambda x, y: F.xxhash64(group, x, y)
+    cx, cy = F.floor(F.col("x") / tolerance).cast("long"), F.floor(F.col("y") / tolerance).cast("long")
+    points = rows.withColumn("cx", cx).withColumn("cy", cy).withColumn("node", node("cx", "cy"))
+
+    ends = [f(F.when(F.col("side") == side, F.col(c))).alias(f"{name}{c}{side}") for side in (0, 1) for c in ("x", "y") for f, name in ((F.min, "low_"), (F.max, "high_"))]
+    cells = points.groupBy(group, "cx", "cy", "node").agg(*ends)
+    steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 1), (1, -1), (1, 0), (1, 1))))
+    beside = cells.withColumn("step", F.explode(steps)).withColumn("other", node(F.col("cx") + F.col("step.i"), F.col("cy") + F.col("step.j"))).alias("p")
+
+    def near(side: int):
+        def apart(c: str):
+            return F.greatest(F.lit(0.0), F.col(f"p.low_{c}{side}") - F.col(f"q.high_{c}{1 - side}"), F.col(f"q.low_{c}{1 - side}") - F.col(f"p.high_{c}{side}"))
+
+        return F.col(f"p.low_x{side}").isNotNull() & F.col(f"q.low_x{1 - side}").isNotNull() & (F.pow(apart("x"), 2) + F.pow(apart("y"), 2) <= tolerance * tolerance)
+
+    linked = beside.join(cells.alias("q"), F.col("p.other") == F.col("q.node")).filter(near(0) | near(1)).select(F.col("p.node").alias("a"), F.col("q.node").alias("b"))
+    # An id's first cell is linked to its last one, and to what lies between where it has more than two points.
+    named = points.select(F.xxhash64(group, "side", "id").alias("name"), "node")
+    several = named.groupBy("name").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("n")).filter("a <> b")
+    between = named.join(several.filter("n > 2").select("name", "a"), "name").filter("node <> a").select("a", F.col("node").alias("b"))
+    links = linked.unionByName(several.select("a", "b")).unionByName(between)
+    roots = components(links).select("node", "root")
+    apart = points.join(roots, "node", "left").select(group, F.coalesce("root", "node").alias("root"), "side", "id", "x", "y")
+    tp = by_key(apart, "root").sortWithinPartitions("root", group).mapInPandas(_matched_counts(tolerance), f"{group} {kind}, tp long")
     one = lambda df, *counts: df.select(group, *(F.lit(n).cast("long").alias(c) for n, c in zip(counts, ("n_truth", "n_found", "tp"))))
-    rows = one(truth, 1, 0, 0).unionByName(one(found, 0, 1, 0)).unionByName(tp.select(group, F.lit(0).alias("n_truth"), F.lit(0).alias("n_found"), "tp"))
-    sizes = rows.groupBy(group).agg(*(F.sum(c).alias(c) for c in ("n_truth", "n_found", "tp")))
+    sums = one(truth, 1, 0, 0).unionByName(one(found, 0, 1, 0)).unionByName(tp.select(group, F.lit(0).alias("n_truth"), F.lit(0).alias("n_found"), "tp"))
+    sizes = sums.groupBy(group).agg(*(F.sum(c).alias(c) for c in ("n_truth", "n_found", "tp")))
     return sizes.select(group, "tp", (F.col("n_found") - F.col("tp")).alias("fp"), (F.col("n_truth") - F.col("tp")).alias("fn"))
 
 
-def _stars(batches):
-    """Edges (u, v) of a task as one edge from each node to the least one that it reaches in that task."""
-    root: dict[int, int] = {}
-    for rows in batches:
-        for u, v in zip(rows["u"].tolist(), rows["v"].tolist()):
-            while (up := root.setdefault(u, u)) != u:
-                root[u] = u = root[up]
-            while (up := root.setdefault(v, v)) != v:
-                root[v] = v = root[up]
-            if u != v:
-                root[max(u, v)] = min(u, v)
-    nodes, tops = list(root), []
-    for node in nodes:
-        while root[node] != node:
-            node = root[node]
-        tops.append(node)
-    yield pd.DataFrame({"u": nodes, "v": tops}, dtype="int64")
-
-
-def _matched_counts(batches):
-    """Matched pairs of each component; rows come sorted by root, and a component may span batches."""
-    held = None
-    for rows in batches:
-        rows = rows if held is None else pd.concat([held, rows])
-        ends = (rows["root"].to_numpy()[1:] != rows["root"].to_numpy()[:-1]).nonzero()[0] + 1
-        last = int(ends[-1]) if len(ends) else 0
-        held, whole = rows.iloc[last:], rows.iloc[:last]
-        yield _components_matched(whole, ends.tolist())
-    if held is not None:
-        yield _components_matched(held, [len(held)])
-
-
-def _components_matched(rows: pd.DataFrame, ends: list[int]) -> pd.DataFrame:
-    group, a, b = rows.iloc[:, 0].tolist(), rows["a"].tolist(), rows["b"].tolist()
-    out, start = [], 0
-    for end in ends:
-        if end > start:
-            out.append((group[start], _matched(a[start:end], b[start:end])))
-        start = end
-    return pd.DataFrame(out, columns=[rows.columns[0], "tp"]).astype({rows.columns[0]: rows.dtypes.iloc[0], "tp": "int64"})
+#: Pairs of a cluster that are looked at one by one; larger ones are searched by places.
+FEW = 4096
+
+
+def _matched_counts(tolerance: float):
+    """Matched points of each cluster; rows come sorted by root and group, and a cluster may span batches."""
+
+    def counts(batches):
+        held, last = [], None
+        for rows in batches:
+            if not len(rows):
+                continue
+            root, group = rows["root"].to_numpy(), rows.iloc[:, 0].to_numpy()
+            at = [0, *((root[1:] != root[:-1]) | (group[1:] != group[:-1])).nonzero()[0] + 1, len(rows)]
+            side, id, x, y = (rows[c].to_numpy() for c in ("side", "id", "x", "y"))
+            out = []
+            for start, end in zip(at, at[1:]):
+                key = root[start], group[start]
+                if held and key != last:
+                    out.append((last[1], _cluster_matched(held, tolerance)))
+                    held = []
+                held.append(tuple(c[start:end] for c in (side, id, x, y)))
+                last = key
+            yield _counted(rows, out)
+        if held:
+            yield _counted(rows, [(last[1], _cluster_matched(held, tolerance))])
+
+    return counts
+
+
+def _counted(rows: pd.DataFrame, out: list) -> pd.DataFrame:
+    out = [r for r in out if r[1]]
+    return pd.DataFrame({rows.columns[0]: pd.Series([g for g, _ in out], dtype=rows.dtypes.iloc[0]), "tp": pd.Series([n for _, n in out], dtype="int64")})
+
+
+def _cluster_matched(pieces: list[tuple], tolerance: float) -> int:
+    side, id, x, y = (np.concatenate(c) if len(pieces) > 1 else c[0] for c in zip(*pieces))
+    t = side == 0
+    n = int(t.sum())
+    if n in (0, len(t)):
+        return 0
+    if n * (len(t) - n) <= FEW:
+        i, j = np.nonzero((x[t][:, None] - x[~t]) ** 2 + (y[t][:, None] - y[~t]) ** 2 <= tolerance * tolerance)
+        return _matched(id[t][i].tolist(), id[~t][j].tolist()) if len(i) > 1 else len(i)
+    a, b = ((pd.factorize(id[s])[0], x[s], y[s]) for s in (t, ~t))
+    return _matched_places(*(a, b) if a[0].max() <= b[0].max() else (b, a), tolerance)
+
+
+def _slices(left: tuple, right: tuple, tolerance: float) -> tuple:
+    """The order of `right` by rows of cells and x, and where in it the points lie that each of `left` may reach: slices of
+    up to three rows of cells, by node of `left`."""
+    reach = tolerance * (1 + 1e-9)
+    (node, x, y), (_, rx, ry) = left, right
+    rows, row = np.unique(np.floor(ry / tolerance), return_inverse=True)
+    order = np.lexsort((rx, row))
+    every, size = np.sort(rx), len(rx) + 1
+    places = row[order] * size + np.searchsorted(every, rx[order])
+    low, high = np.searchsorted(every, x - reach), np.searchsorted(every, x + reach, side="right")
+    found = []
+    for step in (-1.0, 0.0, 1.0):
+        at = np.searchsorted(rows, wanted := np.floor(y / tolerance) + step)
+        there = at < len(rows)
+        there[there] = rows[at[there]] == wanted[there]
+        start, stop = np.searchsorted(places, at * size + low), np.searchsorted(places, at * size + high)
+        k = np.flatnonzero(there & (start < stop))
+        found.append((node[k], start[k], stop[k], x[k], y[k]))
+    found = [np.concatenate(c) for c in zip(*found)]
+    by = np.argsort(found[0], kind="stable")
+    node, *rest = (c[by] for c in found)
+    return order, np.searchsorted(node, np.arange(left[0].max() + 2)), rest
+
+
+def _matched_places(left: tuple, right: tuple, tolerance: float) -> int:
+    """Size of a maximum matching of nodes with points (node, x, y), `left` the side with fewer nodes, without a list of
+    pairs: augmenting paths, free nodes first, in rounds that reach each point of `right` once. A point
+    that has been reached, or whose node isn't free any more, is passed over by a link to the next one."""
+    order, first, (low, high, px, py) = _slices(left, right, tolerance)
+    flat = lambda a, kind: array(kind, np.ascontiguousarray(a, {"q": np.int64, "d": float}[kind]).tobytes())
+    node, rx, ry = (flat(c[order], k) for c, k in zip(right, "qdd"))
+    first, low, high, px, py = (flat(c, k) for c, k in zip((first, low, high, px, py), "qqqdd"))
+    n, m, limit = len(first) - 1, len(node), tolerance * tolerance
+    owner, mate = array("q", [-1]) * (int(right[0].max()) + 1), array("q", [-1]) * n
+    links = np.arange(m + 1)
+    free = flat(links, "q")
+
+    def at(link, k: int) -> int:
+        """The first place from k on that is still there."""
+        while (up := link[k]) != k:
+            link[k] = k = link[up]
+        return k
+
+    def open_place(a: int) -> int:
+        for s in range(first[a], first[a + 1]):
+            k, end, x, y = low[s], high[s], px[s], py[s]
+            while (k := at(free, k)) < end:
+                if owner[node[k]] >= 0:
+                    free[k] = k + 1
+                elif (rx[k] - x) ** 2 + (ry[k] - y) ** 2 <= limit:
+                    return node[k]
+                else:
+                    k += 1
+        return -1
+
+    matched, waiting = 0, []
+    seen, places = np.unique(left[0], return_index=True)
+    for a in seen[np.lexsort((left[1][places], np.floor(left[2][places] / tolerance)))].tolist():
+        if (b := open_place(a)) >= 0:
+            owner[b], mate[a], matched = a, b, matched + 1
+        else:
+            waiting.append(a)
+    while waiting:
+        there, reached = flat(links, "q"), array("q", [-1]) * len(owner)
+        still, before = [], matched
+        for root in waiting:
+            stack, b = [root], -1
+            while stack:
+                a = stack.pop()
+                if (b := open_place(a)) >= 0:
+                    break
+                for s in range(first[a], first[a + 1]):
+                    k, end, x, y = low[s], high[s], px[s], py[s]
+                    while (k := at(there, k)) < end:
+                        if reached[node[k]] >= 0:
+                            there[k] = k + 1
+                        elif (rx[k] - x) ** 2 + (ry[k] - y) ** 2 <= limit:
+                            reached[node[k]] = a
+                            there[k] = k + 1
+                            stack.append(owner[node[k]])
+                        else:
+                            k += 1
+            if b < 0:
+                still.append(root)
+                continue
+            matched += 1
+            while b >= 0:  # flip the path back to its root
+                owner[b], mate[a], b = a, b, mate[a]
+                a = reached[b]
+        waiting = still
+        if matched == before:
+            break
+    return matched
 
 
 def metrics(tp: Column, fp: Column, fn: Column) -> list[Column]:

@@ -469,6 +469,29 @@ def test_matching_of_many_groups_equals_a_search(spark):
         assert got[g] == (scoring._matched(*zip(*edges)) if edges else 0)
 
 
+def test_matching_by_places_equals_one_by_pairs(spark):
+    """Clusters too large for a list of pairs, points of one id at several places, a dense group in which most of the larger side stays."""
+    draw = np.random.default_rng(12)
+    for k in range(60):
+        n, m, wide = *draw.integers(80, 120, 2), [6, 15, 40][k % 3]
+        side, ids = np.repeat([0, 1], [n, m]), np.concatenate([draw.integers(0, n, n), draw.integers(0, m, m)])
+        x, y = np.round(draw.random((2, n + m)) * wide, 1)
+        y = y if k % 2 else np.floor(y / 5) * 10
+        i, j = np.nonzero((x[:n, None] - x[n:]) ** 2 + (y[:n, None] - y[n:]) ** 2 <= 1.5**2)
+        assert n * m > scoring.FEW and scoring._cluster_matched([(side, ids, x, y)], 1.5) == scoring._matched(ids[:n][i].tolist(), ids[n:][j].tolist())
+    # 4 million pairs, which took a search of all of them for each point that stays
+    rows = [spark.range(size).select(F.lit(1).alias("g"), "id", (F.col("id") * 7919 % 50_000 / 1000).alias("x"), (F.col("id") % 2 * 1.0).alias("y")) for size in (9000, 6000)]
+    counts = scoring.match_counts(*rows, "g", 2.0)
+    assert counts.first()[:] == (1, 6000, 0, 3000)
+
+
+def test_ids_at_several_places_are_one_point(spark):
+    """An id at three places links what lies there, and is matched once."""
+    truth = spark.createDataFrame([(1, 7, 0.0, 0.0), (1, 7, 50.0, 0.0), (1, 7, 100.0, 0.0)], "g int, id int, x double, y double")
+    found = spark.createDataFrame([(1, 1, 0.5, 0.0), (1, 2, 50.0, 0.5), (1, 3, 100.0, 0.0), (1, 4, float("nan"), 0.0)], "g int, id int, x double, y double")
+    assert scoring.match_counts(truth, found, "g", 1.0).first()[:] == (1, 1, 3, 2)
+
+
 def test_keys_with_null_values_are_there(spark):
     a = spark.createDataFrame([("a", None), ("b", 1), ("c", None), ("d", 2)], "k string, v int")
     b = spark.createDataFrame([("a", None), ("b", None), ("c", 3), ("e", None)], "k string, v int")
