@@ -7,7 +7,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -100,7 +100,11 @@ def robust_fits(matches: DataFrame, pair: str | list[str], kind: str = "homograp
     return by_key(matches, *by).groupBy(*by).applyInPandas(fit, f"{keys}, n long, n_agree long, transform array<double>")
 
 
-def least_median(src: np.ndarray, dst: np.ndarray, most: int = 2000, seed: int = 0) -> tuple[np.ndarray | None, np.ndarray]:
+#: Pairs of points that `least_median` tries at most, and errors or distances that are held at once.
+MOST_PAIRS, MOST_ERRORS = 2000, 1 << 19
+
+
+def least_median(src: np.ndarray, dst: np.ndarray, most: int = MOST_PAIRS, seed: int = 0) -> tuple[np.ndarray | None, np.ndarray]:
     """The similarity with the least median of squared errors, refitted to the points near it, and which
     they are; up to half of the points may be anywhere. All pairs of points are tried, or `most` drawn
     ones. Near are those within 2.5 deviations as the median tells them, at least a thousandth of a pixel."""
@@ -138,36 +142,138 @@ def least_median_fits(matches: DataFrame, pair: str) -> DataFrame:
     return by_key(matches, pair).groupBy(pair).applyInPandas(fit, f"{pair} {kind}, n long, n_agree long, transform array<double>")
 
 
+def _least_medians(p: np.ndarray) -> list:
+    """The transforms of `least_median` for groups of equally many points: (group, point, x y u v)."""
+    n = p.shape[1]
+    i, j = np.triu_indices(n, 1)
+    a, b = p[..., 0] + 1j * p[..., 1], p[..., 2] + 1j * p[..., 3]
+    apart = a[:, j] - a[:, i]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        turn = (b[:, j] - b[:, i]) / apart
+        errors = np.abs(turn[..., None] * a[:, None] + (b[:, i] - turn * a[:, i])[..., None] - b[:, None]) ** 2
+    medians = np.where(apart != 0, np.median(errors, axis=2), np.inf)
+    k = np.argmin(medians, axis=1)
+    own = np.arange(len(p))
+    limit = np.maximum(2.5 * 1.4826 * (1 + 5 / max(n - 2, 1)) * np.sqrt(medians[own, k]), 1e-3)
+    near = (errors[own, k] <= limit[:, None] ** 2) & np.isfinite(limit)[:, None]
+    count = np.maximum(near.sum(axis=1), 1)
+    ma, mb = ((c * near).sum(axis=1) / count for c in (a, b))
+    da, db = (a - ma[:, None]) * near, (b - mb[:, None]) * near
+    there = np.abs(da).sum(axis=1) > 1e-12
+    turn = (np.conj(da) * db).sum(axis=1) / np.where(there, (np.conj(da) * da).sum(axis=1), 1)
+    shift = mb - turn * ma
+    zero, one = np.zeros(len(p)), np.ones(len(p))
+    fits = np.stack([turn.real, -turn.imag, shift.real, turn.imag, turn.real, shift.imag, zero, zero, one], axis=1).tolist()
+    return [h if yes else None for h, yes in zip(fits, there)]
+
+
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def least_median_of(points: pd.Series) -> pd.Series:
-    """The transform of `least_median` for each row's own few matches, an array of (x, y, u, v); null without one."""
+    """The transform of `least_median` for each row's own few matches, an array of (x, y, u, v); null without one. Rows with
+    as many matches are fitted together, those with more pairs than `least_median` tries by themselves."""
     out = pd.Series([None] * len(points), dtype=object)
-    for k, rows in enumerate(points):
-        p = np.array([[r["x"], r["y"], r["u"], r["v"]] for r in rows], float).reshape(-1, 4)
-        h, _ = least_median(p[:, :2], p[:, 2:])
-        out[k] = None if h is None else h.ravel().tolist()
+    sizes = points.map(len)
+    for n, rows in points.groupby(sizes).groups.items():
+        step = max(1, MOST_ERRORS // max(1, n**3))
+        for at in range(0, len(rows), step):
+            some = rows[at : at + step]
+            p = np.array([[[r["x"], r["y"], r["u"], r["v"]] for r in points[k]] for k in some], float).reshape(len(some), n, 4)
+            if n < 2:
+                continue
+            fits = _least_medians(p) if n * (n - 1) // 2 <= MOST_PAIRS else [None if (h := least_median(q[:, :2], q[:, 2:])[0]) is None else h.ravel().tolist() for q in p]
+            for k, h in zip(some, fits):
+                out[k] = h
+    return out
+
+
+def _facing(p: np.ndarray, neighbours: int) -> np.ndarray:
+    """How far the surface at each point of images (image, point, x y z) turns to the viewer; see `facing`."""
+    n, k = p.shape[1], min(neighbours, p.shape[1])
+    apart = sum((p[:, :, None, c] - p[:, None, :, c]) ** 2 for c in range(3))
+    last = np.partition(apart, k - 1, axis=2)[..., k - 1 : k]
+    near, ties = apart < last, apart == last
+    if (many := ties.sum(axis=2) + near.sum(axis=2) > k).any():  # of equal distances the first ones
+        ties[many] &= np.cumsum(ties[many], axis=1) <= k - near[many].sum(axis=1)[:, None]
+    at = np.nonzero(near | ties)[2].reshape(len(p), n, k)
+    cloud = p[np.arange(len(p))[:, None, None], at]
+    cloud = cloud - cloud.mean(axis=2, keepdims=True)
+    normal = flat_direction(cloud.reshape(-1, k, 3)).reshape(p.shape)
+    normal *= np.where((normal * (p - p.mean(axis=1, keepdims=True))).sum(axis=2) < 0, -1, 1)[..., None]
+    return -normal[..., 2]
+
+
+def flat_direction(cloud: np.ndarray) -> np.ndarray:
+    """The unit vector along which each centred cloud (cloud, point, x y z) is least wide: of its moments' least eigenvalue in
+    closed form; clouds that hardly are a surface (close to a line, or nearly as wide in that direction) by SVD."""
+    m = np.matmul(cloud.transpose(0, 2, 1), cloud)
+    size = np.trace(m, axis1=1, axis2=2)
+    m = m / np.where(size > 0, size, 1)[:, None, None]
+    a, b, c, d, e, f = m[:, 0, 0], m[:, 1, 1], m[:, 2, 2], m[:, 0, 1], m[:, 0, 2], m[:, 1, 2]
+    mean = (a + b + c) / 3
+    wide = np.sqrt(((a - mean) ** 2 + (b - mean) ** 2 + (c - mean) ** 2 + 2 * (d * d + e * e + f * f)) / 6)
+    x, y, z = a - mean, b - mean, c - mean
+    det = x * (y * z - f * f) - d * (d * z - f * e) + e * (d * f - y * e)
+    turn = np.arccos(np.clip(det / (2 * np.where(wide > 0, wide, 1) ** 3), -1, 1)) / 3
+    least, middle = mean + 2 * wide * np.cos(turn + 2 * np.pi / 3), mean + 2 * wide * np.cos(turn - 2 * np.pi / 3)
+    x, y, z = a - least, b - least, c - least
+    # Products of two rows of the moments less the eigenvalue; the longest one is the most exact.
+    r = np.stack([np.stack([d * f - e * y, e * d - x * f, x * y - d * d], 1), np.stack([d * z - e * f, e * e - x * z, x * f - d * e], 1), np.stack([y * z - f * f, f * e - d * z, d * f - y * e], 1)], 1)
+    length = (r * r).sum(axis=2)
+    best = np.argmax(length, axis=1)
+    own = np.arange(len(m))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        out = r[own, best] / np.sqrt(length[own, best])[:, None]
+    if (doubtful := ~(middle - least > 1e-3)).any():
+        out[doubtful] = np.linalg.svd(cloud[doubtful])[2][:, -1]
     return out
 
 
 def facing(landmarks: DataFrame, image: str, neighbours: int = 12) -> DataFrame:
     """(image, id, facing): how far the surface at each landmark (image, id, x, y, z) turns to the viewer,
     from 1 (towards -z) to -1: the normal of the plane through its nearest neighbours, pointing away
-    from the middle of all."""
+    from the middle of all. Images come one after the other and are worked on many at once."""
     kinds = dict(landmarks.dtypes)
 
-    def normals(rows: pd.DataFrame) -> pd.DataFrame:
-        p = rows[["x", "y", "z"]].to_numpy(float)
-        apart = ((p[:, None] - p[None]) ** 2).sum(-1)
-        near = np.argsort(apart, axis=1, kind="stable")[:, : min(neighbours, len(p))]
-        cloud = p[near] - p[near].mean(axis=1, keepdims=True)
-        normal = np.linalg.svd(cloud)[2][:, -1]
-        normal *= np.where((normal * (p - p.mean(axis=0))).sum(axis=1) < 0, -1, 1)[:, None]
-        return pd.DataFrame({image: rows[image], "id": rows["id"], "facing": -normal[:, 2]})
-
-    return by_key(landmarks, image).groupBy(image).applyInPandas(normals, f"{image} {kinds[image]}, id {kinds['id']}, facing double")
-
-
-def visible_shares(turned: DataFrame, regions: DataFrame, image: str, least: float = 0.0) -> DataFrame:
-    """Share of each region's landmarks that face the viewer; regions (id, region) are a small table."""
+    def normals(batches):
+        held = []
+        for rows in batches:
+            key = rows[image].to_numpy()
+            # A null image is one like others; its key differs from itself as NaN.
+            cuts = np.flatnonzero((key[1:] != key[:-1]) & ~(pd.isna(key[1:]) & pd.isna(key[:-1]))) + 1
+            first = key[:1].tolist()
+            if held and len(rows) and not (held[-1][image].iloc[-1:].tolist() == first or pd.isna(first[0]) and pd.isna(held[-1][image].iloc[-1])):
+                yield from whole(held)
+                held = []
+            if len(cuts):
+                yield from whole([*held, rows.iloc[: cuts[-1]]])
+                held = [rows.iloc[cuts[-1] :]]
+            elif len(rows):
+                held.append(rows)
+        if held:
+            yield from whole(held)
+
+    def whole(pieces):
+        """Rows of whole images, in the order of their landmarks."""
+        rows = pd.concat(pieces) if len(pieces) > 1 else pieces[0]
+        key = rows[image].to_numpy()
+        number = np.concatenate([[0], np.cumsum((key[1:] != key[:-1]) & ~(pd.isna(key[1:]) & pd.isna(key[:-1])))])
+        rows = rows.iloc[np.lexsort((rows["id"].to_numpy(), number))]
+        size = np.bincount(number)
+        p, start, out = rows[["x", "y", "z"]].to_numpy(float), np.cumsum(size) - size, np.empty(len(rows))
+        for n in np.unique(size).tolist():
+            alike = start[size == n]
+            step = max(1, MOST_ERRORS // (n * n))
+            for at in range(0, len(alike), step):
+                places = alike[at : at + step, None] + np.arange(n)
+                out[places] = _facing(p[places], neighbours)
+        yield pd.DataFrame({image: rows[image], "id": rows["id"], "facing": out})
+
+    dealt = by_key(landmarks.select(image, "id", "x", "y", "z"), image).sortWithinPartitions(image)
+    return dealt.mapInPandas(normals, f"{image} {kinds[image]}, id {kinds['id']}, facing double")
+
+
+def visible_shares(turned: DataFrame, regions: DataFrame, image: str, *more: Column, least: float = 0.0) -> DataFrame:
+    """Share of each region's landmarks that face the viewer, and what `more` aggregates of `facing` ask for; regions
+    (id, region) are a small table."""
     j = turned.join(F.broadcast(regions), "id")
-    return j.groupBy(image, "region").agg(F.count("*").alias("n"), F.avg((F.col("facing") > least).cast("int")).alias("share"))
+    return j.groupBy(image, "region").agg(F.count("*").alias("n"), F.avg((F.col("facing") > least).cast("int")).alias("share"), *more)

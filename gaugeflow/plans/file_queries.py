@@ -81,6 +81,6 @@ def surface_facing(spark, d):
     marks = table(spark, d, "customer").withColumn("id", F.explode(F.sequence(F.lit(0), F.lit(39)))).select(F.col("c_custkey").alias("image"), "id", x.alias("x"), y.alias("y"), (a * x + F.when(back, 60.0).otherwise(0.0)).alias("z"))
     turned = robust.facing(marks, "image")
     regions = spark.range(40).select(F.col("id").cast("int").alias("id"), F.when(F.col("id") >= 20, "back").otherwise("front").alias("region"))
-    shares = robust.visible_shares(turned, regions, "image")
-    ends = turned.join(F.broadcast(regions), "id").groupBy("image", "region").agg(F.round(F.min("facing"), 6).alias("least"), F.round(F.max("facing"), 6).alias("most"))
-    return shares.join(ends, ["image", "region"]).select(F.col("image").alias("c_custkey"), "region", "n", "least", "most", registration.visibility(F.col("share")).alias("status"))
+    ends = F.round(F.min("facing"), 6).alias("least"), F.round(F.max("facing"), 6).alias("most")
+    shares = robust.visible_shares(turned, regions, "image", *ends)
+    return shares.select(F.col("image").alias("c_custkey"), "region", "n", "least", "most", registration.visibility(F.col("share")).alias("status"))

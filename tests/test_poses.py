@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugeflow.functions import pose, tables
-from gaugeflow.operators import capture, stability, tiling, tracking
+from gaugeflow.operators import capture, robust, stability, tiling, tracking
 
 
 def turned(pitch, yaw, roll):
@@ -21,6 +21,32 @@ def projected(r, t, w, h):
     return p[:, :2] / p[:, 2:] * w + [w / 2, h / 2]
 
 
+def test_facing_of_many_images_at_once(spark):
+    """Images of several sizes, in batches that cut them, as each by itself; flat, straight and tied ones, too."""
+    draw, rows, want = np.random.default_rng(9), [], {}
+    for k in range(60):
+        n = [40, 41, 25, 13][k % 4]
+        p = np.round(draw.normal(size=(n, 3)) * [1, 1, 0.3], 1 if k % 3 else 9)
+        if k % 5 == 0:
+            p = np.column_stack([np.arange(n) % 5, np.arange(n) // 5, 0.4 * (np.arange(n) % 5) + 60 * (np.arange(n) >= 20)])
+        near = np.argsort(((p[:, None] - p[None]) ** 2).sum(-1), axis=1, kind="stable")[:, :12]
+        cloud = p[near] - p[near].mean(axis=1, keepdims=True)
+        want |= {(k, i): abs(v) for i, v in enumerate(np.linalg.svd(cloud)[2][:, -1, 2])}
+        rows += [(k, i, *map(float, q)) for i, q in enumerate(p)]
+    turned = robust.facing(spark.createDataFrame(rows, "image int, id int, x double, y double, z double"), "image")
+    assert "FlatMapGroups" not in turned._jdf.queryExecution().toString()  # a task's images one by one
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        got = {(r.image, r.id): abs(r.facing) for r in turned.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-9
+    line = np.arange(12)[:, None] * np.array([1.0, 2.0, 3.0])
+    flat = robust.flat_direction(np.stack([line - line.mean(axis=0), np.zeros((12, 3))]))
+    assert np.isfinite(flat).all() and abs(flat[0] @ [1, 2, 3]) < 1e-9
+
+
 def test_planted_poses_come_back(spark):
     draw, rows, want = np.random.default_rng(4), [], {}
     for k in range(200):
