@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import mapped
-from ..sources.staging import by_key
+from ..sources.staging import by_key, staged
 from .registration import landmark_spread
 from .robust import least_median_of
 
@@ -30,26 +30,48 @@ def region_anchors(spark: SparkSession, right_is_image_left: bool = True) -> Dat
     return spark.createDataFrame(rows, "id int, region string")
 
 
+#: Subjects whose first frames are broadcast; with more of them frames are shuffled to theirs.
+MOST_SUBJECTS = 20_000
+
+
+def _fitted(frames: DataFrame, subject: str, image: str, stable: list[int]) -> DataFrame:
+    """(subject, image, points, transform): a row for each frame with the similarity onto its subject's first one. The points
+    of a frame stay together, and what frames are joined with is staged and counted: sizes that Spark
+    guesses before rows are exploded let it gather all frames on the driver for a broadcast."""
+    points = frames.dropna(subset=[subject, image, "x", "y"]).select(subject, image, "id", F.col("x").cast("double"), F.col("y").cast("double"))
+    rows = lambda df: df.count() <= MOST_SUBJECTS
+    firsts = staged(points.groupBy(subject).agg(F.min(image).alias(image)), "firsts")
+    joined = lambda left, right, on: left.join(F.broadcast(right) if rows(right) else right.hint("merge"), on)
+    own = joined(points.filter(F.col("id").isin(stable)), firsts, [subject, image]).groupBy(subject).agg(F.collect_list(F.struct("id", "x", "y")).alias("first"))  # as many as `stable`
+    framed = points.groupBy(subject, image).agg(F.collect_list(F.struct("id", "x", "y")).alias("points"))  # of one frame
+    both = joined(framed, staged(own, "reference"), subject)
+    same = lambda p: F.transform(F.filter("first", lambda q: q["id"] == p["id"]), lambda q: F.struct(p["x"].alias("x"), p["y"].alias("y"), q["x"].alias("u"), q["y"].alias("v")))
+    matches = F.array_sort(F.flatten(F.transform(F.filter("points", lambda p: p["id"].isin(stable)), same)))
+    fits = by_key(both.select(subject, image, "points", matches.alias("_p")), subject, image)
+    fit = least_median_of.asNondeterministic()("_p")  # so that the filter isn't pushed below the join, with the fit in it
+    return fits.select(subject, image, "points", fit.alias("transform")).filter("transform IS NOT NULL")
+
+
 def aligned(frames: DataFrame, subject: str, image: str, stable: list[int]) -> DataFrame:
     """(subject, image, id, x, y) in the first frame's coordinates. Frames (subject, image, id, x, y) are moved onto the
     subject's first one by the similarity of the `stable` landmarks with the least median of errors;
     frames without one (fewer than two stable landmarks shared) are left out."""
-    points = frames.dropna(subset=["x", "y"])
-    firsts = points.groupBy(subject).agg(F.min(image).alias("_first"))
-    some = points.filter(F.col("id").isin(stable)).join(firsts, subject)
-    reference = some.filter(F.col(image) == F.col("_first")).select(subject, "id", F.col("x").alias("u"), F.col("y").alias("v"))
-    matches = some.join(reference, [subject, "id"]).groupBy(subject, image).agg(F.array_sort(F.collect_list(F.struct("x", "y", "u", "v"))).alias("p"))  # as many as `stable`
-    fits = by_key(matches, subject, image).select(subject, image, least_median_of("p").alias("transform")).filter("transform IS NOT NULL")
-    x, y = mapped(F.col("x"), F.col("y"), F.col("transform"))
-    return points.join(fits, [subject, image]).select(subject, image, "id", x.alias("x"), y.alias("y"))
+    x, y = mapped(F.col("p.x"), F.col("p.y"), F.col("transform"))
+    points = _fitted(frames, subject, image, stable).select(subject, image, "transform", F.explode("points").alias("p"))
+    return points.select(subject, image, F.col("p.id").alias("id"), x.alias("x"), y.alias("y"))
 
 
 def stability(frames: DataFrame, subject: str, image: str, stable: list[int]) -> DataFrame:
     """(subject, id, n, spread): the population deviation of each landmark over the aligned frames, the mean of
     those of x and y; subjects with fewer than two frames have none."""
-    moved = aligned(frames, subject, image, stable)
-    enough = moved.groupBy(subject).agg(F.countDistinct(image).alias("k")).filter("k >= 2").select(subject)
-    return landmark_spread(moved.join(enough, subject, "left_semi"), [subject, "id"], ["x", "y"])
+    x, y = mapped(F.col("p.x"), F.col("p.y"), F.col("transform"))
+    # A row more for each frame counts the frames.
+    points = F.concat(F.array(F.lit(None)), F.col("points"))
+    rows = _fitted(frames, subject, image, stable).select(subject, "transform", F.posexplode(points).alias("_k", "p"))
+    moved = rows.select(subject, F.col("p.id").alias("id"), (F.col("_k") == 0).alias("_frame"), x.alias("x"), y.alias("y"))
+    spread = landmark_spread(moved, [subject, "id", "_frame"], ["x", "y"])
+    framed = F.max(F.when(F.col("_frame"), F.col("n"))).over(Window.partitionBy(subject))  # over a row a landmark
+    return spread.withColumn("_frames", framed).filter("_frames >= 2 AND NOT _frame").select(subject, "id", "n", "spread")
 
 
 def stability_summary(spread: DataFrame, subject: str, regions: DataFrame, scales: DataFrame) -> DataFrame:

@@ -144,6 +144,42 @@ def test_least_median_bears_forty_percent_wrong(n):
     assert robust.least_median(src[:1], dst[:1])[0] is None and robust.least_median(np.zeros((4, 2)), dst[:4])[0] is None
 
 
+def test_no_frames_are_broadcast(spark):
+    """What is exploded grows beyond what Spark guesses its size by; only the first frames go to all tasks. A subject with one
+    frame has no row, whatever the number of subjects."""
+    from gaugeflow.plans.object_queries import landmark_stability
+
+    lines = landmark_stability(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = [len(x) - len(x.lstrip(" :+-|*")) for x in lines]
+    for k in [k for k, x in enumerate(lines) if "BroadcastExchange" in x]:
+        below = [lines[i] for i in range(k + 1, next((i for i in range(k + 1, len(lines)) if depth[i] <= depth[k]), len(lines)))]
+        assert below and not any("Generate" in x or "ArrowEvalPython" in x for x in below)
+    base = [(0.0, 0.0), (10.0, 0.0), (0.0, 10.0), (7.0, 9.0)]
+    rows = [(s, k, i, x + 5.0 * k, y - k) for s in range(9) for k in range(1 + s % 3) for i, (x, y) in enumerate(base)]
+    frames = spark.createDataFrame(rows, "subject int, image int, id int, x double, y double")
+    kept = stability.MOST_SUBJECTS
+    for stability.MOST_SUBJECTS in (kept, 2):  # broadcast, and shuffled
+        got = stability.stability(frames, "subject", "image", [0, 1, 2]).collect()
+        assert {(r.subject, r.n) for r in got} == {(s, 1 + s % 3) for s in range(9) if s % 3} and len(got) == 24 and max(r.spread for r in got) < 1e-9
+    stability.MOST_SUBJECTS = kept
+
+
+def test_least_medians_of_many_rows(spark):
+    """Rows of one size are fitted together, as each by itself; points that fall together have no fit."""
+    draw, rows = np.random.default_rng(4), []
+    for k in range(90):
+        p = draw.normal(size=([1, 2, 6, 9, 70][k % 5], 4)) * 30
+        p[:, 2:] = p[:, 2:] if k % 2 else move(COARSE, p[:, :2])
+        p[: len(p) if k % 6 == 5 else 0, :2] = 3.0
+        rows.append((k, p))
+    df = spark.createDataFrame([(k, p.tolist()) for k, p in rows], "k int, p array<array<double>>")
+    named = F.transform("p", lambda q: F.struct(*(q[i].alias(c) for i, c in enumerate("xyuv"))))
+    got = {r.k: r.h for r in df.select("k", robust.least_median_of(named).alias("h")).collect()}
+    for k, p in rows:
+        want, _ = robust.least_median(p[:, :2], p[:, 2:])
+        assert (got[k] is None) == (want is None) and (want is None or np.allclose(got[k], want.ravel(), atol=1e-9))
+
+
 def test_stability_takes_poses_out(spark):
     draw = np.random.default_rng(8)
     base, jitter = draw.random((12, 2)) * 100, draw.normal(0, 1, (9, 12, 2)) * (np.arange(12) >= 6)[:, None]
